@@ -1,4 +1,9 @@
-"""Complex numbers as pairs of DOUBLE columns."""
+"""Complex numbers as pairs of DOUBLE columns.
+
+Products of columns are built as columns. What a walk repeats in every step is built as SQL
+text instead, because one text per projection is far quicker to hand to Spark than one call
+per operator.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,6 @@ import cmath
 from collections.abc import Iterable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 Pair = tuple[Column, Column]
 
@@ -19,30 +23,32 @@ def abs_squared(re: Column, im: Column) -> Column:
     return re * re + im * im
 
 
-def total(terms: Iterable[Column]) -> Column:
-    """Sum of columns; 0.0 when there are none."""
-    result = None
-    for term in terms:
-        result = term if result is None else result + term
-    return F.lit(0.0) if result is None else result
+def number(value: float) -> str:
+    """A DOUBLE literal in SQL."""
+    return f"{value!r}D"
+
+
+def total(terms: Iterable[str]) -> str:
+    """SQL for a sum; 0 when there are no terms."""
+    return " + ".join(terms) or number(0.0)
 
 
-def times_constant(factor: complex, re: Column, im: Column) -> Pair:
-    """(re, im) times a known number, without the terms that are zero."""
+def scaled_terms(factor: complex, re: str, im: str) -> tuple[list[str], list[str]]:
+    """SQL terms of the real and imaginary part of factor * (re + i im), zero terms left out."""
     a, b = factor.real, factor.imag
-    real = [F.lit(a) * re] if a else []
-    imag = [F.lit(a) * im] if a else []
+    real = [f"{number(a)} * {re}"] if a else []
+    imag = [f"{number(a)} * {im}"] if a else []
     if b:
-        real.append(F.lit(-b) * im)
-        imag.append(F.lit(b) * re)
-    return total(real), total(imag)
+        real.append(f"{number(-b)} * {im}")
+        imag.append(f"{number(b)} * {re}")
+    return real, imag
 
 
 def power(base: complex, exponent: int) -> complex:
     """base**exponent, exact when the base is one of 1, i, -1, -i."""
-    quarter_turns = {1 + 0j: 0, 1j: 1, -1 + 0j: 2, -1j: 3}
-    if base in quarter_turns:
-        return (1 + 0j, 1j, -1 + 0j, -1j)[quarter_turns[base] * exponent % 4]
+    turns = (1 + 0j, 1j, -1 + 0j, -1j)
+    if base in turns:
+        return turns[turns.index(base) * exponent % 4]
     return base**exponent
 
 

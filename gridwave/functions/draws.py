@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def uniform(seed: int, *keys: str) -> str:
+    """SQL for a number in [0, 1) fixed by the seed and the key expressions.
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) fixed by the seed and the keys, from the first 32 bits of an MD5."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    It is made of the first 32 bits of the MD5 of ``seed:key:key...``.
+    """
+    text = f"concat_ws(':', '{int(seed)}', {', '.join(keys)})"
+    return f"CAST(conv(substring(md5({text}), 1, 8), 16, 10) AS DOUBLE) / 4294967296.0D"
 
 
-def happens(probability: float, seed: int, *keys: Column) -> Column:
+def happens(probability: float, seed: int, *keys: str) -> str:
+    """SQL for whether a draw falls below the probability."""
     if not 0 < probability <= 1:
         raise ValueError("probability must be above 0 and at most 1")
-    return uniform(seed, *keys) < F.lit(float(probability))
+    return f"({uniform(seed, *keys)} < {float(probability)!r}D)"

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwave.functions.complexnum import abs_squared, product, times_constant
+from gridwave.functions.complexnum import abs_squared, product, scaled_terms, total
 from gridwave.functions.indexing import div
 from gridwave.functions.ranges import repeat_over_range
 from gridwave.operators.skew import PIECE_ROWS, split_join
@@ -200,8 +200,8 @@ def scale(m: MatrixTable, factor) -> MatrixTable:
     if factor == 0:
         return MatrixTable(m.df.where(F.lit(False)), m.shape, dtype, 0)
     if dtype == "complex":
-        re, im = times_constant(complex(factor), *_pair(m))
-        df = m.df.select("row", "col", re.alias("re"), im.alias("im"))
+        re, im = scaled_terms(complex(factor), "re", "im")
+        df = m.df.selectExpr("row", "col", f"{total(re)} AS re", f"{total(im)} AS im")
     else:
         df = m.df.select("row", "col", (F.col("v") * F.lit(factor)).alias("v"))
     return MatrixTable(df, m.shape, dtype, m.nelem)

@@ -18,10 +18,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwave.functions.complexnum import abs_squared, times_constant, total
+from gridwave.functions.complexnum import abs_squared, number, scaled_terms, total
 from gridwave.functions.draws import happens
 from gridwave.operators.matrix import ROUND_DIGITS
 from gridwave.session import cut_lineage
@@ -71,28 +71,22 @@ def check_norm(state: State, when: str) -> None:
         raise ValueError(f"the {when} state does not have unit norm")
 
 
-def meeting(state: State) -> Column:
-    """Whether any two particles share their position."""
-    places = [[F.col(n) for n in position_keys(state.grid, p)] for p in range(state.particles)]
-    result = F.lit(False)
-    for i, a in enumerate(places):
-        for b in places[i + 1 :]:
-            same = F.lit(True)
-            for u, v in zip(a, b):
-                same = same & (u == v)
-            result = result | same
-    return result
+def meeting(state: State) -> str:
+    """SQL for whether any two particles share their position."""
+    places = [position_keys(state.grid, p) for p in range(state.particles)]
+    pairs = [
+        " AND ".join(f"{u} = {v}" for u, v in zip(a, b)) for i, a in enumerate(places) for b in places[i + 1 :]
+    ]
+    return " OR ".join(pairs)
 
 
 def apply_interaction(state: State, factor: complex) -> State:
     """Amplitudes of meeting particles times ``factor`` (once, however many meet)."""
-    re, im = times_constant(complex(factor), F.col("re"), F.col("im"))
+    re, im = scaled_terms(complex(factor), "re", "im")
     meets = meeting(state)
     return state.with_df(
-        state.df.select(
-            *state.all_keys,
-            F.when(meets, re).otherwise(F.col("re")).alias("re"),
-            F.when(meets, im).otherwise(F.col("im")).alias("im"),
+        state.df.selectExpr(
+            *state.all_keys, f"if({meets}, {total(re)}, re) AS re", f"if({meets}, {total(im)}, im) AS im"
         )
     )
 
@@ -106,47 +100,35 @@ def apply_coin(state: State, coin: Coin, particle: int = 0) -> State:
 
 def mix(df: DataFrame, coin: Coin, slot: str, keys: list[str]) -> DataFrame:
     """Vectors over ``slot`` (0 .. size-1), one per ``keys``, times the coin matrix."""
-
-    def amplitude(name: str, j: int) -> Column:
-        value = F.sum(F.when(F.col(slot) == j, F.col(name)).otherwise(F.lit(0.0)))
-        return value.alias(f"_{name}{j}")
-
     size = coin.size
-    folded = df.groupBy(*keys).agg(*[amplitude(n, j) for j in range(size) for n in ("re", "im")])
+    amplitudes = [
+        F.expr(f"sum(if({slot} = {j}, {name}, {number(0.0)})) AS _{name}{j}") for j in range(size) for name in ("re", "im")
+    ]
+    folded = df.groupBy(*keys).agg(*amplitudes)
     outcomes = []
     for i in range(size):
-        parts = [
-            times_constant(coin.rows[i][j], F.col(f"_re{j}"), F.col(f"_im{j}"))
-            for j in range(size)
-            if coin.rows[i][j]
-        ]
-        outcomes.append(
-            F.struct(
-                F.lit(i).cast("long").alias(slot),
-                total(p[0] for p in parts).alias("re"),
-                total(p[1] for p in parts).alias("im"),
-            )
-        )
-    mixed = folded.select(*keys, F.inline(F.array(*outcomes)))
-    return mixed.where((F.col("re") != 0) | (F.col("im") != 0)).select(*keys, slot, "re", "im")
+        terms = [scaled_terms(coin.rows[i][j], f"_re{j}", f"_im{j}") for j in range(size)]
+        re, im = (total(t for part in terms for t in part[side]) for side in (0, 1))
+        outcomes.append(f"named_struct('{slot}', {i}L, 're', {re}, 'im', {im})")
+    mixed = folded.selectExpr(*keys, f"inline(array({', '.join(outcomes)}))")
+    return mixed.where("re <> 0 OR im <> 0")
 
 
 def apply_move(state: State, rules: Rules, step: int, particle: int = 0) -> State:
     """The move of one particle: a projection, with a join only for a table of broken edges."""
     grid, keys = state.grid, state.keys(particle)
-    coin, at = F.col(keys[0]), [F.col(n) for n in keys[1:]]
+    coin, at = keys[0], keys[1:]
     df, is_broken = state.df, None
     if rules.broken is not None:
-        df = mark_broken(df.withColumn("edge", edge_crossed(grid, coin, at)), rules.broken, grid)
-        is_broken = F.col("is_broken")
+        df = mark_broken(df.selectExpr("*", f"{edge_crossed(grid, coin, at)} AS edge"), rules.broken, grid)
+        is_broken = "is_broken"
     elif rules.random is not None:
-        draw = (F.col("walk_id"), F.lit(step), edge_crossed(grid, coin, at))
+        draw = ("walk_id", str(step), edge_crossed(grid, coin, at))
         is_broken = happens(rules.random.probability, rules.random.seed, *draw)
     new_coin, new_at = move(grid, coin, at, is_broken)
     moved = dict(zip(keys, [new_coin, *new_at]))
-    return state.with_df(
-        df.select(*[moved.get(k, F.col(k)).cast("long").alias(k) for k in state.all_keys], "re", "im")
-    )
+    columns = [f"CAST({moved[k]} AS BIGINT) AS {k}" if moved.get(k, k) != k else k for k in state.all_keys]
+    return state.with_df(df.selectExpr(*columns, "re", "im"))
 
 
 def one_step(state: State, rules: Rules, step: int = 1) -> State:

@@ -4,9 +4,9 @@ A grid has one or two dimensions. Positions are 0-based ``x`` (and ``y``). Two n
 exist and are kept apart: ``site = x + W*y`` (x fastest, the public one) and
 ``pos = x*H + y`` (y fastest, used inside flat state indices).
 
-A move is a rule on columns: given the coin and the position it yields the coin and the
-position afterwards. Rules cost no join and no lookup table, so a walk of any size moves
-inside code generation; ``transition`` writes a rule out as a table where one is wanted.
+A move is a rule in SQL: given the names of the coin and position columns it yields expressions
+for the coin and the position afterwards. Rules cost no join and no lookup table, so a walk of
+any size moves inside code generation; ``transition`` writes a rule out as a table where one is wanted.
 
 Orientation. On a plain cyclic grid coin 0 moves by +1. On a grid that can send a walker
 back (reflective borders or a set of broken edges, even an empty one) coin 1 moves by +1,
@@ -235,9 +235,8 @@ def permanent_edges(grid: Grid, edges_df: DataFrame) -> DataFrame:
 
 def random_edges(grid: Grid, keys: DataFrame, probability: float, seed: int) -> DataFrame:
     """Every edge broken independently, drawn anew for each row of ``keys`` (walk_id, step)."""
-    columns = [F.col(c) for c in keys.columns]
     drawn = repeat_over_range(keys, grid.edges, "edge")
-    return drawn.where(happens(probability, seed, *columns, F.col("edge")))
+    return drawn.where(happens(probability, seed, *keys.columns, "edge"))
 
 
 def mark_broken(df: DataFrame, broken: DataFrame, grid: Grid) -> DataFrame:
@@ -258,82 +257,76 @@ def broken_flags(spark: SparkSession, grid: Grid, broken: DataFrame) -> DataFram
     return mark_broken(spark.range(grid.edges).withColumnRenamed("id", "edge"), broken, grid)
 
 
-# --- moves -------------------------------------------------------------------------------------
+# --- moves, as SQL text over the names of the coin and position columns --------------------
 
 
-def _forward(coin_bit: Column) -> Column:
-    """+1 for coin bit 1, -1 for coin bit 0."""
-    return F.lit(2) * coin_bit - F.lit(1)
+def _bits(grid: Grid, coin: str) -> list[str]:
+    """Coin bits per dimension; in two dimensions coin = 2i + j."""
+    return [coin] if grid.ndim == 1 else [f"({coin} div 2)", f"pmod({coin}, 2)"]
 
 
-def _bits(grid: Grid, coin: Column) -> list[Column]:
-    """Coin bits per dimension; in two dimensions coin = 2i + j."""
-    return [coin] if grid.ndim == 1 else [div(coin, 2), F.pmod(coin, F.lit(2))]
+def _is_vertical(bits: list[str]) -> str:
+    """On natural grids equal coin bits mean a move along y."""
+    return f"{bits[0]} = {bits[1]}"
 
 
-def edge_crossed(grid: Grid, coin: Column, at: list[Column]) -> Column:
-    """Number of the edge a walker takes under the orientation of blocked moves."""
+def edge_crossed(grid: Grid, coin: str, at: list[str]) -> str:
+    """Number of the edge a walker takes when coin bit 1 means +1."""
     bits = _bits(grid, coin)
-    ahead = [F.pmod(a + b, F.lit(n)) for a, b, n in zip(at, _sides(grid, bits), grid.shape)]
+    # The edge before a position has the position's number, the edge after it the next one.
+    sides = [bits[0], bits[0]] if grid.kind in NATURAL else bits
+    ahead = [f"pmod({a} + {side}, {n})" for a, side, n in zip(at, sides, grid.shape)]
     if grid.ndim == 1:
         return ahead[0]
     width, height = grid.shape
     if grid.kind in DIAGONAL:
-        return ahead[0] + F.lit(width) * ahead[1]
-    vertical = bits[0] == bits[1]
-    return F.when(vertical, F.lit(grid.sites) + at[0] * F.lit(height) + ahead[1]).otherwise(
-        ahead[0] + F.lit(width) * at[1]
+        return f"{ahead[0]} + {width} * {ahead[1]}"
+    return (
+        f"CASE WHEN {_is_vertical(bits)} THEN {grid.sites} + {at[0]} * {height} + {ahead[1]} "
+        f"ELSE {ahead[0]} + {width} * {at[1]} END"
     )
 
 
-def _sides(grid: Grid, bits: list[Column]) -> list[Column]:
-    """1 where the edge taken lies after the position, 0 where it lies before it."""
-    return [bits[0], bits[0]] if grid.kind in NATURAL else bits
-
-
-def _deltas(grid: Grid, bits: list[Column]) -> list[Column]:
+def _deltas(grid: Grid, bits: list[str]) -> list[str]:
     """Displacement per dimension when coin bit 1 means +1."""
+    steps = [f"(2 * {b} - 1)" for b in bits]
     if grid.kind not in NATURAL:
-        return [_forward(b) for b in bits]
-    step, vertical = _forward(bits[0]), bits[0] == bits[1]
-    return [F.when(vertical, F.lit(0)).otherwise(step), F.when(vertical, step).otherwise(F.lit(0))]
+        return steps
+    return [f"if({_is_vertical(bits)}, 0, {steps[0]})", f"if({_is_vertical(bits)}, {steps[0]}, 0)"]
 
 
-def move(
-    grid: Grid, coin: Column, at: list[Column], is_broken: Column | None = None
-) -> tuple[Column, list[Column]]:
+def move(grid: Grid, coin: str, at: list[str], is_broken: str | None = None) -> tuple[str, list[str]]:
     """(coin, position) after one move; ``is_broken`` tells whether the edge taken is broken."""
     deltas = _deltas(grid, _bits(grid, coin))
     if is_broken is None and not grid.reflective:
-        return coin, [F.pmod(a - d, F.lit(n)) for a, d, n in zip(at, deltas, grid.shape)]
-    blocked = F.lit(False) if is_broken is None else is_broken
+        return coin, [f"pmod({a} - {d}, {n})" for a, d, n in zip(at, deltas, grid.shape)]
+    reasons = [] if is_broken is None else [is_broken]
     if grid.reflective:
-        for a, d, n in zip(at, deltas, grid.shape):
-            blocked = blocked | ~(a + d).between(0, n - 1)
-    flipped = F.lit(grid.coins - 1) - coin
-    moved = [
-        F.when(blocked, a).otherwise(F.pmod(a + d, F.lit(n))) for a, d, n in zip(at, deltas, grid.shape)
-    ]
-    return F.when(blocked, flipped).otherwise(coin), moved
+        reasons += [f"{a} + {d} NOT BETWEEN 0 AND {n - 1}" for a, d, n in zip(at, deltas, grid.shape)]
+    blocked = f"({' OR '.join(reasons)})"
+    return (
+        f"if({blocked}, {grid.coins - 1} - {coin}, {coin})",
+        [f"if({blocked}, {a}, pmod({a} + {d}, {n}))" for a, d, n in zip(at, deltas, grid.shape)],
+    )
 
 
 def transition(spark: SparkSession, grid: Grid, broken: DataFrame | None = None) -> DataFrame:
     """(src_coin, src_x[, src_y], dst_coin, dst_x[, dst_y]) for every coin and position."""
     k = F.col("id")
-    coin, at = F.pmod(k, F.lit(grid.coins)), at_pos(grid, div(k, grid.coins))
-    src = [coin.alias("src_coin")] + [a.alias(f"src_{n}") for a, n in zip(at, grid.axes)]
-    table = spark.range(grid.sites * grid.coins).select(*src)
-    coin, at = F.col("src_coin"), [F.col(f"src_{n}") for n in grid.axes]
-    is_broken = None
+    at = at_pos(grid, div(k, grid.coins))
+    table = spark.range(grid.sites * grid.coins).select(
+        F.pmod(k, F.lit(grid.coins)).alias("src_coin"), *[a.alias(f"src_{n}") for a, n in zip(at, grid.axes)]
+    )
+    src, is_broken = [f"src_{n}" for n in grid.axes], None
     if broken is not None:
-        table = mark_broken(table.withColumn("edge", edge_crossed(grid, coin, at)), broken, grid)
-        is_broken = F.col("is_broken")
-    dst_coin, dst = move(grid, coin, at, is_broken)
-    return table.select(
-        coin,
-        *at,
-        dst_coin.cast("long").alias("dst_coin"),
-        *[d.cast("long").alias(f"dst_{n}") for d, n in zip(dst, grid.axes)],
+        numbered = table.selectExpr("*", f"{edge_crossed(grid, 'src_coin', src)} AS edge")
+        table, is_broken = mark_broken(numbered, broken, grid), "is_broken"
+    dst_coin, dst = move(grid, "src_coin", src, is_broken)
+    return table.selectExpr(
+        "src_coin",
+        *src,
+        f"CAST({dst_coin} AS BIGINT) AS dst_coin",
+        *[f"CAST({d} AS BIGINT) AS dst_{n}" for d, n in zip(dst, grid.axes)],
     )
 
 
