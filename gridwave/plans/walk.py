@@ -9,9 +9,10 @@ such place, with one amplitude column pair per coin value (one aggregate); coin
 then projections, because a move sends each (coin, place) to exactly one other.
 
 Partitioning. A walk holds at most (coins * sites)^particles rows, a number known up front.
-When it is small the walks are partitioned by walk_id once and all steps run without another
-exchange. Otherwise one walk could outgrow a task, so every fold shuffles by its full key:
-one exchange per particle step, cut as finely as the cluster likes.
+When it is small, walks are partitioned by walk_id and steps need no further exchange. A larger
+walk is cut into tiles of the grid (see ``tiles``): each tile also gets a copy of the rows
+within k steps of it, runs k steps on its own, and keeps what lies inside it, which costs one
+exchange per k steps. Where tiles would be mostly border, every fold shuffles by its full key.
 """
 
 from __future__ import annotations
@@ -24,15 +25,12 @@ from pyspark.sql import functions as F
 from gridwave.functions.complexnum import abs_squared, number, scaled_terms, total
 from gridwave.functions.draws import happens
 from gridwave.operators.matrix import ROUND_DIGITS
+from gridwave.plans.tiles import Tiling, choose_tiling, gather, spread
 from gridwave.session import cut_lineage
 from gridwave.sources.coins import Coin
 from gridwave.sources.grids import edge_crossed, mark_broken, move
 from gridwave.sources.states import State, position_keys
 
-# Rows one walk may hold for its whole state to be kept in one partition.
-COLOCATE_ROWS = 65_536
-
-
 @dataclass(frozen=True)
 class RandomEdges:
     """Each edge broken with this probability, drawn anew per walk and step."""
@@ -141,10 +139,6 @@ def one_step(state: State, rules: Rules, step: int = 1) -> State:
     return state
 
 
-def colocates(state: State) -> bool:
-    return (state.grid.coins * state.grid.sites) ** state.particles <= COLOCATE_ROWS
-
-
 def walk(
     state: State,
     rules: Rules,
@@ -152,32 +146,32 @@ def walk(
     *,
     cut_every: int = 10,
     verify: bool = True,
-    colocate: bool | None = None,
+    tiling: Tiling | None = None,
     partitions: int | None = None,
 ) -> State:
     """The state after ``steps`` steps of every walk.
 
     ``verify`` checks that each walk has norm one before and after, as two small jobs. The
-    history is cut every ``cut_every`` steps. ``colocate`` overrides the choice between one
-    partitioning by walk and a shuffle per step.
+    history is cut every ``cut_every`` steps. ``tiling`` overrides how walks are partitioned.
     """
     if verify:
         check_norm(state, "initial")
-    together = colocates(state) if colocate is None else colocate
+    tiling = tiling or choose_tiling(state)
     if partitions is None:
         partitions = int(state.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def gathered(s: State) -> State:
-        return s.with_df(s.df.repartition(partitions, "walk_id")) if together else s
-
-    state = gathered(state)
-    for step in range(1, steps + 1):
-        state = one_step(state, rules, step)
-        if step == steps:
+    done = 0
+    while done < steps:
+        span = min(cut_every, steps - done, tiling.steps or cut_every)
+        state = spread(state, tiling, span, partitions)
+        for step in range(done + 1, done + span + 1):
+            state = one_step(state, rules, step)
+        state = gather(state, tiling)
+        before, done = done, done + span
+        if done == steps:
             if verify:
                 state = state.with_df(cut_lineage(state.df))
-        elif step % cut_every == 0:
-            state = gathered(state.with_df(cut_lineage(state.df)))
+        elif done // cut_every > before // cut_every:
+            state = state.with_df(cut_lineage(state.df))
     if verify:
         check_norm(state, "final")
     return state

@@ -28,16 +28,24 @@ class State:
     df: DataFrame
     grid: Grid
     particles: int
+    tags: tuple[str, ...] = ()  # further key columns a plan carries along
 
     def keys(self, particle: int) -> list[str]:
         return particle_keys(self.grid, particle)
 
     @property
     def all_keys(self) -> list[str]:
-        return ["walk_id"] + [k for p in range(self.particles) for k in self.keys(p)]
+        return ["walk_id", *self.tags] + [k for p in range(self.particles) for k in self.keys(p)]
+
+    @property
+    def positions(self) -> list[str]:
+        return [k for p in range(self.particles) for k in position_keys(self.grid, p)]
 
     def with_df(self, df: DataFrame) -> State:
-        return State(df, self.grid, self.particles)
+        return State(df, self.grid, self.particles, self.tags)
+
+    def tagged(self, df: DataFrame, *tags: str) -> State:
+        return State(df, self.grid, self.particles, tags)
 
 
 def position_keys(grid: Grid, particle: int) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,18 @@ def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def extent(spark: SparkSession, folder: str, name: str, key: str) -> int:
-    """Number of index values of a 0-based key: its maximum plus one (one row to the driver)."""
-    return int(read(spark, folder, name, key).agg(F.max(key).alias("m")).first()["m"]) + 1
+def extents(spark: SparkSession, folder: str, **keys: tuple[str, str]) -> dict[str, int]:
+    """Number of index values per 0-based key, its maximum plus one: one job, one row per key."""
+    maxima = [
+        read(spark, folder, table, key).select(F.lit(name).alias("name"), F.col(key).cast("long").alias("key"))
+        for name, (table, key) in keys.items()
+    ]
+    rows = reduce(DataFrame.unionByName, maxima).groupBy("name").agg(F.max("key").alias("m")).collect()
+    return {r["name"]: r["m"] + 1 for r in rows}
+
+
+def extent(spark: SparkSession, folder: str, table: str, key: str) -> int:
+    return extents(spark, folder, n=(table, key))["n"]
 
 
 def customer_part(spark: SparkSession, folder: str, parts: int, customers: int) -> MatrixTable:

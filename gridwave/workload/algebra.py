@@ -26,27 +26,28 @@ SQL_Z = """Z AS (SELECT l_partkey AS r, l_suppkey AS c, sum(l_quantity) AS re,
 SQL_N = "N AS (SELECT n_nationkey::BIGINT AS r, n_regionkey::BIGINT AS c FROM nation)"
 
 
-def extents(spark: SparkSession, folder: str) -> dict[str, int]:
-    keys = {
-        "nc": ("customer", "c_custkey"),
-        "np": ("part", "p_partkey"),
-        "ns": ("supplier", "s_suppkey"),
-        "nn": ("nation", "n_nationkey"),
-        "nr": ("region", "r_regionkey"),
-    }
-    return {k: tables.extent(spark, folder, *where) for k, where in keys.items()}
+KEYS = {
+    "nc": ("customer", "c_custkey"),
+    "np": ("part", "p_partkey"),
+    "ns": ("supplier", "s_suppkey"),
+    "nn": ("nation", "n_nationkey"),
+    "nr": ("region", "r_regionkey"),
+}
+
+
+def extents(spark: SparkSession, folder: str, *names: str) -> list[int]:
+    found = tables.extents(spark, folder, **{n: KEYS[n] for n in names})
+    return [found[n] for n in names]
 
 
 def matrix_q(spark: SparkSession, folder: str) -> MatrixTable:
-    parts = tables.extent(spark, folder, "part", "p_partkey")
-    return tables.customer_part(spark, folder, parts, tables.extent(spark, folder, "customer", "c_custkey"))
+    customers, parts = extents(spark, folder, "nc", "np")
+    return tables.customer_part(spark, folder, parts, customers)
 
 
 def part_supplier_shape(spark: SparkSession, folder: str) -> tuple[int, int]:
-    return (
-        tables.extent(spark, folder, "part", "p_partkey"),
-        tables.extent(spark, folder, "supplier", "s_suppkey"),
-    )
+    parts, suppliers = extents(spark, folder, "np", "ns")
+    return parts, suppliers
 
 
 def matrix_t(spark: SparkSession, folder: str) -> MatrixTable:
@@ -322,9 +323,9 @@ SELECT c_custkey * nn + N.r AS "row", c_nationkey::BIGINT * nr + N.c AS col, 1::
 FROM customer, N, extents"""
 )
 def m_kron(spark: SparkSession, folder: str) -> DataFrame:
-    n = extents(spark, folder)
-    homes = incidence(spark, folder, "customer", "c_custkey", "c_nationkey", (n["nc"], n["nn"]))
-    regions = incidence(spark, folder, "nation", "n_nationkey", "n_regionkey", (n["nn"], n["nr"]))
+    customers, nations, regions = extents(spark, folder, "nc", "nn", "nr")
+    homes = incidence(spark, folder, "customer", "c_custkey", "c_nationkey", (customers, nations))
+    regions = incidence(spark, folder, "nation", "n_nationkey", "n_regionkey", (nations, regions))
     return mx.kron(homes, regions).df
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridwave.functions.indexing import ORDERS
 from gridwave.sources import grids, tables
 from gridwave.sources.grids import Grid
+from gridwave.workload.algebra import extents
 from gridwave.workload.registry import SQL_EXTENTS, query, sql_mod
 
 
@@ -23,8 +24,7 @@ def customer_grid(spark: SparkSession, folder: str, kind: str) -> Grid:
 
 
 def supplier_grid(spark: SparkSession, folder: str, kind: str) -> Grid:
-    w = tables.extent(spark, folder, "supplier", "s_suppkey")
-    h = tables.extent(spark, folder, "nation", "n_nationkey")
+    w, h = extents(spark, folder, "ns", "nn")
     return Grid(kind, (2 * w + 1, 2 * h + 1) if kind.endswith("lattice") else (w, h))
 
 

@@ -23,7 +23,7 @@ from gridwave.sources import grids, sinks, tables
 from gridwave.sources.coins import Coin, fourier, grover, hadamard
 from gridwave.sources.grids import Grid
 from gridwave.sources.states import State, decode, encode, initial_state, join_particles
-from gridwave.workload.algebra import matrix_t
+from gridwave.workload.algebra import extents, matrix_t
 from gridwave.workload.grids import customer_grid, supplier_grid
 from gridwave.workload.registry import (
     SQL_EXTENTS,
@@ -75,8 +75,8 @@ def nation_grid(spark: SparkSession, folder: str, kind: str) -> Grid:
 
 
 def plane_grid(spark: SparkSession, folder: str, kind: str) -> Grid:
-    n = tables.extent(spark, folder, "nation", "n_nationkey")
-    return Grid(kind, (n, tables.extent(spark, folder, "region", "r_regionkey")))
+    nations, regions = extents(spark, folder, "nn", "nr")
+    return Grid(kind, (nations, regions))
 
 
 def on_nations(spark: SparkSession, folder: str, kind: str = "cycle") -> State:
