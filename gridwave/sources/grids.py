@@ -239,17 +239,22 @@ def random_edges(grid: Grid, keys: DataFrame, probability: float, seed: int) ->
     return drawn.where(happens(probability, seed, *keys.columns, "edge"))
 
 
-def mark_broken(df: DataFrame, broken: DataFrame, grid: Grid) -> DataFrame:
-    """``df`` with ``is_broken``: whether its ``edge`` is in the broken set.
+def broken_lookup(broken: DataFrame, grid: Grid) -> DataFrame:
+    """The broken set, each edge once (per walk_id and step if it has them), marked ``_hit``.
 
-    A set over a small grid has at most ``grid.edges`` distinct rows and is broadcast on
-    that ground; for a larger grid the join strategy is the planner's.
+    A plain set over a small grid has at most ``grid.edges`` rows and is broadcast on that
+    ground; for a larger grid, or a set per walk, the join strategy is the planner's.
     """
     on = [c for c in broken.columns if c in ("edge", "walk_id", "step")]
-    flags = broken.select(*on).distinct().withColumn("_hit", F.lit(True))
-    if on == ["edge"] and grid.edges <= BROADCAST_EDGES:
-        flags = F.broadcast(flags)
-    return df.join(flags, on, "left").withColumn("is_broken", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    lookup = broken.select(*on).distinct().withColumn("_hit", F.lit(True))
+    return F.broadcast(lookup) if on == ["edge"] and grid.edges <= BROADCAST_EDGES else lookup
+
+
+def mark_broken(df: DataFrame, broken: DataFrame, grid: Grid) -> DataFrame:
+    """``df`` with ``is_broken``: whether its ``edge`` (and walk_id, step) is in the broken set."""
+    lookup = broken_lookup(broken, grid)
+    on = [c for c in lookup.columns if c != "_hit"]
+    return df.join(lookup, on, "left").withColumn("is_broken", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def broken_flags(spark: SparkSession, grid: Grid, broken: DataFrame) -> DataFrame:
