@@ -28,7 +28,7 @@ from gridwave.operators.matrix import ROUND_DIGITS
 from gridwave.plans.tiles import Tiling, choose_tiling, gather, spread
 from gridwave.session import cut_lineage
 from gridwave.sources.coins import Coin
-from gridwave.sources.grids import broken_lookup, edge_crossed, move
+from gridwave.sources.grids import edge_crossed, mark_broken, move
 from gridwave.sources.states import State, position_keys
 
 @dataclass(frozen=True)
@@ -69,14 +69,8 @@ def check_norm(state: State, when: str) -> None:
         raise ValueError(f"the {when} state does not have unit norm")
 
 
-# --- one step, as SQL over the rows before it ------------------------------------------------
-#
-# The text of several steps is nested and handed to Spark once, so a long walk is analysed once
-# per span of steps and not once per operation.
-
-
-def _meeting(state: State) -> str:
-    """Whether any two particles share their position."""
+def meeting(state: State) -> str:
+    """SQL for whether any two particles share their position."""
     places = [position_keys(state.grid, p) for p in range(state.particles)]
     pairs = [
         " AND ".join(f"{u} = {v}" for u, v in zip(a, b)) for i, a in enumerate(places) for b in places[i + 1 :]
@@ -84,124 +78,68 @@ def _meeting(state: State) -> str:
     return " OR ".join(pairs)
 
 
-def interaction_text(state: State, factor: complex, source: str) -> str:
+def apply_interaction(state: State, factor: complex) -> State:
     """Amplitudes of meeting particles times ``factor`` (once, however many meet)."""
     re, im = scaled_terms(complex(factor), "re", "im")
-    meets, keys = _meeting(state), ", ".join(state.all_keys)
-    return f"SELECT {keys}, if({meets}, {total(re)}, re) AS re, if({meets}, {total(im)}, im) AS im FROM {source}"
-
-
-def fold_text(coin: Coin, slot: str, keys: list[str], source: str) -> str:
-    """One row per ``keys``, with the amplitudes of the slot values side by side."""
-    sums = [
-        f"sum(if({slot} = {j}, {name}, {number(0.0)})) AS _{name}{j}" for j in range(coin.size) for name in ("re", "im")
-    ]
-    by = ", ".join(keys)
-    return f"SELECT {by}, {', '.join(sums)} FROM {source} WHERE re <> 0 OR im <> 0 GROUP BY {by}"
-
-
-def outcome(coin: Coin, i: int) -> tuple[str, str]:
-    """(re, im) of slot value i after the coin, over the columns of ``fold_text``."""
-    terms = [scaled_terms(coin.rows[i][j], f"_re{j}", f"_im{j}") for j in range(coin.size)]
-    re, im = (total(t for part in terms for t in part[side]) for side in (0, 1))
-    return re, im
-
-
-def unfold_text(coin: Coin, keys: list[str], fields: list[dict[str, str]], source: str) -> str:
-    """One row per slot value: ``keys`` and, for slot value i, ``fields[i]`` with its amplitude."""
-    structs = []
-    for i, named in enumerate(fields):
-        re, im = outcome(coin, i)
-        values = [f"'{k}', CAST({v} AS BIGINT)" for k, v in named.items()] + [f"'re', {re}", f"'im', {im}"]
-        structs.append(f"named_struct({', '.join(values)})")
-    return f"SELECT {', '.join(keys)}, inline(array({', '.join(structs)})) FROM ({source})"
-
-
-def particle_text(state: State, rules: Rules, step: int, particle: int, source: str) -> str:
-    """Coin and move of one particle."""
-    grid, coin, keys = state.grid, rules.coins[particle], state.keys(particle)
-    slot, at = keys[0], keys[1:]
-    others = [k for k in state.all_keys if k not in keys]
-    folded = fold_text(coin, slot, others + at, source)
-    if rules.broken is None:
-        fields = []
-        for i in range(coin.size):
-            is_broken = None
-            if rules.random is not None:
-                draw = ("walk_id", str(step), edge_crossed(grid, f"{i}L", at))
-                is_broken = happens(rules.random.probability, rules.random.seed, *draw)
-            new_slot, new_at = move(grid, f"{i}L", at, is_broken)
-            fields.append(dict(zip(keys, [new_slot, *new_at])))
-        return unfold_text(coin, others, fields, folded)
-    mixed = unfold_text(coin, others + at, [{slot: f"{i}L"} for i in range(coin.size)], folded)
-    numbered = f"SELECT *, {edge_crossed(grid, slot, at)} AS edge FROM ({mixed}) WHERE re <> 0 OR im <> 0"
-    on = ", ".join(c for c in rules.broken.columns if c in ("edge", "walk_id"))
-    of_step = f" WHERE step = {step}" if "step" in rules.broken.columns else ""
-    new_slot, new_at = move(grid, slot, at, "_hit IS NOT NULL")
-    moved = [f"CAST({v} AS BIGINT) AS {k}" for k, v in zip(keys, [new_slot, *new_at])]
-    return (
-        f"SELECT {', '.join(others + moved)}, re, im FROM ({numbered}) "
-        f"LEFT JOIN (SELECT {on}, _hit FROM {{broken}}{of_step}) USING ({on})"
+    meets = meeting(state)
+    return state.with_df(
+        state.df.selectExpr(
+            *state.all_keys, f"if({meets}, {total(re)}, re) AS re", f"if({meets}, {total(im)}, im) AS im"
+        )
     )
 
 
-def run_text(state: State, text: str, rules: Rules | None = None) -> State:
-    """The state given by SQL over ``{state}`` and, if there is one, the table ``{broken}``."""
-    tables = {"state": state.df}
-    if rules is not None and rules.broken is not None:
-        tables["broken"] = broken_lookup(rules.broken, state.grid)
-    keys = ", ".join(state.all_keys)
-    text = f"SELECT {keys}, re, im FROM ({text}) WHERE re <> 0 OR im <> 0"
-    return state.with_df(state.df.sparkSession.sql(text, **tables))
-
-
-def take_steps(state: State, rules: Rules, first: int, last: int) -> State:
-    """Steps ``first`` to ``last``, without cutting the history."""
-    if len(rules.coins) != state.particles:
-        raise ValueError(f"{state.particles} particles need as many coins, not {len(rules.coins)}")
-    for coin in rules.coins:
-        check_coin(coin, state)
-    source = "{state}"
-    for step in range(first, last + 1):
-        if rules.meeting_factor is not None and state.particles > 1:
-            source = f"({interaction_text(state, rules.meeting_factor, source)})"
-        for particle in range(state.particles):
-            source = f"({particle_text(state, rules, step, particle, source)})"
-    return run_text(state, f"SELECT * FROM {source}", rules)
-
-
-def check_coin(coin: Coin, state: State) -> None:
+def apply_coin(state: State, coin: Coin, particle: int = 0) -> State:
+    """The coin on one particle: one fold, then one row per coin value with an amplitude."""
     if coin.size != state.grid.coins:
         raise ValueError(f"a coin of size {coin.size} does not fit a grid with {state.grid.coins} coin values")
-
-
-# --- parts of a step on their own ----------------------------------------------------------------
-
-
-def one_step(state: State, rules: Rules, step: int = 1) -> State:
-    return take_steps(state, rules, step, step)
-
-
-def apply_interaction(state: State, factor: complex) -> State:
-    return run_text(state, interaction_text(state, factor, "{state}"))
+    return state.with_df(mix(state.df, coin, f"c{particle}", [k for k in state.all_keys if k != f"c{particle}"]))
 
 
 def mix(df: DataFrame, coin: Coin, slot: str, keys: list[str]) -> DataFrame:
     """Vectors over ``slot`` (0 .. size-1), one per ``keys``, times the coin matrix."""
-    folded = fold_text(coin, slot, keys, "{df}")
-    mixed = unfold_text(coin, keys, [{slot: f"{i}L"} for i in range(coin.size)], folded)
-    return df.sparkSession.sql(f"SELECT * FROM ({mixed}) WHERE re <> 0 OR im <> 0", df=df)
-
-
-def apply_coin(state: State, coin: Coin, particle: int = 0) -> State:
-    """The coin on one particle, without the move."""
-    check_coin(coin, state)
-    slot = f"c{particle}"
-    mixed = mix(state.df, coin, slot, [k for k in state.all_keys if k != slot])
-    return state.with_df(mixed.select(*state.all_keys, "re", "im"))
+    size = coin.size
+    amplitudes = [
+        F.expr(f"sum(if({slot} = {j}, {name}, {number(0.0)})) AS _{name}{j}") for j in range(size) for name in ("re", "im")
+    ]
+    folded = df.groupBy(*keys).agg(*amplitudes)
+    outcomes = []
+    for i in range(size):
+        terms = [scaled_terms(coin.rows[i][j], f"_re{j}", f"_im{j}") for j in range(size)]
+        re, im = (total(t for part in terms for t in part[side]) for side in (0, 1))
+        outcomes.append(f"named_struct('{slot}', {i}L, 're', {re}, 'im', {im})")
+    mixed = folded.selectExpr(*keys, f"inline(array({', '.join(outcomes)}))")
+    return mixed.where("re <> 0 OR im <> 0")
+
+
+def apply_move(state: State, rules: Rules, step: int, particle: int = 0) -> State:
+    """The move of one particle: a projection, with a join only for a table of broken edges."""
+    grid, keys = state.grid, state.keys(particle)
+    coin, at = keys[0], keys[1:]
+    df, is_broken = state.df, None
+    if rules.broken is not None:
+        broken = rules.broken
+        if "step" in broken.columns:
+            broken = broken.where(F.col("step") == step).drop("step")
+        df = mark_broken(df.selectExpr("*", f"{edge_crossed(grid, coin, at)} AS edge"), broken, grid)
+        is_broken = "is_broken"
+    elif rules.random is not None:
+        draw = ("walk_id", str(step), edge_crossed(grid, coin, at))
+        is_broken = happens(rules.random.probability, rules.random.seed, *draw)
+    new_coin, new_at = move(grid, coin, at, is_broken)
+    moved = dict(zip(keys, [new_coin, *new_at]))
+    columns = [f"CAST({moved[k]} AS BIGINT) AS {k}" if moved.get(k, k) != k else k for k in state.all_keys]
+    return state.with_df(df.selectExpr(*columns, "re", "im"))
 
 
-# --- many steps ------------------------------------------------------------------------------------
+def one_step(state: State, rules: Rules, step: int = 1) -> State:
+    if len(rules.coins) != state.particles:
+        raise ValueError(f"{state.particles} particles need as many coins, not {len(rules.coins)}")
+    if rules.meeting_factor is not None and state.particles > 1:
+        state = apply_interaction(state, rules.meeting_factor)
+    for particle, coin in enumerate(rules.coins):
+        state = apply_move(apply_coin(state, coin, particle), rules, step, particle)
+    return state
 
 
 def walk(
@@ -228,7 +166,9 @@ def walk(
     while done < steps:
         span = min(cut_every, steps - done, tiling.steps or cut_every)
         state = spread(state, tiling, span, partitions)
-        state = gather(take_steps(state, rules, done + 1, done + span), tiling)
+        for step in range(done + 1, done + span + 1):
+            state = one_step(state, rules, step)
+        state = gather(state, tiling)
         before, done = done, done + span
         if done == steps:
             if verify:

@@ -211,10 +211,10 @@ def test_permanent_and_random_breaks_agree_when_all_edges_break(spark):
 def test_breaks_per_walk_and_step_match_a_drawn_table(spark):
     grid = Grid("cycle", (6,))
     state = start(spark, grid, BALANCED, walks=3)
-    keys = spark.range(3).selectExpr("id AS walk_id", "explode(array(1L)) AS step")
-    drawn = grids.random_edges(grid, keys, 0.5, 11).drop("step")
-    a = wk.one_step(state, Rules((hadamard(1),), broken=drawn))
-    b = wk.one_step(state, Rules((hadamard(1),), random=RandomEdges(0.5, 11)))
+    keys = spark.range(3).selectExpr("id AS walk_id", "explode(array(1L, 2L, 3L)) AS step")
+    drawn = grids.random_edges(grid, keys, 0.5, 11)
+    a = wk.walk(state, Rules((hadamard(1),), broken=drawn), 3)
+    b = wk.walk(state, Rules((hadamard(1),), random=RandomEdges(0.5, 11)), 3)
     assert distance(a, b) < 1e-12
 
 
