@@ -20,7 +20,9 @@ from gridwave.operators.skew import PIECE_ROWS, split_join
 ROUND_DIGITS = 10
 # A Kronecker factor up to this many cells (32 bytes each) is broadcast.
 BROADCAST_CELLS = 100_000
-KRON_PIECE_CELLS = 1_000_000
+# Cells of either factor that meet in one group otherwise; a group makes at most the square.
+KRON_PIECE_CELLS = 10_000
+PAIRS_PER_TASK = 100_000_000
 # Dense results up to this many cells may be brought to the driver on request.
 MAX_LOCAL_CELLS = 1_000_000
 
@@ -357,30 +359,24 @@ def propagate(operators: list[MatrixTable], v: MatrixTable, steps: int, cut_ever
 def kron(a: MatrixTable, b: MatrixTable) -> MatrixTable:
     """The Kronecker product: every cell of a with every cell of b, by definition.
 
-    A factor whose counted cells fit BROADCAST_CELLS is sent to every task. Otherwise both are
-    cut into pieces and each pair of pieces meets once in an equi-join, so no task sees more
-    than one piece of either factor.
+    A factor whose counted cells fit BROADCAST_CELLS is sent to every task, and the other one is
+    spread so that tasks make about PAIRS_PER_TASK cells. Otherwise both are cut into pieces and
+    each pair of pieces meets once in an equi-join, so no group holds more than one piece of
+    either factor.
     """
     dtype = wider(a.dtype, b.dtype)
     a, b = cast_to(a, dtype), cast_to(b, dtype)
     n_a, n_b = count_cells(a), count_cells(b)
     left = a.df.select(F.col("row").alias("a_row"), F.col("col").alias("a_col"), *[F.col(c).alias(f"a_{c}") for c in a.values])
     right = b.df.select(F.col("row").alias("b_row"), F.col("col").alias("b_col"), *[F.col(c).alias(f"b_{c}") for c in b.values])
-    small = min(n_a, n_b) <= BROADCAST_CELLS
-    pieces_a = 1 if small else -(-n_a // KRON_PIECE_CELLS)
-    pieces_b = 1 if small else -(-n_b // KRON_PIECE_CELLS)
-
-    def cut(df: DataFrame, side: str, own: int, other: int) -> DataFrame:
-        piece = F.pmod(F.xxhash64(f"{side}_row", f"{side}_col"), F.lit(own))
-        return repeat_over_range(df.withColumn(f"_own_{side}", piece), other, f"_other_{side}")
-
-    left = cut(left, "a", pieces_a, pieces_b)
-    right = cut(right, "b", pieces_b, pieces_a)
-    if small:
-        left, right = (left, F.broadcast(right)) if n_b <= n_a else (F.broadcast(left), right)
-    pairs = left.join(
-        right, (F.col("_own_a") == F.col("_other_b")) & (F.col("_other_a") == F.col("_own_b"))
-    )
+    if min(n_a, n_b) <= BROADCAST_CELLS:
+        tasks = -(-n_a * n_b // PAIRS_PER_TASK)
+        if n_b <= n_a:
+            pairs = _all_pairs(left.repartition(tasks) if tasks > 1 else left, right)
+        else:
+            pairs = _all_pairs(right.repartition(tasks) if tasks > 1 else right, left)
+    else:
+        pairs = _all_pairs_in_pieces(left, right, -(-n_a // KRON_PIECE_CELLS), -(-n_b // KRON_PIECE_CELLS))
     shape = (a.shape[0] * b.shape[0], a.shape[1] * b.shape[1])
     if dtype == "complex":
         re, im = product(_pair(a, "a_"), _pair(b, "b_"))
@@ -395,6 +391,25 @@ def kron(a: MatrixTable, b: MatrixTable) -> MatrixTable:
     return MatrixTable(cells, shape, dtype, n_a * n_b)
 
 
+def _all_pairs(large: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row of ``large`` with every row of the broadcast ``small``."""
+    key = F.pmod(F.xxhash64(*large.columns), F.lit(1))
+    sent = small.withColumn("_key", F.lit(0).cast("long"))
+    return large.withColumn("_key", key).join(F.broadcast(sent), "_key").drop("_key")
+
+
+def _all_pairs_in_pieces(left: DataFrame, right: DataFrame, pieces_left: int, pieces_right: int) -> DataFrame:
+    """Every row of one side with every row of the other, each pair of pieces in a group of its own."""
+
+    def cut(df: DataFrame, own: str, pieces: int, other: str, other_pieces: int) -> DataFrame:
+        numbered = df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
+        return repeat_over_range(numbered, other_pieces, other)
+
+    cut_left = cut(left, "_left", pieces_left, "_right", pieces_right)
+    cut_right = cut(right, "_right", pieces_right, "_left", pieces_left)
+    return cut_left.join(cut_right, ["_left", "_right"]).drop("_left", "_right")
+
+
 def kron_identity(m: MatrixTable, n: int, side: str) -> MatrixTable:
     """m (x) I_n (side "right") or I_n (x) m (side "left"), without building the identity."""
     if side not in ("left", "right"):

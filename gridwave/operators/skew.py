@@ -26,12 +26,14 @@ MAX_PIECES = 1024
 def hot_keys(df: DataFrame, key: str, counted: Column, size: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(key, ``size``): estimated rows of the keys above ``piece_rows``, where ``counted`` holds."""
     top = f"approx_top_k(_key, {MAX_HOT_KEYS}, {SKETCH_ITEMS})"
+    # The same null filter and columns as the join needs, so that a shuffle behind ``df`` is
+    # done once and read by both.
     return (
-        df.select(F.when(counted, F.col(key)).alias("_key"))
-        .where(F.col("_key").isNotNull())
+        df.where(F.col(key).isNotNull())
+        .select(F.when(counted, F.col(key)).alias("_key"))
         .agg(F.expr(top).alias("_top"))
         .select(F.inline("_top").alias(key, size))
-        .where(F.col(size) > F.lit(piece_rows))
+        .where(F.col(key).isNotNull() & (F.col(size) > F.lit(piece_rows)))
     )
 
 

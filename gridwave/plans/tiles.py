@@ -35,14 +35,15 @@ class Tiling:
     steps: int | None = None
 
 
-def choose_tiling(state: State, tile_rows: int = TILE_ROWS) -> Tiling:
+def choose_tiling(state: State, local_moves: bool = True, tile_rows: int = TILE_ROWS) -> Tiling:
+    """Whole walks where they are small; tiles where moves are local and borders narrow."""
     grid, particles = state.grid, state.particles
     if (grid.coins * grid.sites) ** particles <= tile_rows:
         return Tiling("walk")
     dims = len(state.positions)
     width = int((tile_rows / grid.coins**particles) ** (1 / dims))
     steps = min(MAX_STEPS, int(width / 2 * (MAX_COPIES ** (1 / dims) - 1)))
-    return Tiling("tile", width, steps) if steps >= 2 else Tiling("key")
+    return Tiling("tile", width, steps) if local_moves and steps >= 2 else Tiling("key")
 
 
 def _stretches(state: State, width: int) -> list[tuple[str, int, int]]:

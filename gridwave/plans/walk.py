@@ -17,6 +17,8 @@ exchange per k steps. Where tiles would be mostly border, every fold shuffles by
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,9 +30,14 @@ from gridwave.operators.matrix import ROUND_DIGITS
 from gridwave.plans.tiles import Tiling, choose_tiling, gather, spread
 from gridwave.session import cut_lineage
 from gridwave.sources.coins import Coin
-from gridwave.sources.grids import edge_crossed, mark_broken, move
+from gridwave.sources.grids import BROADCAST_EDGES, Grid, edge_crossed, mark_broken, move, validate_transition
 from gridwave.sources.states import State, position_keys
 
+# Rows a task should hold, and the most partitions worth scheduling for it.
+TASK_ROWS = 2_000_000
+MAX_PARTITIONS = 100_000
+
+
 @dataclass(frozen=True)
 class RandomEdges:
     """Each edge broken with this probability, drawn anew per walk and step."""
@@ -41,16 +48,25 @@ class RandomEdges:
 
 @dataclass(frozen=True)
 class Rules:
-    """What happens in a step: coins per particle, broken edges, phase on meeting."""
+    """What happens in a step.
+
+    ``coins`` has one coin per particle. Moves are those of the grid, with ``broken`` (a table)
+    or ``random`` edges, or those of a table ``transition`` of one's own. Before them comes the
+    factor for meeting particles, or any ``interaction`` from state to state.
+    """
 
     coins: tuple[Coin, ...]
     broken: DataFrame | None = None
     random: RandomEdges | None = None
+    transition: DataFrame | None = None
     meeting_factor: complex | None = None
+    interaction: Callable[[State], State] | None = None
 
     def __post_init__(self) -> None:
-        if self.broken is not None and self.random is not None:
-            raise ValueError("broken edges are either permanent or random")
+        if sum(x is not None for x in (self.broken, self.random, self.transition)) > 1:
+            raise ValueError("moves come from one of broken, random and transition")
+        if self.meeting_factor is not None and self.interaction is not None:
+            raise ValueError("give a meeting factor or an interaction of your own")
 
 
 def norms(state: State) -> DataFrame:
@@ -63,10 +79,12 @@ def norms(state: State) -> DataFrame:
     )
 
 
-def check_norm(state: State, when: str) -> None:
-    """One action; ValueError if any walk's amplitudes do not have norm one."""
-    if not norms(state).where(~F.col("is_unit")).isEmpty():
-        raise ValueError(f"the {when} state does not have unit norm")
+def check_norm(state: State, when: str) -> int:
+    """One job: the number of walks; ValueError if any walk's amplitudes do not have norm one."""
+    found = norms(state).agg(F.count("*").alias("walks"), F.count_if(~F.col("is_unit")).alias("bad")).first()
+    if found["bad"]:
+        raise ValueError(f"the {when} state does not have unit norm in {found['bad']} walks")
+    return found["walks"]
 
 
 def meeting(state: State) -> str:
@@ -126,7 +144,15 @@ def apply_move(state: State, rules: Rules, step: int, particle: int = 0) -> Stat
     elif rules.random is not None:
         draw = ("walk_id", str(step), edge_crossed(grid, coin, at))
         is_broken = happens(rules.random.probability, rules.random.seed, *draw)
-    new_coin, new_at = move(grid, coin, at, is_broken)
+    if rules.transition is not None:
+        names = ["coin", *grid.axes]
+        table = rules.transition
+        if grid.coins * grid.sites <= BROADCAST_EDGES:
+            table = F.broadcast(table)
+        df = df.join(table, [F.col(k) == F.col(f"src_{n}") for k, n in zip(keys, names)])
+        new_coin, *new_at = [f"dst_{n}" for n in names]
+    else:
+        new_coin, new_at = move(grid, coin, at, is_broken)
     moved = dict(zip(keys, [new_coin, *new_at]))
     columns = [f"CAST({moved[k]} AS BIGINT) AS {k}" if moved.get(k, k) != k else k for k in state.all_keys]
     return state.with_df(df.selectExpr(*columns, "re", "im"))
@@ -135,13 +161,28 @@ def apply_move(state: State, rules: Rules, step: int, particle: int = 0) -> Stat
 def one_step(state: State, rules: Rules, step: int = 1) -> State:
     if len(rules.coins) != state.particles:
         raise ValueError(f"{state.particles} particles need as many coins, not {len(rules.coins)}")
-    if rules.meeting_factor is not None and state.particles > 1:
+    if rules.interaction is not None:
+        state = rules.interaction(state)
+    elif rules.meeting_factor is not None and state.particles > 1:
         state = apply_interaction(state, rules.meeting_factor)
     for particle, coin in enumerate(rules.coins):
         state = apply_move(apply_coin(state, coin, particle), rules, step, particle)
     return state
 
 
+def check_transition(transitions: DataFrame, grid: Grid) -> None:
+    """One job; ValueError unless the table moves every coin and position to a distinct one."""
+    found = validate_transition(transitions).first()
+    if not found["is_permutation"] or found["n"] != grid.coins * grid.sites:
+        raise ValueError("a transition table is a permutation of all coins and positions")
+
+
+def rows_reached(state: State, steps: int) -> int:
+    """Most rows one walk of particles that start on one site can have after ``steps`` steps."""
+    sites = math.prod(min(n, 2 * steps + 1) for n in state.grid.shape)
+    return (state.grid.coins * sites) ** state.particles
+
+
 def walk(
     state: State,
     rules: Rules,
@@ -156,12 +197,18 @@ def walk(
 
     ``verify`` checks that each walk has norm one before and after, as two small jobs. The
     history is cut every ``cut_every`` steps. ``tiling`` overrides how walks are partitioned.
+    Without ``partitions`` there are as many as the session sets, or more where the number of
+    walks (known from the first check) would make them too large.
     """
-    if verify:
-        check_norm(state, "initial")
-    tiling = tiling or choose_tiling(state)
+    if rules.transition is not None:
+        check_transition(rules.transition, state.grid)
+    walks = check_norm(state, "initial") if verify else 1
+    local_moves = rules.transition is None and rules.interaction is None
+    tiling = tiling or choose_tiling(state, local_moves)
     if partitions is None:
-        partitions = int(state.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        configured = int(state.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        needed = -(-walks * rows_reached(state, steps) // TASK_ROWS)
+        partitions = max(configured, min(needed, MAX_PARTITIONS))
     done = 0
     while done < steps:
         span = min(cut_every, steps - done, tiling.steps or cut_every)

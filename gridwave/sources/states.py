@@ -56,22 +56,13 @@ def particle_keys(grid: Grid, particle: int) -> list[str]:
     return [f"c{particle}"] + position_keys(grid, particle)
 
 
-def initial_state(starts: DataFrame, grid: Grid, coin_state: list[tuple]) -> State:
-    """One particle per row of ``starts`` (walk_id, x[, y]), all in the given coin state.
+def initial_state(starts: DataFrame, grid: Grid, coin_state: list[tuple] | DataFrame) -> State:
+    """One particle per row of ``starts`` (walk_id, x[, y]).
 
-    ``coin_state`` lists (coin, re, im); re and im are numbers or columns of ``starts``, so
-    each walk may have its own amplitudes. Starts outside the grid fail the job.
+    ``coin_state`` lists (coin, re, im) for all walks; re and im are numbers or columns of
+    ``starts``, so each walk may have its own amplitudes. Or it is a table (walk_id, coin, re,
+    im). Starts outside the grid fail the job.
     """
-    amplitudes = F.array(
-        *[
-            F.struct(
-                F.lit(c).cast("long").alias("c0"),
-                _double(re).alias("re"),
-                _double(im).alias("im"),
-            )
-            for c, re, im in coin_state
-        ]
-    )
     inside = F.lit(True)
     for name, n in zip(grid.axes, grid.shape):
         inside = inside & F.col(name).between(0, n - 1)
@@ -80,7 +71,17 @@ def initial_state(starts: DataFrame, grid: Grid, coin_state: list[tuple]) -> Sta
         .cast("long").alias(f"{name}0")
         for name in grid.axes
     ]
-    df = starts.select("walk_id", *position, F.inline(amplitudes))
+    if isinstance(coin_state, DataFrame):
+        amplitudes = coin_state.select(
+            "walk_id", F.col("coin").cast("long").alias("c0"), _double(F.col("re")).alias("re"), _double(F.col("im")).alias("im")
+        )
+        df = starts.select("walk_id", *position).join(amplitudes, "walk_id")
+    else:
+        structs = [
+            F.struct(F.lit(c).cast("long").alias("c0"), _double(re).alias("re"), _double(im).alias("im"))
+            for c, re, im in coin_state
+        ]
+        df = starts.select("walk_id", *position, F.inline(F.array(*structs)))
     df = df.where((F.col("re") != 0) | (F.col("im") != 0))
     return State(df.select("walk_id", *particle_keys(grid, 0), "re", "im"), grid, 1)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwave.functions.complexnum import phase_factor
@@ -472,6 +472,34 @@ def w_walk_random_broken(spark: SparkSession, folder: str) -> DataFrame:
     return amplitudes(wk.walk(on_nations(spark, folder), Rules((hadamard(1),), random=RANDOM), 3))
 
 
+@query(
+    f"""WITH {SQL_EXTENTS}, {sql_coin('coin', hadamard(1))}, {ON_NATIONS},
+n AS (SELECT n_nationkey::BIGINT AS x,
+    coalesce(lead(n_nationkey) OVER w, first_value(n_nationkey) OVER w)::BIGINT AS onward
+  FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT 0::BIGINT AS c, x, onward AS y FROM n UNION ALL SELECT 1, onward, x FROM n),
+m1 AS (SELECT walk_id, ci AS c0, x0, sum(k.re * s.re) AS re, sum(k.re * s.im) AS im
+  FROM start1 s JOIN coin k ON cj = c0 GROUP BY ALL),
+s1 AS (SELECT walk_id, c0, y AS x0, re, im FROM m1 JOIN t ON c = c0 AND x = x0),
+m2 AS (SELECT walk_id, ci AS c0, x0, sum(k.re * s.re) AS re, sum(k.re * s.im) AS im
+  FROM s1 s JOIN coin k ON cj = c0 GROUP BY ALL),
+s2 AS (SELECT walk_id, c0, y AS x0, re, im FROM m2 JOIN t ON c = c0 AND x = x0)
+{sql_nonzero("s2", K1, "re", "im")}"""
+)
+def w_walk_own_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Two steps on a graph of one's own: rings of the nations of each region."""
+    ring = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nations = tables.read(spark, folder, "nation", "n_nationkey", "n_regionkey").select(
+        F.col("n_nationkey").cast("long").alias("x"),
+        F.coalesce(F.lead("n_nationkey").over(ring), F.first("n_nationkey").over(whole)).cast("long").alias("onward"),
+    )
+    moves = nations.selectExpr("0L AS src_coin", "x AS src_x", "0L AS dst_coin", "onward AS dst_x").unionByName(
+        nations.selectExpr("1L AS src_coin", "onward AS src_x", "1L AS dst_coin", "x AS dst_x")
+    )
+    return amplitudes(wk.walk(on_nations(spark, folder), Rules((hadamard(1),), transition=moves), 2))
+
+
 # --- distributions ---------------------------------------------------------------------------------------------------
 
 

@@ -264,3 +264,42 @@ def test_dense_and_average(spark):
     assert measure.total(d.where("false"), []).first()[0] == 0.0
     with pytest.raises(ValueError):
         measure.to_ndarray(d, Grid("cycle", (10**7,)))
+
+
+def test_a_transition_table_of_ones_own(spark):
+    grid = Grid("segment", (6,))
+    state, table = start(spark, grid, BALANCED), grids.transition(spark, grid)
+    a = wk.walk(state, Rules((hadamard(1),), transition=table), 3)
+    assert distance(a, wk.walk(state, Rules((hadamard(1),)), 3)) < 1e-12
+    with pytest.raises(ValueError, match="permutation"):
+        wk.walk(state, Rules((hadamard(1),), transition=table.where("src_x > 0")), 1)
+    with pytest.raises(ValueError):
+        Rules((hadamard(1),), transition=table, random=RandomEdges(0.1, 1))
+    assert choose_tiling(State(state.df, Grid("cycle", (10**9,)), 1), local_moves=False).kind == "key"
+
+
+def test_an_interaction_of_ones_own(spark):
+    one = start(spark, grids.line(2), ZERO)
+    state = join_particles(one, one)
+    own = Rules((hadamard(1),) * 2, interaction=lambda s: wk.apply_interaction(s, SIGN))
+    a = wk.walk(state, own, 2)
+    assert distance(a, wk.walk(state, Rules((hadamard(1),) * 2, meeting_factor=SIGN), 2)) < 1e-12
+
+
+def test_coin_states_from_a_table(spark):
+    starts = spark.range(2).selectExpr("id AS walk_id", "id + 1 AS x")
+    coins = spark.sql("SELECT * FROM VALUES (0L, 1, 1.0D, 0.0D), (1L, 0, 0.6D, 0.0D), (1L, 1, 0.0D, 0.8D) AS t(walk_id, coin, re, im)")
+    state = initial_state(starts, Grid("cycle", (4,)), coins)
+    assert amplitudes(state) == {(0, 1, 1): 1, (1, 0, 2): 0.6, (1, 1, 2): 0.8j}
+
+
+def test_partitions_grow_with_the_walks(spark, monkeypatch):
+    grid = grids.line(3)
+    state = start(spark, grid, BALANCED, walks=40)
+    monkeypatch.setattr(wk, "TASK_ROWS", 20)
+    assert wk.rows_reached(state, 3) == 14 and wk.rows_reached(state, 1) == 6
+    tiled = []
+    spread = wk.spread
+    monkeypatch.setattr(wk, "spread", lambda s, t, n, p: tiled.append(p) or spread(s, t, n, p))
+    wk.walk(state, Rules((hadamard(1),)), 3)
+    assert tiled == [28]
