@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridwave.functions.complexnum import abs_squared, product, scaled_terms, total
 from gridwave.functions.indexing import div
 from gridwave.functions.ranges import repeat_over_range
-from gridwave.operators.skew import PIECE_ROWS, split_join
+from gridwave.operators.skew import PIECE_PAIRS, split_join
 
 ROUND_DIGITS = 10
 # A Kronecker factor up to this many cells (32 bytes each) is broadcast.
@@ -293,12 +293,12 @@ def to_ndarray(m: MatrixTable, max_cells: int = MAX_LOCAL_CELLS):
 # --- products ---------------------------------------------------------------------------------
 
 
-def matmul(a: MatrixTable, b: MatrixTable, piece_rows: int = PIECE_ROWS, split_hot: bool = True) -> MatrixTable:
+def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split_hot: bool = True) -> MatrixTable:
     """a * b: join on the inner dimension, multiply, sum per cell.
 
-    Inner keys that are frequent on either side are cut into pieces (see ``skew``); pass
-    ``split_hot=False`` where each inner key is known to be rare on one side. Products are
-    partially summed before the shuffle by (row, col).
+    Inner keys that make many pairs are cut into pieces (see ``skew``); pass ``split_hot=False``
+    where each inner key is known to be rare on one side. Products are partially summed before
+    the shuffle by (row, col).
     """
     if a.shape[1] != b.shape[0]:
         raise ValueError(f"incompatible shapes {a.shape} and {b.shape}")
@@ -315,7 +315,7 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_rows: int = PIECE_ROWS, split_h
             _nonzero([f"b_{c}" for c in b.values]),
             ["row"],
             ["col"],
-            piece_rows,
+            piece_pairs,
         )
     else:
         pairs = left.join(right, "_k")

@@ -1,12 +1,15 @@
-"""Joins on keys of which a few may hold a large share of both sides.
+"""Joins on keys of which some may hold a large share of both sides.
 
 A join of two matrices on their inner dimension emits, per key, every left entry with every
-right entry. A key that is frequent on both sides is far more work than its bytes suggest, so
-it is cut into pieces here: its left rows fall into pieces by a hash, likewise its right rows,
-and each left piece meets each right piece once. Every pair is still formed exactly once.
+right entry. Keys that are frequent on both sides are far more work than their bytes suggest,
+so adaptive execution does not see them. Here they are cut into pieces: the left rows of a key
+fall into pieces by a hash, likewise its right rows, and each left piece meets each right piece
+once. Every pair is still formed exactly once.
 
-Frequent keys come from one pass of a fixed-size frequency sketch per side. The sketch only
-decides how the work is cut: a key it misses is joined whole, with the same result.
+Which keys are cut follows from exact counts. A key is cut when it makes more pairs than
+``W = max(PIECE_PAIRS, all pairs / MAX_HOT_KEYS)``. So at most MAX_HOT_KEYS keys are cut, which
+bounds the table of them that is broadcast, and no group of the join makes more than about W
+pairs, which bounds the longest task relative to the whole job.
 """
 
 from __future__ import annotations
@@ -14,26 +17,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many frequent keys per side are reported, so the broadcast table of frequent
-# keys never exceeds twice this many rows.
-MAX_HOT_KEYS = 1000
-SKETCH_ITEMS = 10_000
-# Rows of one key that a single task is expected to take on.
-PIECE_ROWS = 20_000
-MAX_PIECES = 1024
+MAX_HOT_KEYS = 100_000
+PIECE_PAIRS = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, counted: Column, size: str, piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """(key, ``size``): estimated rows of the keys above ``piece_rows``, where ``counted`` holds."""
-    top = f"approx_top_k(_key, {MAX_HOT_KEYS}, {SKETCH_ITEMS})"
-    # The same null filter and columns as the join needs, so that a shuffle behind ``df`` is
-    # done once and read by both.
-    return (
-        df.where(F.col(key).isNotNull())
-        .select(F.when(counted, F.col(key)).alias("_key"))
-        .agg(F.expr(top).alias("_top"))
-        .select(F.inline("_top").alias(key, size))
-        .where(F.col(key).isNotNull() & (F.col(size) > F.lit(piece_rows)))
+def hot_keys(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    left_counted: Column,
+    right_counted: Column,
+    piece_pairs: int = PIECE_PAIRS,
+) -> DataFrame:
+    """(key, _pieces_left, _pieces_right) for the keys to cut.
+
+    ``*_counted`` say which rows matter. They should refer to the value columns: then counting
+    needs the same columns as the join does, and a shuffle behind a side is read by both.
+    """
+
+    def counts(df: DataFrame, counted: Column, name: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(counted).cast("double").alias(name))
+
+    pairs = counts(left, left_counted, "_l").join(counts(right, right_counted, "_r"), key)
+    pairs = pairs.withColumn("_pairs", F.col("_l") * F.col("_r"))
+    everything = pairs.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0))).scalar()
+    sized = pairs.withColumn("_w", F.greatest(F.lit(float(piece_pairs)), everything / F.lit(MAX_HOT_KEYS)))
+    # Pieces are square where both sides are long; a side shorter than that stays whole.
+    edge, needed = F.sqrt("_w"), F.ceil(F.col("_pairs") / F.col("_w"))
+    left_short, right_short = F.col("_l") <= edge, F.col("_r") <= edge
+    return sized.where(F.col("_pairs") > F.col("_w")).select(
+        key,
+        F.when(left_short, 1).when(right_short, needed).otherwise(F.ceil(F.col("_l") / edge)).cast("int").alias("_pieces_left"),
+        F.when(right_short, 1).when(left_short, needed).otherwise(F.ceil(F.col("_r") / edge)).cast("int").alias("_pieces_right"),
     )
 
 
@@ -45,23 +60,14 @@ def split_join(
     right_counted: Column,
     left_spread: list[str],
     right_spread: list[str],
-    piece_rows: int = PIECE_ROWS,
+    piece_pairs: int = PIECE_PAIRS,
 ) -> DataFrame:
     """Inner equi-join on ``key`` with frequent keys cut into pieces.
 
     ``*_spread`` name the columns whose hash picks a row's piece; they should tell the rows of
     one key apart. The hash depends on the row alone, so a retried task cuts the same way.
     """
-    hot = hot_keys(left, key, left_counted, "_n_left", piece_rows).join(
-        hot_keys(right, key, right_counted, "_n_right", piece_rows), key, "full_outer"
-    )
-    hot = F.broadcast(
-        hot.select(
-            key,
-            _pieces("_n_left", piece_rows).alias("_pieces_left"),
-            _pieces("_n_right", piece_rows).alias("_pieces_right"),
-        )
-    )
+    hot = F.broadcast(hot_keys(left, right, key, left_counted, right_counted, piece_pairs))
 
     def cut(df: DataFrame, spread: list[str], own: str, other: str) -> DataFrame:
         own_pieces = F.coalesce(f"_pieces_{own}", F.lit(1))
@@ -76,8 +82,3 @@ def split_join(
     cut_left = cut(left, left_spread, "left", "right")
     cut_right = cut(right, right_spread, "right", "left")
     return cut_left.join(cut_right, [key, "_left", "_right"]).drop("_left", "_right")
-
-
-def _pieces(size: str, piece_rows: int) -> Column:
-    pieces = F.ceil(F.coalesce(F.col(size), F.lit(1)) / F.lit(piece_rows))
-    return F.least(F.greatest(pieces, F.lit(1)), F.lit(MAX_PIECES)).cast("int")

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwave.operators import matrix as mx
+from gridwave.operators import skew
 from gridwave.operators.matrix import MatrixTable
-from gridwave.operators.skew import hot_keys
 
 
 def table(spark, array) -> MatrixTable:
@@ -146,17 +146,26 @@ def skewed(spark):
     return MatrixTable(left, (600, 100), "int"), MatrixTable(right, (100, 300), "int")
 
 
-def test_frequent_keys_are_found(spark):
-    a, _ = skewed(spark)
-    found = hot_keys(a.df, "col", F.col("v") != 0, "n", piece_rows=50).collect()
-    assert [r["col"] for r in found] == [7]
-    assert found[0]["n"] >= 200
-
-
-@pytest.mark.parametrize("piece_rows", [10, 50, 10_000])
-def test_split_products_equal_plain_ones(spark, piece_rows):
+def test_frequent_keys_are_found(spark, monkeypatch):
     a, b = skewed(spark)
-    split = mx.matmul(a, b, piece_rows=piece_rows)
+    left = a.df.select(F.col("col").alias("k"), "row", "v")
+    right = b.df.select(F.col("row").alias("k"), "col", "v")
+    found = lambda n: skew.hot_keys(left, right, "k", F.col("v") != 0, F.col("v") != 0, n).collect()
+    n_left, n_right = left.where("k = 7").count(), right.where("k = 7").count()
+    assert n_left > 200 and n_right > 100
+    assert [tuple(r) for r in found(10_000)] == [(7, -(-n_left // 100), -(-n_right // 100))]
+    assert found(n_left * n_right) == []
+    # A side shorter than the edge of a piece stays whole.
+    assert [tuple(r) for r in found(18_000)] == [(7, 2, 1)]
+    # No more keys than allowed, whatever the size of pieces.
+    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 3)
+    assert [r["k"] for r in found(1)] == [7]
+
+
+@pytest.mark.parametrize("piece_pairs", [1, 100, 5_000, 10_000_000])
+def test_split_products_equal_plain_ones(spark, piece_pairs):
+    a, b = skewed(spark)
+    split = mx.matmul(a, b, piece_pairs=piece_pairs)
     plain = mx.matmul(a, b, split_hot=False)
     assert split.df.count() == plain.df.count() > 0
     assert split.df.exceptAll(plain.df).isEmpty()
@@ -164,13 +173,11 @@ def test_split_products_equal_plain_ones(spark, piece_rows):
 
 def test_frequent_key_is_spread_over_tasks(spark):
     """The rows of the hot key meet in many join groups, none of them holding all."""
-    from gridwave.operators import skew
-
     a, b = skewed(spark)
     joined = skew.split_join(
         a.df.select("row", F.col("col").alias("k"), F.col("v").alias("a")),
         b.df.select(F.col("row").alias("k"), "col", F.col("v").alias("b")),
-        "k", F.col("a") != 0, F.col("b") != 0, ["row"], ["col"], piece_rows=20,
+        "k", F.col("a") != 0, F.col("b") != 0, ["row"], ["col"], piece_pairs=400,
     )
     n_left, n_right = (m.df.where(f"{k} = 7").count() for m, k in ((a, "col"), (b, "row")))
     hot = joined.where("k = 7")
