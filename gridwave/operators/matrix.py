@@ -393,9 +393,11 @@ def kron(a: MatrixTable, b: MatrixTable) -> MatrixTable:
 
 def _all_pairs(large: DataFrame, small: DataFrame) -> DataFrame:
     """Every row of ``large`` with every row of the broadcast ``small``."""
-    key = F.pmod(F.xxhash64(*large.columns), F.lit(1))
-    sent = small.withColumn("_key", F.lit(0).cast("long"))
-    return large.withColumn("_key", key).join(F.broadcast(sent), "_key").drop("_key")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key", F.pmod(F.xxhash64(*df.columns), F.lit(1)))
+
+    return keyed(large).join(F.broadcast(keyed(small)), "_key").drop("_key")
 
 
 def _all_pairs_in_pieces(left: DataFrame, right: DataFrame, pieces_left: int, pieces_right: int) -> DataFrame:

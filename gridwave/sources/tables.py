@@ -6,12 +6,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridwave.operators.matrix import MatrixTable, from_cells, from_table
 
 
+# Schemas of the fact tables read so far; later reads skip the job that infers them.
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    reader = spark.read.schema(_schemas[path]) if path in _schemas else spark.read
+    df = reader.parquet(path)
+    _schemas.setdefault(path, df.schema)
     return df.select(*columns) if columns else df
 
 

@@ -268,7 +268,9 @@ def m_dense(spark: SparkSession, folder: str) -> DataFrame:
 SELECT Q.r AS "row", T.c AS col, sum(Q.v * T.v) AS v FROM Q JOIN T ON Q.c = T.r GROUP BY 1, 2"""
 )
 def m_matmul(spark: SparkSession, folder: str) -> DataFrame:
-    return mx.matmul(matrix_q(spark, folder), matrix_t(spark, folder)).df
+    customers, parts, suppliers = extents(spark, folder, "nc", "np", "ns")
+    q = tables.customer_part(spark, folder, parts, customers)
+    return mx.matmul(q, tables.part_supplier(spark, folder, (parts, suppliers))).df
 
 
 @query(
