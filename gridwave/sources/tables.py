@@ -66,13 +66,3 @@ def supplier_vector(spark: SparkSession, folder: str, suppliers: int) -> MatrixT
         F.floor("s_acctbal").cast("double").alias("v"),
     )
     return from_cells(cells, (suppliers, 1), "float")
-
-
-def supplier_nation(spark: SparkSession, folder: str, suppliers: int, nations: int) -> MatrixTable:
-    """1 at (supplier, its nation)."""
-    cells = read(spark, folder, "supplier", "s_suppkey", "s_nationkey").select(
-        F.col("s_suppkey").alias("row"),
-        F.col("s_nationkey").cast("long").alias("col"),
-        F.lit(1).cast("long").alias("v"),
-    )
-    return from_cells(cells, (suppliers, nations), "int")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from gridwave.functions.complexnum import phase_factor
 from gridwave.functions.indexing import ORDERS
-from gridwave.operators import matrix as mx
 from gridwave.operators import measure
 from gridwave.plans import operator_tables as ot
 from gridwave.plans import walk as wk
@@ -22,9 +21,9 @@ from gridwave.plans.walk import RandomEdges, Rules
 from gridwave.sources import grids, sinks, tables
 from gridwave.sources.coins import Coin, fourier, grover, hadamard
 from gridwave.sources.grids import Grid
-from gridwave.sources.states import State, decode, encode, initial_state, join_particles
+from gridwave.sources.states import State, decode, initial_state, join_particles
 from gridwave.workload.algebra import extents, matrix_t
-from gridwave.workload.grids import customer_grid, supplier_grid
+from gridwave.workload.grids import supplier_grid
 from gridwave.workload.registry import (
     SQL_EXTENTS,
     nonzero,
