@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -38,6 +41,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python may not have it on its path; once for each application."""
+    context = spark.sparkContext
+    if _shipped.get("application") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="gridwave-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    # The driver serves the file; executors do not read the driver's folder.
+    context.addPyFile(str(target))
+    _shipped["application"] = context.applicationId
+
+
+_shipped: dict[str, str] = {}
+
+
 def map_arrow(
     df: DataFrame, column: str, schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
@@ -49,6 +70,7 @@ def map_arrow(
             if out is not None and out.num_rows:
                 yield out
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

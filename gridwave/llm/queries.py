@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwave.llm import bpe, quality, sharding
+from gridwave.llm import bpe, embedding_dedup, mixing, quality, sharding, simhash_dedup, token_counts
 from gridwave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,28 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings
+  UNION
+  SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(r) AS component_id,
+       vec_id = min(r) AS kept
+FROM reach GROUP BY vec_id"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = bpe.decode(bpe.encode(docs, VOCABULARY, keep_text=False), VOCABULARY)
@@ -32,6 +54,11 @@ def op5_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, ["doc_id"]).select("doc_id", "slot", "shard")
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 OP5_SQL = f"""
 WITH RECURSIVE shards AS (
@@ -60,7 +87,32 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document gets two edits: its first 20 characters replace 12 of them at a third, and a word goes in at two thirds."""
+    size = F.coalesce(F.length("text"), F.lit(0))
+    edits = F.array(
+        F.struct(
+            F.floor(size / 3).alias("start"), F.lit(12).cast("long").alias("length"),
+            F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("replacement"),
+        ),
+        F.struct(
+            F.floor(size * 2 / 3).alias("start"), F.lit(0).cast("long").alias("length"),
+            F.lit(" revised ").alias("replacement"),
+        ),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts.count(docs, VOCABULARY)
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_byte_bpe, op5_shard_placement, op7_quality)
+    f.__name__: f
+    for f in (
+        op3_embedding_dedup, op4_byte_bpe, op5_shard_placement, op6_simhash_dedup, op7_quality, op8_token_counts,
+        op10_source_mix,
+    )
 }
-ORACLES: dict[str, str] = {"op5_shard_placement": OP5_SQL}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_shard_placement": OP5_SQL, "op10_source_mix": mixing.oracle()}

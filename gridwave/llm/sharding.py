@@ -19,8 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIZE = 4093
-SHARDS = tuple(f"shard-{i:02d}" for i in range(32))
+SIZE = 2039
+SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
 
 
 def _hash(text: str) -> int:
