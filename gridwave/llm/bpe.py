@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from gridwave.llm.common import map_arrow
 
-CACHE = 800_000
+CACHE = 300_000
 # Longer chunks and words are cut or encoded each time instead of being kept.
 KEPT_CHARS = 100
 

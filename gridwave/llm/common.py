@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from gridwave.session import cut_lineage, ensure_checkpoint_dir
 
 # Rows handed to Python at a time; a batch is also cut where its texts pass BATCH_BYTES.
-BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 512
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
