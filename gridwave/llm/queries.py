@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwave.llm import bpe, embedding_dedup, mixing, quality, sharding, simhash_dedup, token_counts
+from gridwave.llm import bpe, embedding_dedup, line_dedup, mixing, quality, sharding, simhash_dedup, token_counts
 from gridwave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, VOCABULARY)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decide(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -112,7 +116,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op3_embedding_dedup, op4_byte_bpe, op5_shard_placement, op6_simhash_dedup, op7_quality, op8_token_counts,
-        op10_source_mix,
+        op9_line_dedup, op10_source_mix,
     )
 }
 ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_shard_placement": OP5_SQL, "op10_source_mix": mixing.oracle()}
