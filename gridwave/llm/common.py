@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -41,6 +42,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
+def mixers(n: int, turns: int, seed: int) -> list[tuple[int, int]]:
+    """``n`` pairs (bits to turn a hash by, constant to xor it with), each an order of hashes of its own.
+
+    The smallest of ``turn(h) ^ c`` is the hash nearest to a random point; turned by other
+    bits, other hashes are near each other, so the orders do not share their ties.
+    """
+    draw = random.Random(seed)
+    return [(64 // turns * (k % turns), draw.getrandbits(64) - (1 << 63)) for k in range(n)]
+
+
+def turned(column: str, bits: int) -> str:
+    """SQL of a 64-bit number turned left by so many bits."""
+    return f"shiftleft({column}, {bits}) | shiftrightunsigned({column}, {64 - bits})" if bits else column
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, whose Python may not have it on its path; once for each application."""
     context = spark.sparkContext

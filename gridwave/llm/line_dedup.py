@@ -1,9 +1,8 @@
 """Near-duplicate lines by MinHash: of each group of alike lines one stays.
 
 Equal lines are one until the end (named by 128 bits of hashes). A line is the set of
-its shingles of ``SHINGLE`` characters; its signature holds, for each of ``HASHES``
-constants, the smallest shingle hash after an exclusive or with the constant (a
-different order of the hashes each time). Bands of ``ROWS`` values find candidates: two
+its shingles of ``SHINGLE`` characters; its signature holds the smallest shingle hash in
+each of ``HASHES`` orders. Bands of ``ROWS`` values find candidates: two
 lines of similarity 0.8 miss each other in all bands with a probability of 0.3 %, of
 0.9 in 2 of 100,000. Candidates are verified by the exact Jaccard similarity of their
 shingles and joined by distributed union-find.
@@ -18,13 +17,12 @@ array of its shingles.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwave.llm.common import keep
+from gridwave.llm.common import keep, mixers, turned
 from gridwave.llm.components import bucket_components
 
 SHINGLE = 8
@@ -34,12 +32,7 @@ STEP = 4
 # Shorter lines hold too few shingles to tell copies from chance; they are left alone.
 MIN_CHARS = 40
 
-_SEED = 9
-
-
-def constants(n: int = HASHES) -> list[int]:
-    draw = random.Random(_SEED)
-    return [draw.getrandbits(63) - (1 << 62) for _ in range(n)]
+_TURNS, _SEED = 3, 9
 
 
 # Stands for a null id, so that rows without id keep a place of their own.
@@ -74,9 +67,13 @@ def signatures(rows: DataFrame, keys: Sequence[str], shingle: int = SHINGLE, has
         F.expr(f"xxhash64(substring(_c, 4 * least(_i + {j}, _last) + 1, {4 * shingle}))").alias(f"_h{j}")
         for j in range(STEP)
     ])
-    least = hashed.select(*keys, *[
-        F.least(*[F.col(f"_h{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]).alias(f"_l{k}")
-        for k, c in enumerate(constants(hashes))
+    orders = mixers(hashes, _TURNS, _SEED)
+    turns = hashed.select(*keys, *[
+        F.expr(turned(f"_h{j}", t)).alias(f"_t{t}_{j}") for t in dict(orders) for j in range(STEP)
+    ])
+    least = turns.select(*keys, *[
+        F.least(*[F.col(f"_t{t}_{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]).alias(f"_l{k}")
+        for k, (t, c) in enumerate(orders)
     ])
     return least.groupBy(*keys).agg(*[F.min(f"_l{k}").alias(f"m{k}") for k in range(hashes)])
 

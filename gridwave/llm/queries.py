@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwave.llm import bpe, embedding_dedup, line_dedup, mixing, quality, sharding, simhash_dedup, token_counts
+from gridwave.llm import bpe, embedding_dedup, license_scan, line_dedup, mixing, quality, sharding, simhash_dedup, token_counts
 from gridwave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.notices(spark))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
 
@@ -115,8 +120,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_embedding_dedup, op4_byte_bpe, op5_shard_placement, op6_simhash_dedup, op7_quality, op8_token_counts,
+        op1_license_scan, op3_embedding_dedup, op4_byte_bpe, op5_shard_placement, op6_simhash_dedup, op7_quality, op8_token_counts,
         op9_line_dedup, op10_source_mix,
     )
 }
-ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_shard_placement": OP5_SQL, "op10_source_mix": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(), "op3_embedding_dedup": OP3_SQL, "op5_shard_placement": OP5_SQL, "op10_source_mix": mixing.oracle()}
