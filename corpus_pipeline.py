@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwave.llm import bpe, quality
+from gridwave.llm import bpe, line_dedup, mixing, quality, simhash_dedup
 from gridwave.llm.common import shared_folder, table
 from gridwave.llm.queries import VOCABULARY
 
@@ -25,6 +25,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of alike lines one stays; a document of which no line is left goes."""
+    left = line_dedup.dedup(docs)
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
+    return left.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents one stays."""
+    return simhash_dedup.one_of_each(docs).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources plays them."""
+    return mixing.plan_copies(docs).select(*COLUMNS)
+
+
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode(docs, VOCABULARY, keep_text=False).withColumn("n_tokens", F.size("ids").cast("long"))
@@ -32,10 +49,13 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("source mix", mixing_stage),
     ("byte-level BPE", encoding_stage),
 ]
 
-# A trained classifier and merges by rank are not expressible in SQL.
+# A trained classifier, fuzzy lines and merges by rank are not expressible in SQL.
 ORACLE_SQL = None
 
 
