@@ -108,7 +108,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     docs = docs.drop(*new)
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    sized = docs.withColumns({"size": words, "_place": place}).drop("text")
+    others = [c for c in docs.columns if c != "text"]
+    sized = docs.select("doc_id", "source", F.struct(*others).alias("_doc"), words.alias("size"), place.alias("_place"))
     # One pass over the texts; what is left of a document is a few numbers.
     sized = keep(sized.withColumn("_row", F.monotonically_increasing_id()))
     mixed = keep(sources(sized.select("source", "size"), weights, most))
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, b
     taken = pieces.join(schedule(mixed, block), ["sid", "rank"]).groupBy("_row")
     taken = taken.agg(F.sum("shared").alias("taken"), F.min("slot").alias("first_slot"))
     out = sized.join(taken, "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
-    return out.select(*[c for c in docs.columns if c != "text"], *new)
+    return out.select("_doc.*", *new)
 
 
 def plan_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
