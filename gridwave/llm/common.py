@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -95,6 +96,16 @@ def keep(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def keep_table(df: DataFrame) -> DataFrame:
+    """Like ``keep``, as compressed columns: for tables of which later steps read a few columns each.
+
+    The table stays in the shared folder until that is emptied.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names: all executors reach it."""
     return ensure_checkpoint_dir(spark)

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwave.llm.common import keep, mixers, turned
+from gridwave.llm.common import keep, keep_table, mixers, turned
 from gridwave.llm.components import bucket_components
 
 SHINGLE = 8
@@ -94,10 +94,11 @@ def shingles(line: str, shingle: int = SHINGLE) -> str:
 
 def alike(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of ids whose lines in ``texts`` (id, line) have at least that Jaccard similarity."""
-    points = texts.select("id", _points("line").alias("_c"))
+    # Lines move as texts; their wide form and their sets are made where they have met.
     joined = (
-        pairs.join(points.select(F.col("id").alias("a"), F.col("_c").alias("_a")), "a")
-        .join(points.select(F.col("id").alias("b"), F.col("_c").alias("_b")), "b")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b")
+        .select("a", "b", _points("_la").alias("_a"), _points("_lb").alias("_b"))
         .select("a", "b", F.expr(shingles("_a")).alias("_a"), F.expr(shingles("_b")).alias("_b"))
         .select("a", "b", F.size("_a").alias("na"), F.size("_b").alias("nb"), F.size(F.array_intersect("_a", "_b")).alias("both"))
     )
@@ -112,13 +113,19 @@ def _bitmap(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _maybe(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame) -> DataFrame:
-    """The rows whose hash is in the bitmap: all that it was made of, and some others."""
+def _marked(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: true for all rows whose keys the bitmap was made of, and for some others."""
     place = F.pmod(F.xxhash64(*keys), F.lit(_PIECES * _BITS).cast("long"))
     placed = rows.withColumn("_p", place).withColumn("_piece", F.expr(f"_p div {_BITS}"))
-    octet = F.conv(F.hex(F.expr(f"substring(_map, int(_p % {_BITS} div 8) + 1, 1)")), 16, 10).cast("int")
-    seen = F.expr("shiftright(_octet, int(_p % 8)) & 1") == 1
-    return placed.join(F.broadcast(bitmap), "_piece").withColumn("_octet", octet).where(seen).select(*rows.columns)
+    octet = F.expr(f"int(conv(hex(substring(_map, int(_p % {_BITS} div 8) + 1, 1)), 16, 10))")
+    bit = F.coalesce(F.expr("shiftright(_octet, int(_p % 8)) & 1") == 1, F.lit(False))
+    marked = placed.join(F.broadcast(bitmap), "_piece", "left").withColumn("_octet", octet)
+    return marked.select(*rows.columns, bit.alias("_maybe"))
+
+
+def _likely(rows: DataFrame, keys: Sequence[str], of: DataFrame) -> DataFrame:
+    """The rows that may be among those of ``of`` by these keys: none of them is missed."""
+    return _marked(rows, keys, _bitmap(of, keys)).where("_maybe").drop("_maybe")
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -132,30 +139,37 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN
     """
     both = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
     found = _judged(docs, min_chars).select("doc", "line_no", *both)
+    place = ["doc", "line_no"]
     # Equal lines first: one row of numbers each, from partial minima.
-    first = found.groupBy("h", "g").agg(F.min(F.struct("doc", "line_no")).alias("at"))
-    first = first.select("h", "g", "at.doc", "at.line_no")
-    first = keep(first.withColumn("id", F.monotonically_increasing_id()))
+    first = found.groupBy("h", "g").agg(F.min(F.struct(*place)).alias("at"), F.count("*").alias("copies"))
+    first = first.select("h", "g", "at.doc", "at.line_no", "copies")
+    first = keep_table(first.withColumn("id", F.monotonically_increasing_id()))
     # Signatures of their first places alone: the texts move by place, and stay there.
-    placed = _judged(docs, min_chars).join(first.select("doc", "line_no", "id", "h", "g").hint("shuffle_hash"), ["doc", "line_no"])
+    texts = _likely(_judged(docs, min_chars), place, first)
+    placed = texts.join(first.select(*place, "id", "h", "g").hint("shuffle_hash"), place)
     placed = placed.where(F.xxhash64("line") == F.col("h")).where(F.xxhash64(F.lit(1), F.col("line")) == F.col("g"))
-    signed = signatures(placed, ["doc", "line_no", "id"])
+    signed = signatures(placed, [*place, "id"])
     entries = bands(signed)
     per_key = Window.partitionBy("key")
     crowded = F.min("id").over(per_key) < F.max("id").over(per_key)
     buckets = keep(entries.withColumn("_crowded", crowded).where("_crowded").select("key", "id").distinct())
     # Texts of candidates alone, found by a bitmap of fixed size before they move.
-    wanted = keep(first.join(buckets.select("id").distinct(), "id").select("doc", "line_no", "id", "h", "g"))
-    maybe = _maybe(_judged(docs, min_chars), ["doc", "line_no"], _bitmap(wanted, ["doc", "line_no"]))
-    texts = maybe.join(wanted, ["doc", "line_no"]).where(F.xxhash64("line") == F.col("h"))
-    texts = keep(texts.groupBy("id").agg(F.min("line").alias("line")))
-    linked = bucket_components(buckets, lambda pairs: alike(pairs, texts, similarity))
-    named = first.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = named.groupBy("component").agg(F.min(F.struct("doc", "line_no")).alias("head"))
-    named = named.join(heads, "component").select("h", "g", F.col("head.doc").alias("head_doc"), F.col("head.line_no").alias("head_line"))
-    all_lines = lines(docs).select("doc", "line_no", *both, (F.length("line") >= max(min_chars, SHINGLE)).alias("long"))
-    far = all_lines.where("long").join(named, ["h", "g"]).select("doc", "line_no", "head_doc", "head_line")
-    near = all_lines.where("NOT long").select("doc", "line_no", F.col("doc").alias("head_doc"), F.col("line_no").alias("head_line"))
+    ids = buckets.select("id").distinct()
+    wanted = keep(_likely(first, ["id"], ids).join(ids, "id").select(*place, "id", "h", "g"))
+    texts = _likely(_judged(docs, min_chars), place, wanted).join(wanted, place)
+    texts = texts.where(F.xxhash64("line") == F.col("h")).where(F.xxhash64(F.lit(1), F.col("line")) == F.col("g"))
+    texts = keep(texts.groupBy(*place, "id").agg(F.min("line").alias("line")).select("id", "line"))
+    linked = keep(bucket_components(buckets, lambda pairs: alike(pairs, texts, similarity)))
+    # Lines that are neither copied nor linked stand for themselves and need not move.
+    shared = _marked(first, ["id"], _bitmap(linked, ["id"])).where("_maybe OR copies > 1").drop("_maybe")
+    named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = named.groupBy("component").agg(F.min(F.struct(*place)).alias("head"))
+    named = keep(named.join(heads, "component").select("h", "g", "head"))
+    all_lines = lines(docs).select(*place, *both, (F.length("line") >= max(min_chars, SHINGLE)).alias("long"))
+    all_lines = _marked(all_lines, ["h", "g"], _bitmap(named, ["h", "g"])).withColumn("_maybe", F.expr("long AND _maybe"))
+    far = all_lines.where("_maybe").join(named, ["h", "g"], "left")
+    far = far.select(*place, F.coalesce("head.doc", "doc").alias("head_doc"), F.coalesce("head.line_no", "line_no").alias("head_line"))
+    near = all_lines.where("NOT _maybe").select(*place, F.col("doc").alias("head_doc"), F.col("line_no").alias("head_line"))
     out = far.unionByName(near)
 
     def back(name: str) -> Column:
