@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwave.functions.complexnum import abs_squared, product, scaled_terms, total
@@ -21,7 +21,6 @@ ROUND_DIGITS = 10
 # A Kronecker factor up to this many cells (32 bytes each) is broadcast.
 BROADCAST_CELLS = 100_000
 # Cells of either factor that meet in one group otherwise; a group makes at most the square.
-KRON_PIECE_CELLS = 10_000
 PAIRS_PER_TASK = 100_000_000
 # Dense results up to this many cells may be brought to the driver on request.
 MAX_LOCAL_CELLS = 1_000_000
@@ -127,11 +126,19 @@ def from_table(df: DataFrame, row: str, col: str, shape: tuple[int, int], dtype:
 
 
 def from_cells(df: DataFrame, shape: tuple[int, int], dtype: str, nelem: int | None = None) -> MatrixTable:
-    """A matrix from a table that already has one row per cell."""
+    """A matrix from a table that already has one row per cell; ``unique_cells`` checks that of a table in doubt."""
     m = MatrixTable(df, shape, dtype, nelem)
     return MatrixTable(df.select("row", "col", *m.values), shape, dtype, nelem)
 
 
+def unique_cells(m: MatrixTable) -> MatrixTable:
+    """The same matrix; reading it fails if a cell has several rows."""
+    many = F.count("*").over(Window.partitionBy("row", "col")) > 1
+    first = m.values[0]
+    told = F.when(many, F.raise_error(F.lit("a cell has several rows"))).otherwise(F.col(first))
+    return MatrixTable(m.df.withColumn(first, told), m.shape, m.dtype, m.nelem)
+
+
 def _constant(value, dtype: str) -> list[Column]:
     if dtype == "complex":
         value = complex(value)
@@ -304,8 +311,9 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split
         raise ValueError(f"incompatible shapes {a.shape} and {b.shape}")
     dtype = wider(a.dtype, b.dtype)
     a, b = cast_to(a, dtype), cast_to(b, dtype)
-    left = a.df.select("row", F.col("col").alias("_k"), *[F.col(c).alias(f"a_{c}") for c in a.values])
-    right = b.df.select(F.col("row").alias("_k"), "col", *[F.col(c).alias(f"b_{c}") for c in b.values])
+    # Cells that are zero or null make no product: they go before keys are counted and joined.
+    left = a.df.where(_nonzero(a.values)).select("row", F.col("col").alias("_k"), *[F.col(c).alias(f"a_{c}") for c in a.values])
+    right = b.df.where(_nonzero(b.values)).select(F.col("row").alias("_k"), "col", *[F.col(c).alias(f"b_{c}") for c in b.values])
     if split_hot:
         pairs = split_join(
             left,
@@ -324,7 +332,7 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split
         sums = [F.sum(re).alias("re"), F.sum(im).alias("im")]
     else:
         sums = [F.sum(F.col("a_v") * F.col("b_v")).alias("v")]
-    cells = pairs.groupBy("row", "col").agg(*sums)
+    cells = pairs.groupBy("row", "col").agg(*sums).where(_nonzero(a.values))
     return MatrixTable(cells, (a.shape[0], b.shape[1]), dtype)
 
 
@@ -359,24 +367,19 @@ def propagate(operators: list[MatrixTable], v: MatrixTable, steps: int, cut_ever
 def kron(a: MatrixTable, b: MatrixTable) -> MatrixTable:
     """The Kronecker product: every cell of a with every cell of b, by definition.
 
-    A factor whose counted cells fit BROADCAST_CELLS is sent to every task, and the other one is
-    spread so that tasks make about PAIRS_PER_TASK cells. Otherwise both are cut into pieces and
-    each pair of pieces meets once in an equi-join, so no group holds more than one piece of
-    either factor.
+    That is a cross join, and the result has as many cells as the product of both counts. The
+    smaller factor is counted and broadcast; it may have at most BROADCAST_CELLS cells.
     """
     dtype = wider(a.dtype, b.dtype)
     a, b = cast_to(a, dtype), cast_to(b, dtype)
     n_a, n_b = count_cells(a), count_cells(b)
     left = a.df.select(F.col("row").alias("a_row"), F.col("col").alias("a_col"), *[F.col(c).alias(f"a_{c}") for c in a.values])
     right = b.df.select(F.col("row").alias("b_row"), F.col("col").alias("b_col"), *[F.col(c).alias(f"b_{c}") for c in b.values])
-    if min(n_a, n_b) <= BROADCAST_CELLS:
-        tasks = -(-n_a * n_b // PAIRS_PER_TASK)
-        if n_b <= n_a:
-            pairs = _all_pairs(left.repartition(tasks) if tasks > 1 else left, right)
-        else:
-            pairs = _all_pairs(right.repartition(tasks) if tasks > 1 else right, left)
-    else:
-        pairs = _all_pairs_in_pieces(left, right, -(-n_a // KRON_PIECE_CELLS), -(-n_b // KRON_PIECE_CELLS))
+    if min(n_a, n_b) > BROADCAST_CELLS:
+        raise ValueError(f"the smaller factor has {min(n_a, n_b)} cells, more than {BROADCAST_CELLS}")
+    large, small = (left, right) if n_b <= n_a else (right, left)
+    tasks = -(-n_a * n_b // PAIRS_PER_TASK)
+    pairs = (large.repartition(tasks) if tasks > 1 else large).crossJoin(F.broadcast(small))
     shape = (a.shape[0] * b.shape[0], a.shape[1] * b.shape[1])
     if dtype == "complex":
         re, im = product(_pair(a, "a_"), _pair(b, "b_"))
@@ -391,27 +394,6 @@ def kron(a: MatrixTable, b: MatrixTable) -> MatrixTable:
     return MatrixTable(cells, shape, dtype, n_a * n_b)
 
 
-def _all_pairs(large: DataFrame, small: DataFrame) -> DataFrame:
-    """Every row of ``large`` with every row of the broadcast ``small``."""
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", F.pmod(F.xxhash64(*df.columns), F.lit(1)))
-
-    return keyed(large).join(F.broadcast(keyed(small)), "_key").drop("_key")
-
-
-def _all_pairs_in_pieces(left: DataFrame, right: DataFrame, pieces_left: int, pieces_right: int) -> DataFrame:
-    """Every row of one side with every row of the other, each pair of pieces in a group of its own."""
-
-    def cut(df: DataFrame, own: str, pieces: int, other: str, other_pieces: int) -> DataFrame:
-        numbered = df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(pieces)))
-        return repeat_over_range(numbered, other_pieces, other)
-
-    cut_left = cut(left, "_left", pieces_left, "_right", pieces_right)
-    cut_right = cut(right, "_right", pieces_right, "_left", pieces_left)
-    return cut_left.join(cut_right, ["_left", "_right"]).drop("_left", "_right")
-
-
 def kron_identity(m: MatrixTable, n: int, side: str) -> MatrixTable:
     """m (x) I_n (side "right") or I_n (x) m (side "left"), without building the identity."""
     if side not in ("left", "right"):

@@ -6,7 +6,7 @@ A distribution has columns for what it ranges over and ``p``. Walk distributions
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwave.functions.complexnum import abs_squared
@@ -26,7 +26,7 @@ def joint(state: State) -> DataFrame:
 def marginal(state: State, particle: int) -> DataFrame:
     """(walk_id, position of one particle, p)."""
     if not 0 <= particle < state.particles:
-        raise ValueError("particle not found")
+        raise ValueError(f"particle {particle} is none of the {state.particles}")
     return _by_position(state, [particle])
 
 
@@ -62,7 +62,7 @@ def check_total(distribution: DataFrame, by: list[str]) -> None:
     """One action; ValueError unless the probabilities of each group sum to one."""
     totals = distribution.groupBy(*by).agg(F.sum("p").alias("p"))
     if not totals.where(F.round("p", ROUND_DIGITS) != F.lit(1.0)).isEmpty():
-        raise ValueError("probabilities must sum to one")
+        raise ValueError("there is a group whose p do not add up to 1")
 
 
 # --- from facts ---------------------------------------------------------------------------------
@@ -78,6 +78,35 @@ def empirical(facts: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumn("p", F.col("n") / everything)
 
 
+def weighted(facts: DataFrame, by: list[str], over: list[str], weight: Column) -> DataFrame:
+    """(by, over, p): each cell's share of the weight of its group, summed from the facts in one aggregate.
+
+    Cells without weight are left out. A group whose shares do not sum to one (negative or
+    not finite weights, or a sum of zero) fails while the plan runs.
+    """
+    cells = facts.groupBy(*by, *over).agg(F.sum(weight).cast("double").alias("_w")).where(F.col("_w") != 0)
+    whole = F.sum("_w").over(Window.partitionBy(*by))
+    return checked(cells.select(*by, *over, (F.col("_w") / whole).alias("p")), by)
+
+
+def checked(distribution: DataFrame, by: list[str]) -> DataFrame:
+    """``distribution`` as it is; reading it fails if the shares of a group are negative or do not sum to one."""
+    whole = F.sum("p").over(Window.partitionBy(*by))
+    wrong = F.isnan(whole) | whole.isNull() | (F.abs(whole - 1) > 10.0**-ROUND_DIGITS) | (F.col("p") < 0)
+    return distribution.withColumn("p", F.when(wrong, F.raise_error(F.lit("shares of a group do not make up one"))).otherwise(F.col("p")))
+
+
+def co_located(distribution: DataFrame, places: list[list[str]]) -> DataFrame:
+    """The cells in which all places (lists of columns, one per particle or party) agree, as they are."""
+    if len(places) < 2:
+        raise ValueError("give two places at least")
+    same = F.lit(True)
+    for place in places[1:]:
+        for a, b in zip(places[0], place, strict=True):
+            same = same & (F.col(a) == F.col(b))
+    return distribution.where(same)
+
+
 def marginal_of(distribution: DataFrame, by: list[str]) -> DataFrame:
     """A joint distribution summed over everything but ``by``."""
     return distribution.groupBy(*by).agg(F.sum("p").alias("p"))
@@ -107,6 +136,13 @@ def largest(distribution: DataFrame, by: list[str]) -> DataFrame:
     return _grouped(distribution, by, F.max("p").alias("max_p"))
 
 
+def largest_at(distribution: DataFrame, by: list[str], over: list[str]) -> DataFrame:
+    """(by, max_p, over): the largest p and where it is, the first place of equal ones."""
+    order = F.struct((-F.col("p")).alias("_p"), *over)
+    best = _grouped(distribution, by, F.min(order).alias("_m"))
+    return best.select(*by, (-F.col("_m._p")).alias("max_p"), *[F.col(f"_m.{c}").alias(c) for c in over])
+
+
 def smallest(distribution: DataFrame, by: list[str]) -> DataFrame:
     return _grouped(distribution, by, F.min("p").alias("min_p"))
 
@@ -118,6 +154,12 @@ def ensemble_average(distribution: DataFrame, over: list[str], runs: int) -> Dat
     return distribution.groupBy(*over).agg((F.sum("p") / F.lit(float(runs))).alias("p"))
 
 
+def average_over(distribution: DataFrame, over: list[str], run: list[str]) -> DataFrame:
+    """(over, p): the mean of p over the runs that occur, absent cells counting as zero."""
+    runs = distribution.select(*run).distinct().agg(F.count("*").cast("double")).scalar()
+    return distribution.groupBy(*over).agg(F.sum("p").alias("p")).withColumn("p", F.col("p") / runs)
+
+
 # --- dense ----------------------------------------------------------------------------------------
 
 
@@ -142,8 +184,14 @@ def to_ndarray(distribution: DataFrame, grid: Grid, particles: int = 1, max_cell
     shape = grid.shape * particles
     if grid.sites**particles > max_cells:
         raise ValueError(f"{grid.sites**particles} cells exceed the limit of {max_cells} for a local array")
-    result = np.zeros(shape)
     keys = [k for p in range(particles) for k in position_keys(grid, p)]
-    for r in distribution.select(*keys, "p").collect():
+    # As many rows as the grid has cells, and one more, which would be one too many.
+    rows = distribution.select("walk_id", *keys, "p").limit(grid.sites**particles + 1).collect()
+    if len({r["walk_id"] for r in rows}) > 1:
+        raise ValueError("a local array holds one walk; choose it first")
+    if len({tuple(r[k] for k in keys) for r in rows}) < len(rows):
+        raise ValueError("a cell has several rows; sum them first")
+    result = np.zeros(shape)
+    for r in rows:
         result[tuple(r[k] for k in keys)] = r["p"]
     return result

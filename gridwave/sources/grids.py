@@ -139,14 +139,14 @@ def to_site(grid: Grid, coordinate: list[Column], strict: bool = False) -> Colum
     """Site number of coordinates; outside the grid NULL, or an error when ``strict``."""
     zero_based = [c - F.lit(s) for c, s in zip(coordinate, grid.axis_start)]
     site = zero_based[0] if grid.ndim == 1 else zero_based[0] + F.lit(grid.shape[0]) * zero_based[1]
-    return _inside(has_coordinate(grid, coordinate), site, strict, "coordinates out of grid boundaries")
+    return _inside(has_coordinate(grid, coordinate), site, strict, "no point of this grid")
 
 
 def to_coordinate(grid: Grid, site: Column, strict: bool = False) -> list[Column]:
     """Coordinates of a site number; outside the grid NULL, or an error when ``strict``."""
     inside = has_site(grid, site)
     return [
-        _inside(inside, at + F.lit(start), strict, "site number out of grid boundaries")
+        _inside(inside, at + F.lit(start), strict, "no site of this grid")
         for at, start in zip(at_site(grid, site), grid.axis_start)
     ]
 
@@ -227,7 +227,7 @@ def permanent_edges(grid: Grid, edges_df: DataFrame) -> DataFrame:
     """The distinct broken edges of ``edges_df.edge``, checked to be edges of the grid."""
     bounds = edges_df.agg(F.min("edge").alias("low"), F.max("edge").alias("high")).first()
     if bounds["low"] is None:
-        raise ValueError("there must be at least one broken edge")
+        raise ValueError("the set of broken edges is empty")
     if bounds["low"] < 0 or bounds["high"] >= grid.edges:
         raise ValueError(f"this grid has edges 0 to {grid.edges - 1}")
     return edges_df.select(F.col("edge").cast("long")).distinct()
@@ -246,7 +246,9 @@ def broken_lookup(broken: DataFrame, grid: Grid) -> DataFrame:
     ground; for a larger grid, or a set per walk, the join strategy is the planner's.
     """
     on = [c for c in broken.columns if c in ("edge", "walk_id", "step")]
-    lookup = broken.select(*on).distinct().withColumn("_hit", F.lit(True))
+    outside = F.raise_error(F.concat(F.lit("no such edge of this grid: "), F.col("edge").cast("string")))
+    edge = F.when(F.col("edge").between(0, grid.edges - 1), F.col("edge").cast("long")).otherwise(outside)
+    lookup = broken.select(*[edge.alias(c) if c == "edge" else c for c in on]).distinct().withColumn("_hit", F.lit(True))
     return F.broadcast(lookup) if on == ["edge"] and grid.edges <= BROADCAST_EDGES else lookup
 
 
@@ -335,6 +337,14 @@ def transition(spark: SparkSession, grid: Grid, broken: DataFrame | None = None)
     )
 
 
+def moved(points: DataFrame, grid: Grid) -> DataFrame:
+    """``points`` (coin, x[, y], more) with dst_coin, dst_x[, dst_y]: where each one's move leads on a whole grid."""
+    dst_coin, dst = move(grid, "coin", list(grid.axes))
+    return points.selectExpr(
+        "*", f"CAST({dst_coin} AS BIGINT) AS dst_coin", *[f"CAST({d} AS BIGINT) AS dst_{n}" for d, n in zip(dst, grid.axes)]
+    )
+
+
 def shift_entries(transitions: DataFrame, grid: Grid, order: str = COIN_POSITION) -> DataFrame:
     """A transition table as matrix entries (row = destination, col = source, v = 1)."""
 

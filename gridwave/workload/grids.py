@@ -45,6 +45,27 @@ def supplier_edges(spark: SparkSession, folder: str, grid: Grid) -> DataFrame:
     return flat.unionByName(upright)
 
 
+def order_points(spark: SparkSession, folder: str) -> DataFrame:
+    """(o_orderkey, coin, x): orders stand at their customer's site; odd ones have coin 1."""
+    orders = tables.read(spark, folder, "orders", "o_orderkey", "o_custkey")
+    return orders.select("o_orderkey", F.pmod("o_orderkey", F.lit(2)).cast("long").alias("coin"), F.col("o_custkey").alias("x"))
+
+
+def item_points(spark: SparkSession, folder: str) -> DataFrame:
+    """(l_orderkey, coin, x, y): line items stand at (supplier, its nation); the coin is their line number modulo 4."""
+    lines = tables.read(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey")
+    suppliers = tables.read(spark, folder, "supplier", "s_suppkey", "s_nationkey")
+    return lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "l_orderkey", F.pmod("l_linenumber", F.lit(4)).cast("long").alias("coin"), F.col("l_suppkey").alias("x"),
+        F.col("s_nationkey").cast("long").alias("y"),
+    )
+
+
+def items_at(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """(keys, n_items): line items per coordinate of their points."""
+    return item_points(spark, folder).groupBy(*keys).agg(F.count("*").alias("n_items"))
+
+
 # --- SQL pieces -----------------------------------------------------------------------------------
 
 SQL_LINE = f"WITH {SQL_EXTENTS}, g AS (SELECT nc AS w, nc AS e FROM extents)"
@@ -127,17 +148,35 @@ SELECT 2 * (1 - i) + (1 - j) AS src_coin, x AS src_x, y AS src_y,
 FROM f"""
 
 
+SQL_ORDERS = "(SELECT o_orderkey, o_orderkey % 2 AS coin, o_custkey AS x FROM orders)"
+SQL_ITEMS = """(SELECT l_orderkey, (l_linenumber % 4)::BIGINT AS coin, l_suppkey AS x, s_nationkey::BIGINT AS y
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def sql_orders_moved(moves: str) -> str:
+    return f"""SELECT o_orderkey, coin, x, dst_coin, dst_x FROM {SQL_ORDERS} i JOIN ({moves}) t ON coin = src_coin AND x = src_x"""
+
+
+def sql_items_moved(moves: str) -> str:
+    return f"""SELECT l_orderkey, coin, x, y, dst_coin, dst_x, dst_y
+FROM {SQL_ITEMS} i JOIN ({moves}) t ON coin = src_coin AND x = src_x AND y = src_y"""
+
+
 # --- sites and coordinates ----------------------------------------------------------------------------
 
 
 @query(
-    f"""{sql_plane("natural_lattice")}
+    f"""SELECT s.*, coalesce(n_items, 0)::BIGINT AS n_items FROM ({sql_plane("natural_lattice")}
 SELECT k AS site, (k % w) * h + k // w AS pos, k % w AS x, k // w AS y,
   k % w - (w - 1) // 2 AS ax, k // w - (h - 1) // 2 AS ay, k % w = (w - 1) // 2 AND k // w = (h - 1) // 2 AS is_center
-FROM (SELECT unnest(range((SELECT p FROM g))) AS k), g"""
+FROM (SELECT unnest(range((SELECT p FROM g))) AS k), g) s
+LEFT JOIN (SELECT x, y, count(*) AS n_items FROM {SQL_ITEMS} GROUP BY ALL) n USING (x, y)"""
 )
 def g_sites(spark: SparkSession, folder: str) -> DataFrame:
-    return grids.sites(spark, supplier_grid(spark, folder, "natural_lattice"))
+    """Every site, with the number of line items that stand there."""
+    found = grids.sites(spark, supplier_grid(spark, folder, "natural_lattice"))
+    counted = found.join(items_at(spark, folder, "x", "y"), ["x", "y"], "left")
+    return counted.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
 
 
 @query(
@@ -198,27 +237,42 @@ def g_in_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""{sql_plane("natural_lattice")}
+    f"""SELECT a.*, coalesce(n_items, 0)::BIGINT AS n_items FROM ({sql_plane("natural_lattice")}
 SELECT 0::BIGINT AS dim, k - (w - 1) // 2 AS coordinate FROM (SELECT unnest(range((SELECT w FROM g))) AS k), g
-UNION ALL SELECT 1, k - (h - 1) // 2 FROM (SELECT unnest(range((SELECT h FROM g))) AS k), g"""
+UNION ALL SELECT 1, k - (h - 1) // 2 FROM (SELECT unnest(range((SELECT h FROM g))) AS k), g) a
+LEFT JOIN (SELECT 0 AS dim, x AS coordinate, count(*) AS n_items FROM {SQL_ITEMS} GROUP BY ALL
+  UNION ALL SELECT 1, y, count(*) FROM {SQL_ITEMS} GROUP BY ALL) n USING (dim, coordinate)"""
 )
 def g_axis(spark: SparkSession, folder: str) -> DataFrame:
-    return grids.axis(spark, supplier_grid(spark, folder, "natural_lattice"))
+    """Coordinates of both axes, with the line items of the supplier or nation of that number."""
+    found = grids.axis(spark, supplier_grid(spark, folder, "natural_lattice"))
+    items = items_at(spark, folder, "x", "y")
+    counts = [
+        items.groupBy(F.col(n).alias("coordinate")).agg(F.sum("n_items").alias("n_items")).withColumn("dim", F.lit(d).cast("long"))
+        for d, n in enumerate("xy")
+    ]
+    counted = found.join(counts[0].unionByName(counts[1]), ["dim", "coordinate"], "left")
+    return counted.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
 
 
 # --- edges -----------------------------------------------------------------------------------------------
 
 
 @query(
-    f"""{sql_plane("natural_torus")}
+    f"""SELECT e.*, coalesce(n_items, 0)::BIGINT AS n_items FROM ({sql_plane("natural_torus")}
 SELECT k AS edge, {sql_mod("k % w - 1", "w")} AS x_a, k // w AS y_a, k % w AS x_b, k // w AS y_b
 FROM (SELECT unnest(range((SELECT p FROM g))) AS k), g
 UNION ALL
 SELECT p + k, k // h, {sql_mod("k % h - 1", "h")}, k // h, k % h
-FROM (SELECT unnest(range((SELECT p FROM g))) AS k), g"""
+FROM (SELECT unnest(range((SELECT p FROM g))) AS k), g) e
+LEFT JOIN (SELECT x AS x_b, y AS y_b, count(*) AS n_items FROM {SQL_ITEMS} GROUP BY ALL) n USING (x_b, y_b)"""
 )
 def g_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return grids.edges(spark, supplier_grid(spark, folder, "natural_torus"))
+    """Every edge, with the number of line items at its second end."""
+    found = grids.edges(spark, supplier_grid(spark, folder, "natural_torus"))
+    items = items_at(spark, folder, "x", "y").withColumnsRenamed({"x": "x_b", "y": "y_b"})
+    counted = found.join(items, ["x_b", "y_b"], "left")
+    return counted.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
 
 
 @query(f"{SQL_LINE}, {SQL_CUSTOMER_EDGES} SELECT DISTINCT edge FROM broken")
@@ -253,14 +307,14 @@ def g_broken_flags(spark: SparkSession, folder: str) -> DataFrame:
 # --- moves ---------------------------------------------------------------------------------------------------
 
 
-@query(sql_line_by_site("2 * nc + 1"))
+@query(sql_orders_moved(sql_line_by_site("2 * nc + 1")))
 def g_line_shift(spark: SparkSession, folder: str) -> DataFrame:
-    return grids.transition(spark, customer_grid(spark, folder, "line"))
+    return grids.moved(order_points(spark, folder), customer_grid(spark, folder, "line"))
 
 
-@query(sql_line_by_site("nc"))
+@query(sql_orders_moved(sql_line_by_site("nc")))
 def g_cycle_shift(spark: SparkSession, folder: str) -> DataFrame:
-    return grids.transition(spark, customer_grid(spark, folder, "cycle"))
+    return grids.moved(order_points(spark, folder), customer_grid(spark, folder, "cycle"))
 
 
 @query(sql_line_by_edge(SQL_CUSTOMER_EDGES).replace("nc AS w, nc AS e", "2 * nc + 1 AS w, 2 * nc + 1 AS e"))
@@ -273,9 +327,9 @@ def g_cycle_shift_broken(spark: SparkSession, folder: str) -> DataFrame:
     return grids.transition(spark, customer_grid(spark, folder, "cycle"), customer_edges(spark, folder))
 
 
-@query(sql_line_by_edge(SQL_NONE, SQL_BORDER_1D))
+@query(sql_orders_moved(sql_line_by_edge(SQL_NONE, SQL_BORDER_1D)))
 def g_segment_shift(spark: SparkSession, folder: str) -> DataFrame:
-    return grids.transition(spark, customer_grid(spark, folder, "segment"))
+    return grids.moved(order_points(spark, folder), customer_grid(spark, folder, "segment"))
 
 
 @query(sql_line_by_edge(SQL_CUSTOMER_EDGES, SQL_BORDER_1D))
@@ -286,8 +340,9 @@ def g_segment_shift_broken(spark: SparkSession, folder: str) -> DataFrame:
 def _plane_shift(kind: str, with_broken: bool):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         grid = supplier_grid(spark, folder, kind)
-        broken = supplier_edges(spark, folder, grid) if with_broken else None
-        return grids.transition(spark, grid, broken)
+        if with_broken:
+            return grids.transition(spark, grid, supplier_edges(spark, folder, grid))
+        return grids.moved(item_points(spark, folder), grid)
 
     return run
 
@@ -298,9 +353,9 @@ def _register_planes() -> None:
         ("natural", "nat", SQL_NATURAL_EDGES),
     ):
         variants = {
-            f"g_{short}_lattice_shift": (f"{style}_lattice", False, sql_plane_by_site(f"{style}_lattice")),
-            f"g_{short}_torus_shift": (f"{style}_torus", False, sql_plane_by_site(f"{style}_torus")),
-            f"g_{short}_box_shift": (f"{style}_box", False, sql_plane_by_edge(f"{style}_box", SQL_NONE)),
+            f"g_{short}_lattice_shift": (f"{style}_lattice", False, sql_items_moved(sql_plane_by_site(f"{style}_lattice"))),
+            f"g_{short}_torus_shift": (f"{style}_torus", False, sql_items_moved(sql_plane_by_site(f"{style}_torus"))),
+            f"g_{short}_box_shift": (f"{style}_box", False, sql_items_moved(sql_plane_by_edge(f"{style}_box", SQL_NONE))),
             f"g_{short}_shift_broken": (f"{style}_torus", True, sql_plane_by_edge(f"{style}_torus", edges)),
             f"g_{short}_lattice_shift_broken": (f"{style}_lattice", True, sql_plane_by_edge(f"{style}_lattice", edges)),
             f"g_{short}_box_shift_broken": (f"{style}_box", True, sql_plane_by_edge(f"{style}_box", edges)),

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwave.functions.complexnum import phase_factor
-from gridwave.functions.indexing import ORDERS
-from gridwave.operators import measure
+from gridwave.functions.indexing import ORDERS, one_particle_index
+from gridwave.operators import matrix as mx
+from gridwave.operators.matrix import MatrixTable
 from gridwave.plans import operator_tables as ot
 from gridwave.plans import walk as wk
 from gridwave.plans.walk import RandomEdges, Rules
@@ -23,6 +24,7 @@ from gridwave.sources.coins import Coin, fourier, grover, hadamard
 from gridwave.sources.grids import Grid
 from gridwave.sources.states import State, decode, initial_state, join_particles
 from gridwave.workload.algebra import extents, matrix_t
+from gridwave.workload.distributions import monthly, sql_monthly
 from gridwave.workload.grids import supplier_grid
 from gridwave.workload.registry import (
     SQL_EXTENTS,
@@ -231,11 +233,6 @@ def sql_state(keys: str, parts: tuple[str, str]) -> str:
     return f"{parts[0]}\n{sql_nonzero(parts[1], keys, 're', 'im')}"
 
 
-def sql_measured(keys: str, parts: tuple[str, str]) -> str:
-    """The WITH clause extended by d: probabilities by ``keys``."""
-    return f"{parts[0]},\nd AS (SELECT {keys}, sum(re * re + im * im) AS p FROM {parts[1]} GROUP BY {keys})"
-
-
 K1, K2, KK = "walk_id, c0, x0", "walk_id, c0, x0, y0", "walk_id, c0, x0, c1, x1"
 ON_NATIONS = sql_start_1d("c_nationkey")
 ON_PLANE = sql_start_2d("c_nationkey", "n_regionkey")
@@ -332,24 +329,24 @@ def _sql_quarterly(coin: Coin) -> str:
     return f"""WITH {sql_coin("coin", coin)},
 q AS (SELECT o_custkey AS walk_id, quarter(o_orderdate) - 1 AS c, count(*)::DOUBLE AS n FROM orders GROUP BY 1, 2),
 m AS (SELECT walk_id, ci AS c0, sum(n * re) AS re, sum(n * im) AS im FROM q JOIN coin ON cj = c GROUP BY 1, 2)
-{sql_nonzero("m", "walk_id, c0", "re", "im")}"""
+SELECT walk_id, c0, {sql_round("re")} AS re, {sql_round("im")} AS im FROM m WHERE m.re <> 0 OR m.im <> 0"""
 
 
 @query(_sql_quarterly(hadamard(2)))
 def c_hadamard(spark: SparkSession, folder: str) -> DataFrame:
-    return nonzero(wk.mix(quarterly(spark, folder), hadamard(2), "c0", ["walk_id"]), "re", "im")
+    return rounded(wk.mix(quarterly(spark, folder), hadamard(2), "c0", ["walk_id"]), "re", "im")
 
 
 @query(_sql_quarterly(grover(4)))
 def c_grover(spark: SparkSession, folder: str) -> DataFrame:
     """Quarterly orders reflected about their mean."""
-    return nonzero(wk.mix(quarterly(spark, folder), grover(4), "c0", ["walk_id"]), "re", "im")
+    return rounded(wk.mix(quarterly(spark, folder), grover(4), "c0", ["walk_id"]), "re", "im")
 
 
 @query(_sql_quarterly(fourier(2)))
 def c_fourier(spark: SparkSession, folder: str) -> DataFrame:
     """Seasonal spectrum of quarterly orders."""
-    return nonzero(wk.mix(quarterly(spark, folder), fourier(2), "c0", ["walk_id"]), "re", "im")
+    return rounded(wk.mix(quarterly(spark, folder), fourier(2), "c0", ["walk_id"]), "re", "im")
 
 
 # --- operator tables -----------------------------------------------------------------------------------------
@@ -358,39 +355,76 @@ _PLANE_CTE = f"{SQL_EXTENTS}, g AS (SELECT ns AS w, nn AS h, ns * nn AS p FROM e
 _POSITIONS = "(SELECT unnest(range((SELECT p FROM g))) AS pos)"
 
 
+_ITEMS = """items AS (SELECT (l_linenumber % 4)::BIGINT AS c, l_suppkey AS x, s_nationkey::BIGINT AS y, sum(l_quantity) AS v
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
+
+
+def item_vector(spark: SparkSession, folder: str, grid: Grid, order: str) -> MatrixTable:
+    """Quantities of line items by the coin and place of their points, as a column vector in an index order."""
+    lines = tables.read(spark, folder, "lineitem", "l_linenumber", "l_suppkey", "l_quantity")
+    suppliers = tables.read(spark, folder, "supplier", "s_suppkey", "s_nationkey")
+    coin, at = F.pmod("l_linenumber", F.lit(4)).cast("long"), [F.col("l_suppkey"), F.col("s_nationkey").cast("long")]
+    index = one_particle_index(coin, grids.pos_of(grid, at), 4, grid.sites, order)
+    points = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).withColumns({"_i": index, "_j": F.lit(0)})
+    return mx.from_table(points, "_i", "_j", (4 * grid.sites, 1), "complex", re=F.col("l_quantity"), im=F.lit(0.0))
+
+
 @query(
-    f"""WITH {_PLANE_CTE}, {sql_coin("coin", fourier(2))}
-SELECT 'coin_position' AS representation, ci * p + pos AS "row", cj * p + pos AS col, re, im FROM {_POSITIONS}, g, coin
-UNION ALL SELECT 'position_coin', pos * 4 + ci, pos * 4 + cj, re, im FROM {_POSITIONS}, g, coin"""
+    f"""WITH {_PLANE_CTE}, {sql_coin("coin", fourier(2))}, {_ITEMS},
+m AS (SELECT ci, x * h + y AS pos, p, sum(v * re) AS re, sum(v * im) AS im FROM items JOIN coin ON cj = c, g GROUP BY ALL)
+SELECT * FROM (
+  SELECT 'coin_position' AS representation, ci * p + pos AS "row", 0::BIGINT AS col, {sql_round("re")} AS re, {sql_round("im")} AS im FROM m
+  UNION ALL SELECT 'position_coin', pos * 4 + ci, 0, {sql_round("re")}, {sql_round("im")} FROM m) WHERE re <> 0 OR im <> 0"""
 )
 def w_coin_operator(spark: SparkSession, folder: str) -> DataFrame:
+    """The coin operator applied to the quantities of line items, in both index orders."""
     grid = supplier_grid(spark, folder, "natural_torus")
     parts = [
-        ot.coin_operator(spark, fourier(2), grid, order).df.select(F.lit(order).alias("representation"), "*")
+        mx.matvec(ot.coin_operator(spark, fourier(2), grid, order), item_vector(spark, folder, grid, order)).df.select(
+            F.lit(order).alias("representation"), "*"
+        )
         for order in ORDERS
     ]
-    return rounded(parts[0].unionByName(parts[1]), "re", "im")
+    return nonzero(parts[0].unionByName(parts[1]), "re", "im")
 
 
 @query(
-    f"""WITH {_PLANE_CTE}, {sql_coin("coin", hadamard(2))}
-SELECT ci * p + {sql_mod("pos // h + 1 - 2 * (ci // 2)", "w")} * h + {sql_mod("pos % h + 1 - 2 * (ci % 2)", "h")} AS "row",
-  cj * p + pos AS col, re, im FROM {_POSITIONS}, g, coin"""
+    f"""WITH {_PLANE_CTE}, {sql_coin("coin", hadamard(2))}, {_ITEMS},
+m AS (SELECT ci * p + {sql_mod("x + 1 - 2 * (ci // 2)", "w")} * h + {sql_mod("y + 1 - 2 * (ci % 2)", "h")} AS "row",
+  v * re AS re, v * im AS im FROM items JOIN coin ON cj = c, g),
+t AS (SELECT "row", 0::BIGINT AS col, sum(re) AS re, sum(im) AS im FROM m GROUP BY 1)
+{sql_nonzero("t", '"row", col', "re", "im")}"""
 )
 def w_evolution_operator(spark: SparkSession, folder: str) -> DataFrame:
+    """The evolution operator applied to the quantities of line items."""
     grid = supplier_grid(spark, folder, "diagonal_torus")
-    return rounded(ot.evolution_operator(spark, hadamard(2), grid).df, "re", "im")
+    vector = item_vector(spark, folder, grid, "coin_position")
+    return nonzero(mx.matvec(ot.evolution_operator(spark, hadamard(2), grid), vector).df, "re", "im")
 
 
 @query(
-    f"""WITH {SQL_EXTENTS}, k AS (SELECT k, ns FROM (SELECT unnest(range((SELECT 4 * ns * ns FROM extents))) AS k), extents)
-SELECT k AS "row", k AS col, CASE WHEN (k // (2 * ns)) % ns = k % ns THEN -1.0::DOUBLE ELSE 1.0 END AS re, 0.0::DOUBLE AS im
-FROM k"""
+    f"""WITH {SQL_EXTENTS}, k AS (
+  SELECT (a.l_linenumber % 2) * ns * 2 * ns + a.l_suppkey * 2 * ns + (b.l_linenumber % 2) * ns + b.l_suppkey AS k, a.l_quantity AS v, ns
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1, extents),
+t AS (SELECT k AS "row", 0::BIGINT AS col, sum(CASE WHEN (k // (2 * ns)) % ns = k % ns THEN -v ELSE v END) AS re, 0.0::DOUBLE AS im
+  FROM k GROUP BY 1)
+{sql_nonzero("t", '"row", col', "re", "im")}"""
 )
 def w_interaction_operator(spark: SparkSession, folder: str) -> DataFrame:
-    """Two particles on a ring of suppliers that change sign where they meet."""
-    ring = Grid("cycle", (tables.extent(spark, folder, "supplier", "s_suppkey"),))
-    return rounded(ot.interaction_operator(spark, ring, 2, SIGN).df, "re", "im")
+    """Successive line items of an order as pairs on a ring of suppliers; quantities change sign where the two meet."""
+    n = tables.extent(spark, folder, "supplier", "s_suppkey")
+    ring = Grid("cycle", (n,))
+    lines = tables.read(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    one = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("x0"), "l_quantity")
+    two = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("x1"))
+    pairs = one.join(two, ["l_orderkey", "l_linenumber"])
+    first, second = F.pmod("l_linenumber", F.lit(2)), F.pmod(F.col("l_linenumber") + 1, F.lit(2))
+    index = ((first * n + F.col("x0")) * (2 * n) + second * n + F.col("x1")).cast("long")
+    vector = mx.from_table(
+        pairs.withColumns({"_i": index, "_j": F.lit(0)}), "_i", "_j", (4 * n * n, 1), "complex",
+        re=F.col("l_quantity"), im=F.lit(0.0),
+    )
+    return nonzero(mx.matvec(ot.interaction_operator(spark, ring, 2, SIGN), vector).df, "re", "im")
 
 
 @query(
@@ -499,108 +533,6 @@ def w_walk_own_graph(spark: SparkSession, folder: str) -> DataFrame:
     return amplitudes(wk.walk(on_nations(spark, folder), Rules((hadamard(1),), transition=moves), 2))
 
 
-# --- distributions ---------------------------------------------------------------------------------------------------
-
-
-def pair_state(spark: SparkSession, folder: str) -> State:
-    rules = Rules((hadamard(1), hadamard(1)), meeting_factor=SIGN)
-    return wk.walk(two_on_line(spark, folder, 3), rules, 3, verify=False)
-
-
-_PAIR = sql_walk(sql_start_pair("3"), 3, cyclic("7"), meet=SIGN)
-_LINE = sql_walk(sql_start_1d("4"), 4, cyclic("9"))
-
-
-def line_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    state = wk.walk(on_line(spark, folder, 4), Rules((hadamard(1),)), 4, verify=False)
-    return measure.joint(state)
-
-
-@query(f"{sql_measured('walk_id, x0, x1', _PAIR)} {sql_nonzero('d', 'walk_id, x0, x1', 'p')}")
-def d_joint(spark: SparkSession, folder: str) -> DataFrame:
-    return nonzero(measure.joint(pair_state(spark, folder)), "p")
-
-
-@query(f"{sql_measured('walk_id, x1', _PAIR)} {sql_nonzero('d', 'walk_id, x1', 'p')}")
-def d_marginal(spark: SparkSession, folder: str) -> DataFrame:
-    return nonzero(measure.marginal(pair_state(spark, folder), 1), "p")
-
-
-@query(
-    f"""{sql_measured('walk_id, x0, x1', _PAIR)}, e AS (SELECT walk_id, x0 AS x, p FROM d WHERE x0 = x1)
-{sql_nonzero('e', 'walk_id, x', 'p')}"""
-)
-def d_collision(spark: SparkSession, folder: str) -> DataFrame:
-    state = pair_state(spark, folder)
-    return nonzero(measure.collisions(measure.joint(state), state.grid, 2), "p")
-
-
-@query(f"{sql_measured('walk_id, x0', _LINE)} SELECT walk_id, {sql_round('sum(p)')} AS total FROM d GROUP BY 1")
-def d_sum(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(measure.total(line_distribution(spark, folder), ["walk_id"]), "total")
-
-
-@query(f"{sql_measured('walk_id, x0', _LINE)} SELECT walk_id, {sql_round('sqrt(sum(p * p))')} AS norm FROM d GROUP BY 1")
-def d_norm(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(measure.norm(line_distribution(spark, folder), ["walk_id"]), "norm")
-
-
-@query(f"{sql_measured('walk_id, x0', _LINE)} SELECT walk_id, {sql_round('max(p)')} AS max_p FROM d GROUP BY 1")
-def d_max(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(measure.largest(line_distribution(spark, folder), ["walk_id"]), "max_p")
-
-
-@query(f"{sql_measured('walk_id, x0', _LINE)} SELECT walk_id, {sql_round('min(p)')} AS min_p FROM d GROUP BY 1")
-def d_min(spark: SparkSession, folder: str) -> DataFrame:
-    """The least probability among the sites that were reached."""
-    return rounded(measure.smallest(line_distribution(spark, folder), ["walk_id"]), "min_p")
-
-
-@query(
-    f"""{sql_measured('walk_id, x0', sql_walk(ON_NATIONS, 3, reflecting(DRAW, _NN)))},
-a AS (SELECT x0, sum(p) / (SELECT nc FROM extents) AS p FROM d GROUP BY 1)
-{sql_nonzero('a', 'x0', 'p')}"""
-)
-def d_ensemble_average(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean over all customers of the walk with randomly broken edges."""
-    runs = tables.extent(spark, folder, "customer", "c_custkey")
-    state = wk.walk(on_nations(spark, folder), Rules((hadamard(1),), random=RANDOM), 3, verify=False)
-    return nonzero(measure.ensemble_average(measure.joint(state), ["x0"], runs), "p")
-
-
-@query(
-    f"""{sql_measured('walk_id, x0', _LINE)},
-every AS (SELECT c_custkey AS walk_id, x0 FROM customer, (SELECT unnest(range(9)) AS x0))
-SELECT every.walk_id, every.x0 - 4 AS x0, {sql_round('coalesce(p, 0.0)')} AS p
-FROM every LEFT JOIN d ON d.walk_id = every.walk_id AND d.x0 = every.x0"""
-)
-def d_dense(spark: SparkSession, folder: str) -> DataFrame:
-    """Every site of the line for every customer, on the centred axis."""
-    walks, grid = customers_on(spark, folder), grids.line(4)
-    whole = measure.dense(line_distribution(spark, folder), walks, grid)
-    return rounded(measure.centered(whole, grid), "p")
-
-
-@query(
-    f"""SELECT event_type, extract('hour' FROM ts)::INTEGER AS hour, count(*) AS n,
-  {sql_round("count(*) / (SELECT count(*) FROM events)::DOUBLE")} AS p FROM events GROUP BY 1, 2"""
-)
-def d_events_joint(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(measure.empirical(event_hours(spark, folder), ["event_type", "hour"]), "p")
-
-
-@query(
-    f"""SELECT event_type, {sql_round("count(*) / (SELECT count(*) FROM events)::DOUBLE")} AS p FROM events GROUP BY 1"""
-)
-def d_events_marginal(spark: SparkSession, folder: str) -> DataFrame:
-    both = measure.empirical(event_hours(spark, folder), ["event_type", "hour"])
-    return rounded(measure.marginal_of(both, ["event_type"]), "p")
-
-
-def event_hours(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.read(spark, folder, "events", "event_type", "ts").select("event_type", F.hour("ts").alias("hour"))
-
-
 # --- text and metrics ----------------------------------------------------------------------------------------------------
 
 
@@ -635,25 +567,19 @@ def k_dump_state_coord(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""{sql_measured('walk_id, x0', _LINE)},
+    f"""{sql_monthly()},
 t AS (SELECT sum(l_quantity) AS v FROM lineitem GROUP BY l_partkey, l_suppkey)
-SELECT 'quantities' AS name, (SELECT np * ns FROM extents) AS size, count(*) AS num_elements,
-  {sql_round("sqrt(sum(v * v))")} AS norm FROM t
-UNION ALL
-SELECT 'state', 18, (SELECT count(*) FROM (SELECT {sql_round('re')} AS re, {sql_round('im')} AS im FROM {_LINE[1]})
-  WHERE re <> 0 OR im <> 0), {sql_round("sqrt(sum(re * re + im * im))")} FROM {_LINE[1]}
+SELECT 'quantities' AS name, (SELECT (SELECT max(p_partkey) + 1 FROM part) * (SELECT max(s_suppkey) + 1 FROM supplier))::BIGINT AS size,
+  count(*) AS num_elements, {sql_round("sqrt(sum(v * v))")} AS norm FROM t
 UNION ALL
-SELECT 'distribution', 9, count(*), {sql_round("sqrt(sum(p * p))")} FROM d WHERE {sql_round('p')} <> 0"""
+SELECT 'trade', ((SELECT max(n_nationkey) + 1 FROM nation) ** 2)::BIGINT, count(*), {sql_round("sqrt(sum(p * p))")} FROM d"""
 )
 def x_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Size, rows and norm of a matrix, a state and a distribution, each taken while it is computed."""
-    t = matrix_t(spark, folder)
-    state = wk.walk(on_line(spark, folder, 4), Rules((hadamard(1),)), 4, verify=False)
-    distribution = nonzero(measure.joint(state), "p")
-    v, re, im, p = (F.col(c) for c in ("v", "re", "im", "p"))
+    """Size, rows and norm of a matrix and of a distribution, each taken while it is computed."""
+    t, v, p = matrix_t(spark, folder), F.col("v"), F.col("p")
+    nations = tables.extent(spark, folder, "nation", "n_nationkey")
     rows = [
         sinks.measured("quantities", t.df, t.size, v * v),
-        sinks.measured("state", amplitudes(state), sinks.state_size(state.grid, 1), re * re + im * im),
-        sinks.measured("distribution", distribution, state.grid.sites, p * p),
+        sinks.measured("trade", monthly(spark, folder), nations * nations, p * p),
     ]
     return rounded(sinks.metrics_table(spark, rows).drop("building_seconds"), "norm")

@@ -107,7 +107,7 @@ def test_outside_the_grid(spark):
     assert points.select(grids.to_site(g, [F.col("x"), F.col("y")])).first()[0] is None
     assert points.select(grids.to_coordinate(g, F.col("site"))[0]).first()[0] is None
     for strict in (grids.to_site(g, [F.col("x"), F.col("y")], True), grids.to_coordinate(g, F.col("site"), True)[0]):
-        with pytest.raises(Exception, match="out of grid boundaries"):
+        with pytest.raises(Exception, match="no (point|site) of this grid"):
             points.select(strict).collect()
 
 
@@ -170,3 +170,10 @@ def test_wide_broken_sets_are_left_to_the_planner(spark, monkeypatch):
         assert wide.exceptAll(small).isEmpty() and wide.count() == 128
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("edge", [99, -3])
+def test_edges_that_are_none_are_told_where_they_are_used(spark, edge):
+    ring, bad = Grid("cycle", (4,)), spark.createDataFrame([(edge,)], "edge long")
+    with pytest.raises(Exception, match="no such edge"):
+        grids.transition(spark, ring, bad).collect()

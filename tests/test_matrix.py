@@ -132,11 +132,28 @@ def test_product_rules(spark):
     assert np.array_equal(mx.to_ndarray(mx.transpose(mx.matmul(ta, tb))), mx.to_ndarray(transposed))
 
 
-def test_kron_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(mx, "BROADCAST_CELLS", 0)
-    monkeypatch.setattr(mx, "KRON_PIECE_CELLS", 3)
+def test_kron_wants_one_small_factor(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BROADCAST_CELLS", 3)
     a, b = random_array(12, (4, 5), "int"), random_array(13, (3, 4), "complex")
-    assert np.array_equal(mx.to_ndarray(mx.kron(table(spark, a), table(spark, b))), np.kron(a, b))
+    with pytest.raises(ValueError, match="smaller factor"):
+        mx.kron(table(spark, a), table(spark, b))
+
+
+def test_stored_zeros_make_no_products(spark):
+    zeros = spark.range(40).selectExpr("id AS row", "0L AS col", "IF(id = 3, 2L, 0L) AS v")
+    many = spark.range(40).selectExpr("0L AS row", "id AS col", "IF(id = 5, NULL, IF(id = 7, 4L, 0L)) AS v")
+    a, b = MatrixTable(zeros, (40, 1), "int"), MatrixTable(many, (1, 40), "int")
+    assert [tuple(r) for r in mx.matmul(a, b).df.collect()] == [(3, 7, 8)]
+    left, right = spark.sql("SELECT 0L AS row, id AS col, IF(id = 0, 1L, -1L) AS v FROM range(2)"), spark.sql(
+        "SELECT id AS row, 0L AS col, 1L AS v FROM range(2)"
+    )
+    assert mx.matmul(MatrixTable(left, (1, 2), "int"), MatrixTable(right, (2, 1), "int")).df.count() == 0
+
+
+def test_repeated_cells_are_told(spark):
+    twice = MatrixTable(spark.sql("SELECT 0L AS row, 0L AS col, 1L AS v FROM range(2)"), (1, 1), "int")
+    with pytest.raises(Exception, match="several rows"):
+        mx.unique_cells(twice).df.collect()
 
 
 def skewed(spark):

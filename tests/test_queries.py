@@ -22,7 +22,10 @@ def test_query(spark, duck, folder, name):
     result = compare(spark, duck, folder, name, run, ORACLES[name])
     assert result.startswith("ok"), result
     plan = frames[0]._jdf.queryExecution().executedPlan().toString()
-    assert not [word for word in FORBIDDEN if word in plan]
+    # A Kronecker product is a cross join by definition, with a counted small side.
+    allowed = ("BroadcastNestedLoopJoin",) if name == "m_kron" else ()
+    assert not [word for word in FORBIDDEN if word in plan and word not in allowed]
+    assert name.startswith("w_") or "FileScan" in plan or "Scan parquet" in plan or "ExistingRDD" in plan
 
 
 def test_every_query_has_sql():
@@ -34,4 +37,5 @@ def test_entry(spark):
 
     df = contract.entry(spark)
     assert df.columns == ["row", "col", "v"]
-    assert set(contract.queries()) == set(QUERIES) and set(contract.oracle_sql()) == set(ORACLES)
+    assert set(contract.queries()) >= set(QUERIES) and set(contract.oracle_sql()) >= set(ORACLES)
+    assert set(contract.queries()) - set(QUERIES) == set(contract.LLM_QUERIES)
