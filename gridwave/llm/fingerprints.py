@@ -31,6 +31,8 @@ BASE = 4
 TURNS = 12
 # Cells of each table for each paragraph of both texts, at first.
 FACTOR = 0.6
+# Sketches take more memory than the texts they are made of: so many more partitions than otherwise.
+PARTS = 4
 _NO_ID = -(1 << 63)
 
 
@@ -148,7 +150,8 @@ def edited(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.expr(f"CAST('{_NO_ID}' AS BIGINT)")).alias("doc")
     plain = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
     # By id once; all that follows finds its rows there.
-    rows = plain.repartition("doc").distinct()
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = plain.repartition(parts, "doc").distinct()
     lengths = plain.select("doc", F.length("text").alias("n"))
     links = successors(lengths.select("doc")).join(lengths.groupBy("doc").agg(F.max("n").alias("n")), "doc")
     links = links.select(F.col("doc").alias("before"), F.col("next").alias("doc"), F.expr("n div 2").alias("half"))
@@ -156,7 +159,7 @@ def edited(docs: DataFrame) -> DataFrame:
         F.col("before").alias("doc"), F.expr("substring(text, 1, int(half))").alias("head"),
         F.expr(paragraphs("text")).alias("next_digests"),
     )
-    heads = heads.groupBy("doc").agg(F.min(F.struct("head", "next_digests")).alias("h"))
+    heads = heads.repartition(parts, "doc").groupBy("doc").agg(F.min(F.struct("head", "next_digests")).alias("h"))
     joined = rows.join(heads, "doc")
     half = "length(text) div 2"
     new = f"concat(substring(text, 1, length(text) - int({half})), substring(h.head, 1, int({half})))"
