@@ -350,10 +350,14 @@ def matvec(a: MatrixTable, v: MatrixTable) -> MatrixTable:
 def propagate(operators: list[MatrixTable], v: MatrixTable, steps: int, cut_every: int = 10) -> MatrixTable:
     """v after ``steps`` rounds of v <- operator * v, over the operators in order.
 
-    The history is cut every ``cut_every`` products, so plans stay short on long runs.
+    Operators that are used more than once are written to the checkpoint folder first, without
+    their zeros, so that no product reads the facts behind them again. The history of the vector
+    is cut every ``cut_every`` products, so plans stay short on long runs.
     """
     from gridwave.session import cut_lineage
 
+    if steps > 1:
+        operators = [MatrixTable(cut_lineage(clear(a).df), a.shape, a.dtype) for a in operators]
     done = 0
     for _ in range(steps):
         for a in operators:

@@ -36,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith(("local[", "local ")) and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="gridwave-checkpoints-")
     sc.setCheckpointDir(path)

@@ -11,15 +11,16 @@ from pyspark.sql.types import StructType
 from gridwave.operators.matrix import MatrixTable, from_cells, from_table
 
 
-# Schemas of the fact tables read so far; later reads skip the job that infers them.
-_schemas: dict[str, StructType] = {}
+# Schemas of the fact tables read so far, by application; later reads skip the job that infers them.
+_schemas: dict[tuple[str, str], StructType] = {}
 
 
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     path = f"{folder}/{name}.parquet"
-    reader = spark.read.schema(_schemas[path]) if path in _schemas else spark.read
+    key = (spark.sparkContext.applicationId, path)
+    reader = spark.read.schema(_schemas[key]) if key in _schemas else spark.read
     df = reader.parquet(path)
-    _schemas.setdefault(path, df.schema)
+    _schemas.setdefault(key, df.schema)
     return df.select(*columns) if columns else df
 
 

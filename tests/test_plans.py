@@ -140,3 +140,12 @@ def test_metrics(spark, tmp_path):
     assert table.first()[:4] == ("diagonal", 16, 4, 6.0) and table.first()["building_seconds"] > 0
     sinks.write_metrics(table, str(tmp_path / "metrics"))
     assert spark.read.option("header", True).csv(str(tmp_path / "metrics")).first()["num_elements"] == "4"
+
+
+def test_iterated_products_read_the_facts_once(spark, folder):
+    from gridwave.workload.algebra import matrix_q
+
+    q = matrix_q(spark, folder)
+    start = mx.from_cells(spark.range(q.shape[1]).selectExpr("id AS row", "0L AS col", "1D AS v"), (q.shape[1], 1), "float")
+    assert "FileScan" in plan(q.df)
+    assert "FileScan" not in plan(mx.propagate([q, mx.transpose(q)], start, steps=6, cut_every=5).df)
