@@ -23,7 +23,7 @@ def test_query(spark, duck, folder, name):
     assert result.startswith("ok"), result
     plan = frames[0]._jdf.queryExecution().executedPlan().toString()
     # A Kronecker product is a cross join by definition, with a counted small side.
-    allowed = ("BroadcastNestedLoopJoin",) if name == "m_kron" else ()
+    allowed = ("BroadcastNestedLoopJoin",) if name in ("m_kron", "m_kron_complex") else ()
     assert not [word for word in FORBIDDEN if word in plan and word not in allowed]
     assert name.startswith("w_") or "FileScan" in plan or "Scan parquet" in plan or "ExistingRDD" in plan
 
