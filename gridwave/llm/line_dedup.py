@@ -85,24 +85,24 @@ def bands(signed: DataFrame, hashes: int = HASHES, rows: int = ROWS) -> DataFram
 
 
 def shingles(line: str, shingle: int = SHINGLE) -> str:
-    """SQL of the array of distinct shingle hashes of a line of four bytes a character."""
-    return (
-        f"array_distinct(transform(sequence(0, length({line}) div 4 - {shingle}),"
-        f" i -> xxhash64(substring({line}, 4 * i + 1, {4 * shingle}))))"
-    )
+    """SQL of the array of distinct shingle hashes of a line.
+
+    The wide form of the line is bound by a lambda of its own: written out, the optimizer
+    would put its making into the inner lambda, and make it once for each shingle.
+    """
+    hashes = f"transform(sequence(0, length(c) div 4 - {shingle}), i -> xxhash64(substring(c, 4 * i + 1, {4 * shingle})))"
+    return f"transform(array(encode({line}, 'UTF-32')), c -> array_distinct({hashes}))[0]"
 
 
 def alike(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of ids whose lines in ``texts`` (id, line) have at least that Jaccard similarity."""
-    # Lines move as texts; their wide form and their sets are made where they have met.
-    joined = (
-        pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("_la")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("line").alias("_lb")), "b")
-        .select("a", "b", _points("_la").alias("_a"), _points("_lb").alias("_b"))
-        .select("a", "b", F.expr(shingles("_a")).alias("_a"), F.expr(shingles("_b")).alias("_b"))
-        .select("a", "b", F.size("_a").alias("na"), F.size("_b").alias("nb"), F.size(F.array_intersect("_a", "_b")).alias("both"))
-    )
-    return joined.where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both")))
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("_a")), "a")
+    joined = joined.join(texts.select(F.col("id").alias("b"), F.col("line").alias("_b")), "b")
+    # Lines move as texts; their sets are made once, where they have met.
+    enough = f"n -> n >= {similarity}D * (size(s.a) + size(s.b) - n)"
+    verdict = f"transform(array(size(array_intersect(s.a, s.b))), {enough})[0]"
+    sets = f"array(struct({shingles('_a')} AS a, {shingles('_b')} AS b))"
+    return joined.where(F.expr(f"transform({sets}, s -> {verdict})[0]")).select("a", "b")
 
 
 def _bitmap(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
