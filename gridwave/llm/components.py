@@ -48,15 +48,17 @@ def bucket_components(buckets: DataFrame, similar: Callable[[DataFrame], DataFra
     """(id, component) of the links among candidates: ids (``id``) that share a ``key``.
 
     ``similar`` takes distinct pairs (a, b) and returns those that are links. Not all pairs
-    of a bucket are formed: its members first meet its smallest and its largest member;
+    of a bucket are formed: its members first meet two of them, drawn by a hash that differs
+    from bucket to bucket, so copies that share several buckets meet several of their kind;
     then only members that are still in different components meet. No link that could join
     two components is passed over, and a bucket of thousands of copies costs two pairs each.
     """
     buckets = keep(buckets.distinct())
-    ends = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    shared = buckets.join(ends, "key")
-    pairs = shared.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.unionByName(shared.where("id <> hi").select(F.col("id").alias("a"), F.col("hi").alias("b")))
+    drawn = F.xxhash64("id", "key")
+    ends = buckets.groupBy("key").agg(F.min_by("id", drawn).alias("one"), F.max_by("id", drawn).alias("two"))
+    shared = buckets.join(ends.where("one <> two"), "key")
+    met = shared.select("id", F.explode(F.array("one", "two")).alias("other")).where("id <> other")
+    pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
     first = keep(similar(pairs.distinct()).select("a", "b"))
     found = keep(components(first))
     placed = shared.select("key", "id").join(found, "id", "left")
