@@ -7,7 +7,9 @@ shingle hashes in each of ``BANDS`` orders) are compared with
 those of all templates, one value to a band: a window with one shingle of a template of
 one shingle meets it in a band with probability 1/4, in none of 40 bands in 1 of 100,000;
 windows inside longer templates meet them more often. Candidates are verified by the
-exact share of the template's shingles within reach of the window.
+exact share of the template's shingles within reach of the window. A template of fewer
+words than a shingle is one shingle, of all its words in their order; a set of hashes at
+every word of a text finds these, and their words verify them.
 
 The values of the templates are constants of the plan (at most ``MAX_TEMPLATES`` times
 ``BANDS`` numbers), so the scan is one pass of expressions; only hits move.
@@ -41,8 +43,11 @@ NOTICES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# Notices of fewer words than a shingle.
+SHORT_NOTICES = (("all-rights-reserved", "All rights reserved."),)
 
 _WORDS = "split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+')"
+_TRIMMED = "regexp_replace(text, '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}]+$', '')"
 _TURNS, _SEED = 8, 1
 
 
@@ -55,27 +60,75 @@ def _shingle(at: str, array: str = "_w") -> str:
     return "xxhash64(" + ", ".join(f"{array}[int({at}) + {k}]" for k in range(SHINGLE)) + ")"
 
 
+def _cut(templates: DataFrame) -> DataFrame:
+    trimmed = F.expr(_TRIMMED)
+    return templates.select("template_id", trimmed.alias("_t")).dropna().distinct().select("template_id", words("_t").alias("_w"))
+
+
 def prepare(templates: DataFrame) -> DataFrame:
     """(template_id, shingles, span) of rows (template_id, text): distinct shingle hashes, and how many there are in a row.
 
-    Null and repeated rows are passed over; a template of fewer than 5 words fails, as it could not be told from chance.
+    Null and repeated rows are passed over; a template of fewer than 5 words fails: those are for ``prepare_short``.
     """
-    trimmed = F.expr("regexp_replace(text, '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}]+$', '')")
-    cut = templates.select("template_id", trimmed.alias("_t")).dropna().distinct().select("template_id", words("_t").alias("_w"))
+    cut = _cut(templates)
     short = F.raise_error(F.concat(F.lit("template with too few words: "), F.col("template_id").cast("string")))
     cut = cut.where(F.when(F.size("_w") < SHINGLE, short).otherwise(F.lit(True)))
     listed = F.expr(f"transform(sequence(0, size(_w) - {SHINGLE}), i -> {_shingle('i')})")
     return cut.select("template_id", F.array_distinct(listed).alias("shingles"), (F.size("_w") - SHINGLE + 1).alias("span"))
 
 
-def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
+def prepare_short(templates: DataFrame) -> DataFrame:
+    """(template_id, words, shingle) of the templates of fewer than 5 words; one without any word fails."""
+    none = F.raise_error(F.concat(F.lit("template without words: "), F.col("template_id").cast("string")))
+    cut = _cut(templates).where(F.when(F.element_at("_w", 1) == "", none).otherwise(F.size("_w") < SHINGLE))
+    return cut.select("template_id", F.col("_w").alias("words"), F.expr("xxhash64(_w)").alias("shingle"))
+
+
+def scan_short(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """Like ``scan``, for templates of fewer than 5 words: a template is one shingle, of all its words."""
+    ready = keep(prepare_short(templates))
+    known = ready.limit(MAX_TEMPLATES + 1).collect()
+    if len(known) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+    hashes: dict[int, set[int]] = {}
+    for r in known:
+        hashes.setdefault(len(r["words"]), set()).add(r["shingle"])
+    cut = docs.select("doc_id", words("text").alias("_w"))
+    places = [F.expr("CAST(array() AS array<struct<at: int, n: int>>)")]
+    for n, of_templates in sorted(hashes.items()):
+        at = "xxhash64(" + ", ".join(f"_w[i + {k}]" for k in range(n)) + ")"
+        listed = ", ".join(f"{h}L" if h > -(1 << 63) else "-9223372036854775807L - 1L" for h in sorted(of_templates))
+        found = f"filter(sequence(0, size(_w) - {n}), i -> {at} IN ({listed}))"
+        places.append(F.expr(f"CASE WHEN size(_w) >= {n} THEN transform({found}, i -> struct(i AS at, {n} AS n)) ELSE array() END"))
+    placed = cut.select("doc_id", "_w", F.explode(F.concat(*places)).alias("_p"))
+    said = placed.select("doc_id", F.expr("_p.at").alias("_at"), F.expr("slice(_w, _p.at + 1, _p.n)").alias("words"))
+    met = said.join(F.broadcast(ready.select("template_id", "words").distinct()), "words")
+    shared = met.groupBy("doc_id", "template_id").agg(F.min("_at").cast("long").alias("first_word"))
+    return shared.select("doc_id", "template_id", F.lit(1.0).alias("containment"), "first_word").where(F.col("containment") >= containment)
+
+
+def _of_words(templates: DataFrame, few: bool) -> DataFrame:
+    """The templates of fewer than 5 words, or the others."""
+    size = F.size(words("_t"))
+    trimmed = templates.withColumn("_t", F.expr(_TRIMMED)).where(F.col("text").isNotNull())
+    return trimmed.where(size < SHINGLE if few else size >= SHINGLE).drop("_t")
+
+
+def scan(
+    docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT, bands: int = BANDS, short: bool = False
+) -> DataFrame:
     """(doc_id, template_id, containment, first_word) of the notices in ``docs`` (doc_id, text).
 
     One row per document and template of which at least that share of distinct shingles
     stands in one place; first_word is the number of the word where the first such place
-    begins. Null texts and texts of fewer than 5 words hold none; rows with one id are one
-    document; empty tables give no rows. At most ``MAX_TEMPLATES`` templates.
+    begins. Null texts hold none; rows with one id are one document; empty tables give no
+    rows. At most ``MAX_TEMPLATES`` templates. With ``short``, templates of fewer than 5
+    words are found as well, wherever all their words stand in a row; without it they fail.
     """
+    if short:
+        return scan(docs, _of_words(templates, few=False), containment, bands).unionByName(
+            scan_short(docs, _of_words(templates, few=True), containment)
+        )
     ready = keep(prepare(templates))
     known = ready.limit(MAX_TEMPLATES + 1).collect()
     if len(known) > MAX_TEMPLATES:
@@ -138,9 +191,10 @@ def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT
 
 
 
-def notices(spark: SparkSession) -> DataFrame:
-    """NOTICES as a table (template_id, text)."""
-    rows = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(t).alias("text")) for i, t in NOTICES])
+def notices(spark: SparkSession, short: bool = False) -> DataFrame:
+    """NOTICES, with ``short`` also SHORT_NOTICES, as a table (template_id, text)."""
+    listed = NOTICES + SHORT_NOTICES if short else NOTICES
+    rows = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(t).alias("text")) for i, t in listed])
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 

@@ -18,7 +18,7 @@ VOCABULARY = bpe.Ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pu
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan.scan(docs, license_scan.notices(spark))
+    return license_scan.scan(docs, license_scan.notices(spark, short=True), short=True)
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
