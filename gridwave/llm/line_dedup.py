@@ -29,8 +29,10 @@ SHINGLE = 8
 SIMILARITY = 0.8
 HASHES, ROWS = 24, 3
 STEP = 4
-# Shorter lines hold too few shingles to tell copies from chance; they are left alone.
+# From how many characters ``decide`` and ``dedup`` judge a line if not told otherwise.
 MIN_CHARS = 40
+# What op9 and the pipeline ask for: every line takes part but blank ones.
+EVERY_LINE = {"min_chars": 1}
 
 _TURNS, _SEED = 3, 9
 
@@ -47,8 +49,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select(doc, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _judges(min_chars: int) -> Column:
+    """Whether a line takes part: long enough, and not blank or as long as MIN_CHARS."""
+    size = F.length("line")
+    return (size >= min_chars) & ((size >= MIN_CHARS) | F.col("line").rlike(r"[^\s\p{Z}]"))
+
+
 def _judged(docs: DataFrame, min_chars: int) -> DataFrame:
-    return lines(docs).where(F.length("line") >= max(min_chars, SHINGLE))
+    return lines(docs).where(_judges(min_chars))
 
 
 def _points(line: str) -> Column:
@@ -133,7 +141,8 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN
 
     A component is what links of lines of at least ``min_chars`` characters reach; it is named
     by its first line (smallest id, then line number), which is the one that is kept. Shorter
-    lines, empty ones too, are components of their own. A null text has no lines; a null id
+    lines, and blank ones below MIN_CHARS, are components of their own. A line shorter than a
+    shingle is alike to its copies only. A null text has no lines; a null id
     comes before all others; rows with one id count as one document (equal lines at one place
     of it are one line); an empty table gives no rows.
     """
@@ -145,7 +154,9 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN
     first = first.select("h", "g", "at.doc", "at.line_no", "copies")
     first = keep_table(first.withColumn("id", F.monotonically_increasing_id()))
     # Signatures of their first places alone: the texts move by place, and stay there.
-    texts = _likely(_judged(docs, min_chars), place, first)
+    # A line shorter than a shingle is one shingle of its own: only its copies are alike, and they are one already.
+    shingled = F.length("line") >= SHINGLE
+    texts = _likely(_judged(docs, min_chars).where(shingled), place, first)
     placed = texts.join(first.select(*place, "id", "h", "g").hint("shuffle_hash"), place)
     placed = placed.where(F.xxhash64("line") == F.col("h")).where(F.xxhash64(F.lit(1), F.col("line")) == F.col("g"))
     signed = signatures(placed, [*place, "id"])
@@ -156,7 +167,7 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN
     # Texts of candidates alone, found by a bitmap of fixed size before they move.
     ids = buckets.select("id").distinct()
     wanted = keep(_likely(first, ["id"], ids).join(ids, "id").select(*place, "id", "h", "g"))
-    texts = _likely(_judged(docs, min_chars), place, wanted).join(wanted, place)
+    texts = _likely(_judged(docs, min_chars).where(shingled), place, wanted).join(wanted, place)
     texts = texts.where(F.xxhash64("line") == F.col("h")).where(F.xxhash64(F.lit(1), F.col("line")) == F.col("g"))
     texts = keep(texts.groupBy(*place, "id").agg(F.min("line").alias("line")).select("id", "line"))
     linked = keep(bucket_components(buckets, lambda pairs: alike(pairs, texts, similarity)))
@@ -165,8 +176,8 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN
     named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = named.groupBy("component").agg(F.min(F.struct(*place)).alias("head"))
     named = keep(named.join(heads, "component").select("h", "g", "head"))
-    all_lines = lines(docs).select(*place, *both, (F.length("line") >= max(min_chars, SHINGLE)).alias("long"))
-    all_lines = _marked(all_lines, ["h", "g"], _bitmap(named, ["h", "g"])).withColumn("_maybe", F.expr("long AND _maybe"))
+    all_lines = lines(docs).select(*place, *both, _judges(min_chars).alias("judged"))
+    all_lines = _marked(all_lines, ["h", "g"], _bitmap(named, ["h", "g"])).withColumn("_maybe", F.expr("judged AND _maybe"))
     far = all_lines.where("_maybe").join(named, ["h", "g"], "left")
     far = far.select(*place, F.coalesce("head.doc", "doc").alias("head_doc"), F.coalesce("head.line_no", "line_no").alias("head_line"))
     near = all_lines.where("NOT _maybe").select(*place, F.col("doc").alias("head_doc"), F.col("line_no").alias("head_line"))

@@ -114,7 +114,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.decide(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.decide(table(spark, sf_dir, "documents").select("doc_id", "text"), **line_dedup.EVERY_LINE)
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

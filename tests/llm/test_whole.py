@@ -1,10 +1,11 @@
-"""Cases that the operators once left out: short notices."""
+"""Cases that the operators once left out: short notices, short lines."""
 
 from __future__ import annotations
 
 import re
 
-from gridwave.llm import license_scan
+from corpus_pipeline import line_stage
+from gridwave.llm import license_scan, line_dedup
 from gridwave.llm.queries import op1_license_scan
 
 
@@ -41,3 +42,20 @@ def test_op1_has_short_notices(spark, folder):
     want = {r.doc_id for r in docs if places(plain_words(r.text or ""), ["all", "rights", "reserved"])}
     got = {r.doc_id for r in op1_license_scan(spark, folder).collect() if r.template_id == "all-rights-reserved"}
     assert want and got == want
+
+
+# --- op9 and the pipeline's line stage: short lines
+
+
+def test_short_lines(spark, folder):
+    texts = ["go\nan opening line of the first document\n\n我们在这里", "go\n\n我们在这里\nits own", "我们在这里\n go", "go", " \n\t", "go\n\n我们在这里"]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in line_dedup.decide(docs, **line_dedup.EVERY_LINE).collect()}
+    first = {}
+    for k, text in enumerate(texts):
+        for n, line in enumerate(text.split("\n")):
+            head = first.setdefault(line, (k, n)) if line.strip() else (k, n)
+            assert got.pop((k, n)) == head
+    assert not got
+    left = {r.doc_id: r.text for r in line_stage(spark, docs, folder).collect()}
+    assert left[0] == texts[0] and left[1] == "\nits own" and left[2] == " go" and 3 not in left and left[4] == " \n\t"
