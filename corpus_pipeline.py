@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of alike lines one stays; a document of which no line is left goes."""
     left = line_dedup.dedup(docs, **line_dedup.EVERY_LINE)
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\s\p{Z}]")
     return left.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -1,4 +1,4 @@
-"""Cases that the operators once left out: short notices, short lines, lines with one change."""
+"""Cases that the operators once left out: short notices, short lines, lines with one change, blank rests."""
 
 from __future__ import annotations
 
@@ -80,3 +80,9 @@ def test_recall_of_one_change(spark):
     assert all(f <= a for f, a in zip(found, alike)) and sum(found) >= sum(alike) - 2
     characters = [found[k] for k in range(1, 200, 2) if len(texts[2 * k]) >= 39]
     assert len(characters) > 80 and sum(characters) >= len(characters) - 2
+
+
+def test_blank_rest_goes(spark, folder):
+    text = "a paragraph of the document\n\n \t\nand one more of them"
+    docs = spark.createDataFrame([(k, t, "en", "web", 0) for k, t in enumerate([text, text, "\n\n", "", None])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in line_stage(spark, docs, folder).collect()} == {0: text, 2: "\n\n", 3: "", 4: None}
