@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwave.llm import bpe, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, quality, sharding, simhash_dedup, token_counts
+from gridwave.llm import (
+    bpe, collocations, embedding_dedup, filter_audit, fingerprints, license_scan, line_dedup, mixing, packing, quality, sharding,
+    simhash_dedup, token_counts,
+)
 from gridwave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,12 +124,28 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_document_fingerprints, op3_embedding_dedup, op4_byte_bpe, op5_shard_placement, op6_simhash_dedup, op7_quality, op8_token_counts,
-        op9_line_dedup, op10_source_mix,
+        op9_line_dedup, op10_source_mix, op11_best_fit_packing, op12_phrase_collocations, op13_filter_audit,
     )
 }
 ORACLES: dict[str, str] = {
-    "op1_license_scan": license_scan.oracle(), "op3_embedding_dedup": OP3_SQL, "op5_shard_placement": OP5_SQL, "op10_source_mix": mixing.oracle()}
+    "op1_license_scan": license_scan.oracle(), "op3_embedding_dedup": OP3_SQL, "op5_shard_placement": OP5_SQL, "op10_source_mix": mixing.oracle(),
+    "op12_phrase_collocations": collocations.oracle(), "op13_filter_audit": filter_audit.oracle(),
+}
