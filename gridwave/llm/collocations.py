@@ -1,10 +1,11 @@
 """Phrases whose words keep together, by counting all of them in tries of hash containers.
 
-A task holds a trie over the ids it gives to words: a phrase is found by its first word,
-then its second, and what is left of it is a key in a hash container. A container that
-grows past BURST keys bursts into one for each next word, to DEPTH words at most. When a
-trie passes CAPACITY keys, its largest subtrees leave it whole, as sorted runs; Spark's
-shuffle brings the runs of one prefix (two words) together and merges them.
+A task holds a trie over the ids it gives to words: a phrase is found by its first word, and
+what follows is a key, the packed ids, in a hash container. A container that grows past BURST
+keys bursts into one for each second word. When a task holds more than CAPACITY keys, the
+largest subtrees leave it whole, as sorted runs; Spark's shuffle brings the runs of one
+prefix (two words) together and merges them. Words are cut and numbered by Arrow, a batch at
+a time, and a container takes all that a batch has for it at once.
 
 A phrase occurs at least as often as every longer one that holds it. So words are counted
 first, then pairs within stretches of frequent words, then longer phrases within chains of
@@ -15,11 +16,12 @@ pass but keeps back no frequent one; every count that is used is exact.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,123 +30,102 @@ from gridwave.llm.bitmaps import BITS, PIECES, local_bitmap
 from gridwave.llm.common import keep_table, ship_package, slices
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
-BURST, DEPTH, CAPACITY = 4096, 2, 400_000
+BURST, CAPACITY = 16_384, 1_000_000
 NO_LANG = "und"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = str.maketrans(_UPPER, _LOWER)
-_PIECE = re.compile(r"[.,;:!?\n-\r]")
-# Distinct words that a task remembers at a time.
-_WORDS = 200_000
-_OUT = 20_000
+# Ids have 16 bits, so that the four that may follow the first fill a 64-bit key; zero is no word.
+_ID_BITS, _IDS = 16, (1 << 16) - 1
+_KEY_WORDS = 64 // _ID_BITS
+# Words or pairs that a task remembers a bitmap's answer to.
+_KNOWN = 500_000
+# Stands for the end of a piece; no word holds a line end.
+_END = "\n"
+_NAMES = ["lang", "prefix", "rest", "f"]
+
+
+def pack(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The keys of what follows the first of ``n`` ids from each start, in the order of the ids."""
+    keys = np.zeros(len(starts), np.uint64)
+    for j in range(1, n):
+        keys |= ids[starts + j].astype(np.uint64) << np.uint64(64 - _ID_BITS * j)
+    return keys
+
+
+def unpack(keys: np.ndarray, j: int) -> np.ndarray:
+    """The ``j``-th id (from 0) of keys; zero where they are shorter."""
+    return (keys >> np.uint64(64 - _ID_BITS * (j + 1)) & np.uint64(_IDS)).astype(np.int64)
 
 
 class HatTrie:
-    """Counts of sequences of ids: hash containers below a trie of at most ``depth`` ids."""
-
-    def __init__(self, burst: int = BURST, depth: int = DEPTH):
-        self.burst, self.depth, self.size = burst, depth, 0
-        # A node is [how often it ends a sequence, {next id: node, or container}].
-        self.root: dict = {}
-        self.sizes: Counter = Counter()
-
-    def add(self, ids: tuple[int, ...], n: int) -> None:
-        node, at = self.root, 0
-        while True:
-            below = node.get(ids[at])
-            if below is None:
-                below = node[ids[at]] = {}
-            at += 1
-            if type(below) is dict:
-                rest = ids[at:]
-                if rest in below:
-                    below[rest] += n
-                    return
-                below[rest] = n
-                self.size += 1
-                self.sizes[ids[0]] += 1
-                if len(below) > self.burst and at < self.depth:
-                    node[ids[at - 1]] = self._burst(below)
-                return
-            if at == len(ids):
-                if not below[0]:
-                    self.size += 1
-                    self.sizes[ids[0]] += 1
-                below[0] += n
-                return
-            node = below[1]
+    """Counts of sequences of up to five ids: hash containers below the first id, or the first two."""
+
+    def __init__(self, burst: int = BURST):
+        self.burst, self.size = burst, 0
+        # First id: container of packed ids, or after a burst containers by second id.
+        self.root: dict[int, Counter | dict[int, Counter]] = {}
+        self.sizes: dict[int, int] = {}
+
+    def add(self, first: np.ndarray, keys: np.ndarray) -> None:
+        """Count each (first id, key) once more."""
+        order = np.argsort(first, kind="stable")
+        first, keys = first[order], keys[order]
+        cuts = np.flatnonzero(first[1:] != first[:-1]) + 1
+        for k, part in zip(first[np.r_[0, cuts]].tolist() if len(first) else [], np.split(keys, cuts)):
+            self._add(k, part)
+
+    def _add(self, first: int, keys: np.ndarray) -> None:
+        below = self.root.get(first)
+        if below is None:
+            below = self.root[first] = Counter()
+        if isinstance(below, Counter):
+            before = len(below)
+            below.update(keys.tolist())
+            grown = len(below) - before
+            if len(below) > self.burst:
+                self.root[first] = self._split(below)
+        else:
+            seconds = unpack(keys, 0)
+            order = np.argsort(seconds, kind="stable")
+            keys, seconds, grown = keys[order], seconds[order], 0
+            cuts = np.flatnonzero(seconds[1:] != seconds[:-1]) + 1
+            for k, part in zip(seconds[np.r_[0, cuts]].tolist(), np.split(keys, cuts)):
+                container = below.setdefault(k, Counter())
+                before = len(container)
+                container.update(part.tolist())
+                grown += len(container) - before
+        self.size += grown
+        self.sizes[first] = self.sizes.get(first, 0) + grown
 
     @staticmethod
-    def _burst(container: dict) -> list:
-        ends, children = container.pop((), 0), {}
-        for rest, n in container.items():
-            children.setdefault(rest[0], {})[rest[1:]] = n
-        return [ends, children]
-
-    def take(self, first: int) -> Iterator[tuple[tuple[int, ...], int]]:
-        """All sequences of one first id; the subtree leaves the trie."""
-        self.size -= self.sizes.pop(first)
-        yield from self._walk((first,), self.root.pop(first))
+    def _split(container: Counter) -> dict[int, Counter]:
+        out: dict[int, Counter] = {}
+        for key, n in container.items():
+            out.setdefault(key >> (64 - _ID_BITS), Counter())[key] = n
+        return out
 
-    def _walk(self, prefix: tuple[int, ...], below) -> Iterator[tuple[tuple[int, ...], int]]:
-        if type(below) is dict:
-            yield from ((prefix + rest, n) for rest, n in below.items())
-            return
-        if below[0]:
-            yield prefix, below[0]
-        for k, child in below[1].items():
-            yield from self._walk((*prefix, k), child)
+    def take(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, in order, and counts of all sequences of one first id; the subtree leaves the trie."""
+        self.size -= self.sizes.pop(first)
+        below = self.root.pop(first)
+        containers = [below] if isinstance(below, Counter) else list(below.values())
+        n = sum(map(len, containers))
+        keys = np.fromiter((k for c in containers for k in c), np.uint64, n)
+        counts = np.fromiter((v for c in containers for v in c.values()), np.int64, n)
+        order = np.argsort(keys)
+        return keys[order], counts[order]
 
     def largest(self, above: int) -> list[int]:
         """First ids of the largest subtrees, as many as leave at most ``above`` sequences."""
         out, left = [], self.size
-        for first, n in self.sizes.most_common():
+        for first in sorted(self.sizes, key=self.sizes.get, reverse=True):
             if left <= above:
                 break
             out.append(first)
-            left -= n
+            left -= self.sizes[first]
         return out
 
 
-class Counts:
-    """The tries of a task, one for each language, and the words behind their ids."""
-
-    def __init__(self, capacity: int = CAPACITY, burst: int = BURST):
-        self.capacity, self.burst = capacity, burst
-        self.tries: dict[str, HatTrie] = {}
-        self.ids: dict[str, int] = {}
-        self.words: list[str] = []
-
-    def encode(self, words: Iterable[str]) -> list[int]:
-        ids, out = self.ids, []
-        for w in words:
-            k = ids.get(w)
-            if k is None:
-                k = ids[w] = len(self.words)
-                self.words.append(w)
-            out.append(k)
-        return out
-
-    def trie(self, lang: str) -> HatTrie:
-        if lang not in self.tries:
-            self.tries[lang] = HatTrie(self.burst)
-        return self.tries[lang]
-
-    def spill(self, everything: bool = False) -> Iterator[tuple[str, str, int]]:
-        """Sorted runs (lang, phrase, count) of whole subtrees, when there is too much to hold."""
-        everything = everything or len(self.words) > _WORDS
-        if not everything and sum(t.size for t in self.tries.values()) <= self.capacity:
-            return
-        share = 0 if everything else self.capacity // (2 * len(self.tries))
-        for lang, trie in self.tries.items():
-            for first in trie.largest(share):
-                run = [(" ".join([self.words[k] for k in ids]), n) for ids, n in trie.take(first)]
-                for phrase, n in sorted(run):
-                    yield lang, phrase, n
-        if everything:
-            self.tries, self.ids, self.words = {}, {}, []
-
-
 class Sieve:
     """Whether (lang, key) may be among those a bitmap was made of."""
 
@@ -160,41 +141,105 @@ class Sieve:
             # The remainder of the signed hash: the number of bits is a power of two.
             p = h % (PIECES * BITS)
             found = bool(self.bits[p >> 3] >> (p & 7) & 1)
-            if len(self.known) >= _WORDS:
+            if len(self.known) >= _KNOWN:
                 self.known.clear()
             self.known[lang, key] = found
         return found
 
 
-def _batches(rows: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= _OUT:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names)
+class Counts:
+    """The tries of a task, one for each language, and the words behind their ids (from 1)."""
 
+    def __init__(self, capacity: int = CAPACITY, burst: int = BURST):
+        self.capacity, self.burst = capacity, burst
+        self.clear()
 
-def stretches(words: list[str], may: list[bool]) -> Iterator[list[str]]:
-    """The longest stretches of two words or more that may all be frequent."""
-    start = 0
-    for i, ok in enumerate([*may, False]):
-        if not ok:
-            if i - start > 1:
-                yield words[start:i]
-            start = i + 1
+    def clear(self) -> None:
+        self.tries: dict[str, HatTrie] = {}
+        self.ids: dict[str, int] = {}
+        self.words = [""]
 
+    def room(self, words: list[str]) -> int:
+        """How many ids are left once these words have theirs."""
+        return _IDS - len(self.words) - sum(w not in self.ids for w in words)
 
-def chains(words: list[str], may: list[bool]) -> Iterator[list[str]]:
-    """The longest stretches of three words or more of which every pair of neighbours may be frequent (``may[i]``: i and i + 1)."""
-    start = 0
-    for i, ok in enumerate([*may, False]):
-        if not ok:
-            if i - start > 1:
-                yield words[start : i + 1]
-            start = i + 1
+    def number(self, words: list[str]) -> np.ndarray:
+        """Ids of distinct words, zero before the first."""
+        out = np.zeros(len(words) + 1, np.int64)
+        for i, w in enumerate(words, 1):
+            k = self.ids.get(w)
+            if k is None:
+                k = self.ids[w] = len(self.words)
+                self.words.append(w)
+            out[i] = k
+        return out
+
+    def add(self, lang: str, ids: np.ndarray, linked: np.ndarray, least: int, most: int, upto: int) -> None:
+        """Count the phrases of ``ids`` that begin before ``upto``; ``linked[i]`` tells whether i and i + 1 may be neighbours in one."""
+        trie = self.tries.setdefault(lang, HatTrie(self.burst))
+        # How many words from each on can be one phrase.
+        ends = np.flatnonzero(~np.r_[linked, False])
+        reach = ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids)) + 1
+        for n in range(least, most + 1):
+            starts = np.flatnonzero(((reach >= n) & (ids > 0))[:upto])
+            trie.add(ids[starts], pack(ids, starts, n))
+
+    def spill(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
+        """Sorted runs (lang, prefix, rest, f) of whole subtrees, when there is too much to hold."""
+        if not everything and sum(t.size for t in self.tries.values()) <= self.capacity:
+            return
+        share = 0 if everything else self.capacity // (2 * len(self.tries))
+        words = pa.array(self.words)
+        for lang, trie in self.tries.items():
+            held, size = [], 0
+            for first in trie.largest(share):
+                held.append((first, *trie.take(first)))
+                size += len(held[-1][1])
+                if size > 100_000:
+                    yield from self._run(lang, words, held)
+                    held, size = [], 0
+            if held:
+                yield from self._run(lang, words, held)
+        if everything:
+            self.clear()
+
+    def _run(self, lang: str, words: pa.Array, held: list) -> Iterator[pa.RecordBatch]:
+        keys, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        first = np.repeat(np.array([h[0] for h in held]), [len(h[1]) for h in held])
+        length = 1 + sum((unpack(keys, j) > 0).astype(np.int64) for j in range(_KEY_WORDS))
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            parts = [words.take(pa.array(first[at])), *[words.take(pa.array(unpack(keys[at], j))) for j in range(n - 1)]]
+            prefix = pc.binary_join_element_wise(*parts[:2], " ")
+            rest = pc.binary_join_element_wise(*parts[2:], " ") if n > 2 else pa.array([""] * len(at))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), prefix, rest, pa.array(counts[at])], _NAMES)
+
+
+def word_arrays(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Numbers of the words of texts, one after the other, and the words; the end of a piece is the word _END."""
+    folded = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\x0a-\x0d]", " \n ")
+    folded = pc.binary_join_element_wise(pc.replace_substring(folded, "\t", " "), pa.scalar("\n"), " ")
+    found = pc.split_pattern(folded, " ").flatten()
+    found = found.filter(pc.not_equal(found, "")).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
+def frequent_words(numbers: np.ndarray, words: list[str], may) -> tuple[np.ndarray, list[str]]:
+    """Numbers of the words that may be frequent, from 1, zero for all others, and these words."""
+    often = np.array([w != _END and may(w) for w in words], bool)
+    codes = np.where(often, np.cumsum(often), 0)
+    return codes[numbers], [w for w, o in zip(words, often) if o]
+
+
+def segments(numbers: np.ndarray, words: list[str], most: int, most_ids: int) -> Iterator[tuple[np.ndarray, list[str], int]]:
+    """(numbers, words, upto) with fewer words than ids; a phrase is counted where its first word is."""
+    if len(words) < most_ids:
+        yield numbers, words, len(numbers)
+        return
+    step = most_ids - most
+    for at in range(0, len(numbers), step):
+        distinct, back = np.unique(np.r_[0, numbers[at : at + step + most - 1]], return_inverse=True)
+        yield back[1:], [words[k - 1] for k in distinct[1:].tolist()], step
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -205,65 +250,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
 
 
-def frequent_runs(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(lang, run, n): stretches of words that may be frequent, equal ones counted together."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(local_bitmap(frequent, ["lang", "phrase"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = Sieve(bits.value)
-        for batch in slices(batches, "text"):
-            found: Counter = Counter()
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                folded = text.lower() if text.isascii() else text.translate(_FOLD)
-                for piece in _PIECE.split(folded):
-                    words = [w for w in piece.replace("\t", " ").split(" ") if w]
-                    if len(words) > 1:
-                        for stretch in stretches(words, [may(lang, w) for w in words]):
-                            found[lang, " ".join(stretch)] += 1
-            yield from _batches(((lang, r, n) for (lang, r), n in found.items()), ["lang", "run", "n"])
-
-    ship_package(spark)
-    texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = texts.mapInArrow(run, "lang string, run string, n long")
-    return runs.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+def phrase_counts(
+    docs: DataFrame, frequent: DataFrame, least: int, most: int, pairs: DataFrame | None = None,
+    capacity: int = CAPACITY, burst: int = BURST, most_ids: int = _IDS,
+) -> DataFrame:
+    """(lang, phrase, f) of the phrases of ``least`` (2 or more) to ``most`` words of rows (lang, text).
 
-
-def phrase_counts(runs: DataFrame, least: int, most: int, pairs: DataFrame | None = None, capacity: int = CAPACITY, burst: int = BURST) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``least`` to ``most`` words in rows (lang, run, n).
-
-    With ``pairs`` (lang, phrase) only phrases of which all pairs of neighbours may be among
-    them are counted.
+    Only phrases all of whose words may be among ``frequent`` (lang, phrase) are counted, and with
+    ``pairs`` (lang, phrase) only those of which all pairs of neighbours may be among these too.
     """
-    spark = runs.sparkSession
-    bits = None if pairs is None else spark.sparkContext.broadcast(local_bitmap(pairs, ["lang", "phrase"]))
-
-    def parts(may: Sieve | None, lang: str, words: list[str]) -> Iterator[list[str]]:
+    if not 2 <= least <= most <= 1 + _KEY_WORDS or not most < most_ids <= _IDS:
+        raise ValueError(f"phrases have 2 to {1 + _KEY_WORDS} words")
+    context = docs.sparkSession.sparkContext
+    word_bits = context.broadcast(local_bitmap(frequent, ["lang", "phrase"]))
+    pair_bits = None if pairs is None else context.broadcast(local_bitmap(pairs, ["lang", "phrase"]))
+
+    def linked(lang: str, ids: np.ndarray, words: list[str], may: Sieve | None) -> np.ndarray:
+        near = (ids[:-1] > 0) & (ids[1:] > 0)
         if may is None:
-            yield words
-        else:
-            yield from chains(words, [may(lang, f"{a} {b}") for a, b in zip(words, words[1:])])
+            return near
+        at = np.flatnonzero(near)
+        distinct, back = np.unique(ids[at] << _ID_BITS | ids[at + 1], return_inverse=True)
+        told = [may(lang, f"{words[k >> _ID_BITS]} {words[k & _IDS]}") for k in distinct.tolist()]
+        near[at] = np.array(told, bool)[back] if told else False
+        return near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, counts = bits and Sieve(bits.value), Counts(capacity, burst)
-        names = ["lang", "phrase", "f"]
-        for batch in slices(batches, "run"):
-            for lang, text, n in zip(*[batch.column(c).to_pylist() for c in ("lang", "run", "n")]):
-                for words in parts(may, lang, text.split(" ")):
-                    ids, trie = tuple(counts.encode(words)), counts.trie(lang)
-                    for k in range(least, most + 1):
-                        for i in range(len(ids) - k + 1):
-                            trie.add(ids[i : i + k], n)
-                    if trie.size > capacity:
-                        yield from _batches(counts.spill(), names)
-            yield from _batches(counts.spill(), names)
-        yield from _batches(counts.spill(everything=True), names)
-
-    ship_package(spark)
-    spilled = runs.select("lang", "run", "n").mapInArrow(run, "lang string, phrase string, f long")
-    # Runs of one prefix of two words meet and are merged.
-    spilled = spilled.withColumn("prefix", F.substring_index("phrase", " ", 2)).repartition("lang", "prefix")
-    return spilled.groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f")).drop("prefix")
+        may, may_pair = Sieve(word_bits.value), pair_bits and Sieve(pair_bits.value)
+        counts = Counts(capacity, burst)
+        for batch in slices(batches, "text"):
+            langs = batch.column("lang")
+            for lang in pc.unique(langs).to_pylist():
+                of_lang = batch.column("text").filter(pc.equal(langs, lang))
+                codes = frequent_words(*word_arrays(of_lang), lambda w: may(lang, w))  # noqa: B023 - used at once
+                for numbers, words, upto in segments(*codes, most, most_ids):
+                    if counts.room(words) < _IDS - most_ids:
+                        yield from counts.spill(everything=True)
+                    ids = counts.number(words)[numbers]
+                    counts.add(lang, ids, linked(lang, ids, counts.words, may_pair), least, most, upto)
+                    yield from counts.spill()
+        yield from counts.spill(everything=True)
+
+    ship_package(docs.sparkSession)
+    texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    spilled = texts.mapInArrow(run, "lang string, prefix string, rest string, f long")
+    # Runs of one prefix meet and are merged.
+    merged = spilled.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("f").alias("f"))
+    phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
+    return merged.select("lang", phrase.alias("phrase"), "f")
 
 
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -271,9 +305,8 @@ def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MA
     every = keep_table(word_counts(docs))
     frequent = F.col("f") >= min_count
     words = every.where(frequent)
-    runs = keep_table(frequent_runs(docs, words))
-    pairs = keep_table(phrase_counts(runs, 2, 2).where(frequent))
-    longer = keep_table(phrase_counts(runs, 3, max_words, pairs).where(frequent)) if max_words > 2 else pairs.limit(0)
+    pairs = keep_table(phrase_counts(docs, words, 2, 2).where(frequent))
+    longer = keep_table(phrase_counts(docs, words, 3, max_words, pairs).where(frequent)) if max_words > 2 else pairs.limit(0)
     return words.unionByName(pairs).unionByName(longer), every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 

@@ -18,6 +18,7 @@ from gridwave.session import cut_lineage, ensure_checkpoint_dir
 # Rows handed to Python at a time; a batch is also cut where its texts pass BATCH_BYTES.
 BATCH_ROWS = 512
 BATCH_BYTES = 2 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,9 +102,16 @@ def keep_table(df: DataFrame) -> DataFrame:
 
     The table stays in the shared folder until that is emptied.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    # What was shuffled for it is not read again once it is written.
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from compare import compare
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def made_up():
 @pytest.mark.parametrize("min_count, top", [(2, 10_000), (5, 7), (40, 3)])
 def test_collocations(spark, min_count, top):
     rows = made_up()
-    docs = spark.createDataFrame(rows, "lang string, text string").withColumns({"phrase": F.lit("x"), "run": F.lit(1), "n": F.lit(2), "f": F.lit(3)})
+    docs = spark.createDataFrame(rows, "lang string, text string").withColumns({"phrase": F.lit("x"), "prefix": F.lit(1), "n": F.lit(2), "f": F.lit(3)})
     assert rows_of(collocations.collocations(docs, min_count, 5, top)) == phrases(rows, min_count, 5, top)
 
 
@@ -73,35 +74,47 @@ def test_two_words_at_most_and_no_rows(spark):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
-def test_many_spills(spark):
-    """Tries that hold next to nothing, and burst at once, count the same."""
-    rows = made_up()
-    runs = spark.createDataFrame([(l or "und", t.replace("\n", " "), 3) for l, t in rows if t and len(t.split()) > 2], "lang string, run string, n long")
-    runs = runs.selectExpr("lang", "trim(regexp_replace(run, '[ \t]+', ' ')) AS run", "n")
-    want = defaultdict(int)
-    for lang, run, n in runs.collect():
-        words = run.split(" ")
-        for k in (1, 2, 3, 4):
-            for i in range(len(words) - k + 1):
-                want[lang, " ".join(words[i : i + k])] += n
-    got = collocations.phrase_counts(runs, 1, 4, capacity=40, burst=2).collect()
+@pytest.mark.parametrize("most_ids", [60_000, 30, 6])
+def test_many_spills(spark, most_ids):
+    """Tries that hold next to nothing, burst at once and run out of ids count the same."""
+    rows = [(lang or "und", text or "") for lang, text in made_up()]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    frequent = collocations.word_counts(docs)
+    want = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n]", text.translate(LETTERS)):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            want.update((lang, " ".join(words[i : i + k])) for k in (2, 3, 4) for i in range(len(words) - k + 1))
+    got = collocations.phrase_counts(docs, frequent, 2, 4, capacity=40, burst=2, most_ids=most_ids).collect()
     assert {(r.lang, r.phrase): r.f for r in got} == want and len(got) == len(want)
 
 
 def test_trie():
     draw = random.Random(4)
-    for burst, depth in ((1, 1), (2, 2), (3, 4), (1000, 2)):
-        trie, want = collocations.HatTrie(burst, depth), Counter()
-        for _ in range(3000):
-            ids = tuple(draw.randint(0, 4) for _ in range(draw.randint(1, 5)))
-            trie.add(ids, 2)
-            want[ids] += 2
+    for burst in (0, 3, 20, 1000):
+        trie, want = collocations.HatTrie(burst), Counter()
+        for _ in range(40):
+            n = draw.randint(2, 5)
+            ids = np.array([draw.randint(1, 5) for _ in range(80)])
+            starts = np.arange(len(ids) - n + 1)
+            trie.add(ids[starts], collocations.pack(ids, starts, n))
+            want.update(tuple(ids[i : i + n].tolist()) for i in starts)
         assert trie.size == len(want) == sum(trie.sizes.values())
-        gone = trie.largest(trie.size // 2)
-        got = [row for first in gone for row in trie.take(first)]
-        assert 0 < len(gone) < 5 and trie.size <= len(want) // 2
-        got += [row for first in trie.largest(0) for row in trie.take(first)]
-        assert Counter(dict(got)) == want and len(got) == len(want) and trie.size == 0
+        gone, got = trie.largest(trie.size // 2), Counter()
+        assert 0 < len(gone) < 5
+
+        def take(firsts):
+            for first in firsts:
+                keys, counts = trie.take(first)
+                assert (np.diff(keys.astype(object)) > 0).all()
+                for key, n in zip(keys, counts):
+                    rest = [int(collocations.unpack(np.array([key]), j)[0]) for j in range(4)]
+                    got[(first, *[k for k in rest if k])] += int(n)
+
+        take(gone)
+        assert trie.size <= len(want) // 2
+        take(trie.largest(0))
+        assert got == want and trie.size == 0
 
 
 # --- filter audit
