@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ from gridwave.llm.common import keep_table, ship_package, slices
 
 CAPACITY, END = 4096, 1
 # Distinct words whose ids a task remembers, and the longest one it does.
-_CACHE, _LONGEST = 300_000, 64
+_CACHE, _LONGEST = 500_000, 64
+_BLOCK = 500
 _PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 Pattern = tuple[tuple[int, int], ...]
@@ -40,10 +42,11 @@ Pattern = tuple[tuple[int, int], ...]
 
 
 class Tokens:
-    """Ids of texts as little-endian bytes of 32 bits, by a tokenizer that drops white space.
+    """Ids of texts by a tokenizer that drops white space and cuts a letter from a mark that follows.
 
-    Nothing in such a tokenizer reaches across white space, so a text is cut at spaces and
-    line ends and each distinct part is tokenized once while the cache lasts.
+    Nothing in such a tokenizer reaches across white space, or from a letter to one of ``.,;:!?``
+    behind it, so texts are cut there, by Arrow, and each distinct part is tokenized once while
+    the cache lasts. Parts of plain letters are folded first, which the tokenizer does too.
     """
 
     def __init__(self, path: str):
@@ -52,39 +55,87 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        # Ids as bytes, four each.
+        self.cache: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text closed by END, and how many each text has."""
+        marked = pc.replace_substring_regex(texts, r"(\pL)([.,;:!?])", r"\1 \2")
+        marked = pc.replace_substring_regex(marked, r"[\n\t\r]", " ")
+        # The split leaves an empty last part, which stands for END.
+        lists = pc.split_pattern(pc.binary_join_element_wise(marked, "", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        found = self.ids_of([w.lower() if w.isascii() else w for w in words])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        at = parts.indices.to_numpy().astype(np.int64)
+        n = lengths[at]
+        # An empty part has no ids; the last part of each text has one, END.
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)) - 1
+        n[last] = 1
+        ends = np.cumsum(n)
+        source = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[at], n)
+        closing = ends[last] - 1
+        source[closing] = 0
+        ids = flat[source] if len(flat) else np.zeros(len(source), np.uint32)
+        ids[closing] = END
+        return ids, np.diff(np.r_[0, ends[last]])
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
         cache = self.cache
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in parts for w in words if w not in cache})
+        new = [w for w in dict.fromkeys(words) if w not in cache]
         if len(cache) + len(new) > _CACHE:
             cache.clear()
-            new = list({w for words in parts for w in words})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found))
-        out = [b"".join([cache[w] for w in words]) for words in parts]
+            new = list(dict.fromkeys(words))
+        # Words without a 0 are tokenized many at a time, between zeros, whose ids they cannot have.
+        plain = [w for w in new if "0" not in w]
+        blocks = [plain[i : i + _BLOCK] for i in range(0, len(plain), _BLOCK)]
+        (zero,) = self.zero
+        told = self.tokenizer.encode_batch_fast([" 0 ".join(b) for b in blocks], add_special_tokens=False)
+        for block, e in zip(blocks, told):
+            ids = np.array(e.ids, "<u4")
+            cuts, data = [-1, *np.flatnonzero(ids == zero).tolist(), len(ids)], ids.tobytes()
+            for w, i, j in zip(block, cuts[:-1], cuts[1:], strict=True):
+                cache[w] = data[4 * i + 4 : 4 * j]
+        odd = [w for w in new if "0" in w]
+        told = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, told))
+        out = [cache[w] for w in words]
         for w in new:
             if len(w) > _LONGEST:
                 del cache[w]
         return out
 
 
+# One for each vocabulary, kept between the tasks of a worker.
+_tokens: dict[str, Tokens] = {}
+
+
+def tokens(path: str) -> Tokens:
+    if path not in _tokens:
+        _tokens[path] = Tokens(path)
+    return _tokens[path]
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of rows (doc_id, text): its ids and END, cut where they pass the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(vocabulary)
-        end = np.array([END], dtype="<u4").tobytes()
+        from gridwave.llm.packing import tokens
+
+        encoder = tokens(vocabulary)
         for batch in slices(batches, "text"):
-            rows, places = [], []
-            for i, ids in enumerate(tokens.encode(batch.column("text").to_pylist())):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    places.append(i)
-                    rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
-            k, start, length, crc = zip(*rows)
+            ids, lengths = encoder.encode(batch.column("text"))
+            data, rows, begin = memoryview(ids.astype("<u4").tobytes()), [], 0
+            for i, n in enumerate(lengths.tolist()):
+                for k, at in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - at)
+                    rows.append((i, k, at, size, zlib.crc32(data[4 * (begin + at) : 4 * (begin + at + size)])))
+                begin += n
+            places, k, start, length, crc = zip(*rows)
             columns = [batch.column("doc_id").take(pa.array(places)), pa.array(k, pa.int32())]
             columns += [pa.array(c, pa.int64()) for c in (start, length, crc)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
