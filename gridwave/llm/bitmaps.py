@@ -40,10 +40,14 @@ def likely(rows: DataFrame, keys: Sequence[str], of: DataFrame) -> DataFrame:
     return marked(rows, keys, bitmap(of, keys)).where("_maybe").drop("_maybe")
 
 
-def local_bitmap(of: DataFrame, keys: Sequence[str]) -> bytes:
-    """The bitmap as bytes on the driver, for Python tasks: bit p % 8 of byte p div 8."""
+def gathered(pieces: DataFrame) -> bytes:
+    """Pieces (_piece, _map) as bytes on the driver, for Python tasks: bit p % 8 of byte p div 8."""
     out = bytearray(PIECES * BITS // 8)
-    for r in bitmap(of, keys).collect():  # PIECES rows at most
+    for r in pieces.collect():  # PIECES rows at most
         start = r["_piece"] * BITS // 8
         out[start : start + len(r["_map"])] = r["_map"]
     return bytes(out)
+
+
+def local_bitmap(of: DataFrame, keys: Sequence[str]) -> bytes:
+    return gathered(bitmap(of, keys))

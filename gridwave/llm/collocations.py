@@ -9,13 +9,16 @@ a time, and a container takes all that a batch has for it at once.
 
 A phrase occurs at least as often as every longer one that holds it. So words are counted
 first, then pairs within stretches of frequent words, then longer phrases within chains of
-frequent pairs: what is left out occurs too rarely to be part of any candidate. Which words
-or pairs are frequent reaches the tasks as a bitmap of fixed size, which may let rare ones
-pass but keeps back no frequent one; every count that is used is exact.
+frequent pairs: what is left out occurs too rarely to be part of any candidate. Pairs and
+triples are mostly rare even so. Before they are counted they are counted by hash, in a
+fixed number of buckets: a pair whose bucket holds less than the least count is rare. Which
+words, pairs or buckets are frequent reaches the tasks as bitmaps of fixed size, which may
+let rare ones pass but keep back no frequent one; every count that is used is exact.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwave.llm.bitmaps import BITS, PIECES, local_bitmap
+from gridwave.llm.bitmaps import BITS, PIECES, gathered, local_bitmap
 from gridwave.llm.common import keep_table, ship_package, slices
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
@@ -41,6 +44,11 @@ _KEY_WORDS = 64 // _ID_BITS
 _KNOWN = 500_000
 # Stands for the end of a piece; no word holds a line end.
 _END = "\n"
+# As many buckets as a bitmap has bits.
+_BUCKET_BITS = (PIECES * BITS).bit_length() - 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+# Buckets that a task holds before it sums them.
+_HELD = 6_000_000
 _NAMES = ["lang", "prefix", "rest", "f"]
 
 
@@ -157,7 +165,7 @@ class Counts:
     def clear(self) -> None:
         self.tries: dict[str, HatTrie] = {}
         self.ids: dict[str, int] = {}
-        self.words = [""]
+        self.words, self.hashes = [""], [0]
 
     def room(self, words: list[str]) -> int:
         """How many ids are left once these words have theirs."""
@@ -171,17 +179,24 @@ class Counts:
             if k is None:
                 k = self.ids[w] = len(self.words)
                 self.words.append(w)
+                self.hashes.append(xxhash.xxh64_intdigest(w.encode(), 42))
             out[i] = k
         return out
 
-    def add(self, lang: str, ids: np.ndarray, linked: np.ndarray, least: int, most: int, upto: int) -> None:
-        """Count the phrases of ``ids`` that begin before ``upto``; ``linked[i]`` tells whether i and i + 1 may be neighbours in one."""
+    def buckets(self, lang: str, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        """Hash buckets of the ``n`` words from each start, the same in all tasks."""
+        hashes = np.array(self.hashes, np.uint64)[ids]
+        code = np.full(len(starts), xxhash.xxh64_intdigest(lang.encode(), n), np.uint64)
+        for j in range(n):
+            code = (code ^ hashes[starts + j]) * _MIX
+            code ^= code >> np.uint64(29)
+        return (code * _MIX >> np.uint64(64 - _BUCKET_BITS)).astype(np.uint32)
+
+    def add(self, lang: str, ids: np.ndarray, reach: np.ndarray, least: int, most: int) -> None:
+        """Count the phrases of ``ids``; ``reach`` tells how many words from each on may be one phrase."""
         trie = self.tries.setdefault(lang, HatTrie(self.burst))
-        # How many words from each on can be one phrase.
-        ends = np.flatnonzero(~np.r_[linked, False])
-        reach = ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids)) + 1
         for n in range(least, most + 1):
-            starts = np.flatnonzero(((reach >= n) & (ids > 0))[:upto])
+            starts = np.flatnonzero(reach >= n)
             trie.add(ids[starts], pack(ids, starts, n))
 
     def spill(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
@@ -250,50 +265,152 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
 
 
+def runs_from(ok: np.ndarray) -> np.ndarray:
+    """How many are true in a row from each on."""
+    ends = np.flatnonzero(~np.r_[ok, False])
+    at = np.arange(len(ok))
+    return ends[np.searchsorted(ends, at)] - at
+
+
+class Chains:
+    """Stretches of words that may belong to frequent phrases, in batches of texts."""
+
+    def __init__(self, words: bytes, pair_buckets: bytes | None, pairs: bytes | None, triple_buckets: bytes | None, most: int, most_ids: int):
+        self.may = Sieve(words)
+        self.may_pair = None if pairs is None else Sieve(pairs)
+        self.buckets = {n: np.frombuffer(b, np.uint8) for n, b in ((2, pair_buckets), (3, triple_buckets)) if b is not None}
+        self.most, self.most_ids = most, most_ids
+
+    def of(self, batch: pa.RecordBatch, counts: Counts) -> Iterator[tuple[str, np.ndarray, np.ndarray] | None]:
+        """(lang, ids, reach) of rows (lang, text); None where ``counts`` has no ids left and is to be cleared."""
+        langs = batch.column("lang")
+        for lang in pc.unique(langs).to_pylist():
+            of_lang = batch.column("text").filter(pc.equal(langs, lang))
+            codes = frequent_words(*word_arrays(of_lang), lambda w: self.may(lang, w))  # noqa: B023 - used at once
+            for numbers, words, upto in segments(*codes, self.most, self.most_ids):
+                if counts.room(words) < _IDS - self.most_ids:
+                    yield None
+                ids = counts.number(words)[numbers]
+                reach = self.reach(lang, ids, counts)
+                reach[upto:] = 0
+                yield lang, ids, reach
+
+    def reach(self, lang: str, ids: np.ndarray, counts: Counts) -> np.ndarray:
+        near = np.r_[(ids[:-1] > 0) & (ids[1:] > 0), False]
+        self._sift(near, lang, ids, counts, 2)
+        at = np.flatnonzero(near)
+        if self.may_pair is not None and len(at):
+            distinct, back = np.unique(ids[at] << _ID_BITS | ids[at + 1], return_inverse=True)
+            words = counts.words
+            told = [self.may_pair(lang, f"{words[k >> _ID_BITS]} {words[k & _IDS]}") for k in distinct.tolist()]
+            near[at] = np.array(told, bool)[back]
+        reach = np.where(ids > 0, runs_from(near) + 1, 0)
+        if 3 in self.buckets:
+            three = reach >= 3
+            self._sift(three, lang, ids, counts, 3)
+            reach = np.where(three, runs_from(three) + 2, np.minimum(reach, 2))
+        return reach
+
+    def _sift(self, ok: np.ndarray, lang: str, ids: np.ndarray, counts: Counts, n: int) -> None:
+        """Only those stay true whose bucket is frequent."""
+        if n in self.buckets:
+            at = np.flatnonzero(ok)
+            code = counts.buckets(lang, ids, at, n)
+            ok[at] = self.buckets[n][code >> 3] >> (code & 7).astype(np.uint8) & 1
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: bytes, pair_buckets: bytes | None = None, pairs: bytes | None = None,
+                  most_ids: int = _IDS, held: int = _HELD) -> bytes:
+    """Which buckets hold ``min_count`` phrases of ``n`` words or more, one bit each.
+
+    Tasks sum the buckets they meet and give them out by piece, as steps from one to the next and
+    counts; the pieces are summed where they meet, one after the other.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((words, pair_buckets, pairs))
+
+    def summed(codes: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(codes), return_counts=True)
+        pieces, starts = np.unique(found // BITS, return_index=True)
+        rows = []
+        for a, b in zip(starts, np.r_[starts[1:], len(found)]):
+            steps = np.diff(found[a:b] % BITS, prepend=np.uint32(0)).astype("<u2")
+            rows.append(zlib.compress(steps.tobytes() + counts[a:b].astype("<u4").tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(rows, pa.binary())], ["_piece", "held"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains, counts = Chains(*shared.value, None, n, most_ids), Counts()
+        codes, size = [], 0
+        for batch in slices(batches, "text"):
+            for found in chains.of(batch, counts):
+                if found is None:
+                    counts.clear()
+                    continue
+                lang, ids, reach = found
+                codes.append(counts.buckets(lang, ids, np.flatnonzero(reach >= n), n))
+                size += len(codes[-1])
+                if size > held:
+                    yield summed(codes)
+                    codes, size = [], 0
+        if size:
+            yield summed(codes)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, total = None, np.zeros(BITS, np.int64)
+
+        def row() -> pa.RecordBatch:
+            bits = np.packbits(total >= min_count, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([bits], pa.binary())], ["_piece", "_map"])
+
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at != piece:
+                    if piece is not None:
+                        yield row()
+                    piece = at
+                    total[:] = 0
+                data = zlib.decompress(data)
+                k = len(data) // 6
+                total[np.cumsum(np.frombuffer(data, "<u2", k).astype(np.int64))] += np.frombuffer(data, "<u4", k, 2 * k)
+        if piece is not None:
+            yield row()
+
+    ship_package(spark)
+    held_rows = _texts(docs).mapInArrow(scan, "_piece int, held binary")
+    merged = held_rows.repartition("_piece").sortWithinPartitions("_piece").mapInArrow(often, "_piece int, _map binary")
+    return gathered(merged)
+
+
 def phrase_counts(
-    docs: DataFrame, frequent: DataFrame, least: int, most: int, pairs: DataFrame | None = None,
-    capacity: int = CAPACITY, burst: int = BURST, most_ids: int = _IDS,
+    docs: DataFrame, least: int, most: int, words: bytes, pair_buckets: bytes | None = None, pairs: bytes | None = None,
+    triple_buckets: bytes | None = None, capacity: int = CAPACITY, burst: int = BURST, most_ids: int = _IDS,
 ) -> DataFrame:
     """(lang, phrase, f) of the phrases of ``least`` (2 or more) to ``most`` words of rows (lang, text).
 
-    Only phrases all of whose words may be among ``frequent`` (lang, phrase) are counted, and with
-    ``pairs`` (lang, phrase) only those of which all pairs of neighbours may be among these too.
+    ``words`` is the bitmap of words (lang, phrase) that phrases may hold; the others, where they
+    are given, are those of the buckets of pairs, of pairs, and of the buckets of triples.
     """
     if not 2 <= least <= most <= 1 + _KEY_WORDS or not most < most_ids <= _IDS:
         raise ValueError(f"phrases have 2 to {1 + _KEY_WORDS} words")
-    context = docs.sparkSession.sparkContext
-    word_bits = context.broadcast(local_bitmap(frequent, ["lang", "phrase"]))
-    pair_bits = None if pairs is None else context.broadcast(local_bitmap(pairs, ["lang", "phrase"]))
-
-    def linked(lang: str, ids: np.ndarray, words: list[str], may: Sieve | None) -> np.ndarray:
-        near = (ids[:-1] > 0) & (ids[1:] > 0)
-        if may is None:
-            return near
-        at = np.flatnonzero(near)
-        distinct, back = np.unique(ids[at] << _ID_BITS | ids[at + 1], return_inverse=True)
-        told = [may(lang, f"{words[k >> _ID_BITS]} {words[k & _IDS]}") for k in distinct.tolist()]
-        near[at] = np.array(told, bool)[back] if told else False
-        return near
+    shared = docs.sparkSession.sparkContext.broadcast((words, pair_buckets, pairs, triple_buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, may_pair = Sieve(word_bits.value), pair_bits and Sieve(pair_bits.value)
-        counts = Counts(capacity, burst)
+        chains, counts = Chains(*shared.value, most, most_ids), Counts(capacity, burst)
         for batch in slices(batches, "text"):
-            langs = batch.column("lang")
-            for lang in pc.unique(langs).to_pylist():
-                of_lang = batch.column("text").filter(pc.equal(langs, lang))
-                codes = frequent_words(*word_arrays(of_lang), lambda w: may(lang, w))  # noqa: B023 - used at once
-                for numbers, words, upto in segments(*codes, most, most_ids):
-                    if counts.room(words) < _IDS - most_ids:
-                        yield from counts.spill(everything=True)
-                    ids = counts.number(words)[numbers]
-                    counts.add(lang, ids, linked(lang, ids, counts.words, may_pair), least, most, upto)
+            for found in chains.of(batch, counts):
+                if found is None:
+                    yield from counts.spill(everything=True)
+                else:
+                    counts.add(*found, least, most)
                     yield from counts.spill()
         yield from counts.spill(everything=True)
 
     ship_package(docs.sparkSession)
-    texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    spilled = texts.mapInArrow(run, "lang string, prefix string, rest string, f long")
+    spilled = _texts(docs).mapInArrow(run, "lang string, prefix string, rest string, f long")
     # Runs of one prefix meet and are merged.
     merged = spilled.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("f").alias("f"))
     phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
@@ -303,11 +420,17 @@ def phrase_counts(
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases that occur ``min_count`` times or more, and (lang, n) of all words."""
     every = keep_table(word_counts(docs))
-    frequent = F.col("f") >= min_count
-    words = every.where(frequent)
-    pairs = keep_table(phrase_counts(docs, words, 2, 2).where(frequent))
-    longer = keep_table(phrase_counts(docs, words, 3, max_words, pairs).where(frequent)) if max_words > 2 else pairs.limit(0)
-    return words.unionByName(pairs).unionByName(longer), every.groupBy("lang").agg(F.sum("f").alias("n"))
+    words = every.where(F.col("f") >= min_count)
+    bits = local_bitmap(words, ["lang", "phrase"])
+    buckets = bucket_bitmap(docs, 2, min_count, bits)
+    often = keep_table(phrase_counts(docs, 2, 2, bits, buckets).where(F.col("f") >= min_count))
+    found = words.unionByName(often)
+    if max_words > 2:
+        pairs = local_bitmap(often, ["lang", "phrase"])
+        triples = bucket_bitmap(docs, 3, min_count, bits, buckets, pairs)
+        longer = phrase_counts(docs, 3, max_words, bits, buckets, pairs, triples).where(F.col("f") >= min_count)
+        found = found.unionByName(keep_table(longer))
+    return found, every.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP) -> DataFrame:

@@ -13,6 +13,7 @@ from compare import compare
 from pyspark.sql import functions as F
 
 from gridwave.llm import collocations, filter_audit
+from gridwave.llm.bitmaps import local_bitmap
 from gridwave.llm.queries import ORACLES, QUERIES
 
 LETTERS = {k: k + 32 for k in range(65, 91)}
@@ -79,14 +80,20 @@ def test_many_spills(spark, most_ids):
     """Tries that hold next to nothing, burst at once and run out of ids count the same."""
     rows = [(lang or "und", text or "") for lang, text in made_up()]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    frequent = collocations.word_counts(docs)
+    frequent = local_bitmap(collocations.word_counts(docs), ["lang", "phrase"])
     want = Counter()
     for lang, text in rows:
         for piece in re.split("[.,;:!?\n]", text.translate(LETTERS)):
             words = [w for w in re.split("[ \t]+", piece) if w]
             want.update((lang, " ".join(words[i : i + k])) for k in (2, 3, 4) for i in range(len(words) - k + 1))
-    got = collocations.phrase_counts(docs, frequent, 2, 4, capacity=40, burst=2, most_ids=most_ids).collect()
+    got = collocations.phrase_counts(docs, 2, 4, frequent, capacity=40, burst=2, most_ids=most_ids).collect()
     assert {(r.lang, r.phrase): r.f for r in got} == want and len(got) == len(want)
+    # What buckets keep back is rare, and hardly anything rare passes.
+    for n in (2, 3):
+        buckets = collocations.bucket_bitmap(docs, n, 5, frequent, most_ids=most_ids, held=50)
+        kept = collocations.phrase_counts(docs, n, n, frequent, *([buckets] if n == 2 else [None, None, buckets]), most_ids=most_ids).collect()
+        often = {k: v for k, v in want.items() if k[1].count(" ") == n - 1 and v >= 5}
+        assert {(r.lang, r.phrase): r.f for r in kept} == often
 
 
 def test_trie():
