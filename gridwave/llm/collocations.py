@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwave.llm.bitmaps import BITS, PIECES, gathered, local_bitmap
@@ -265,6 +265,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "phrase").agg(F.count("*").alias("f"))
 
 
+class Bits:
+    """A bitmap on its way to the tasks: packed, since most are nearly empty, and sent once."""
+
+    def __init__(self, spark: SparkSession, bits: bytes):
+        self.packed = spark.sparkContext.broadcast(zlib.compress(bits, 1))
+
+    def bytes(self) -> bytes:
+        return zlib.decompress(self.packed.value)
+
+
 def runs_from(ok: np.ndarray) -> np.ndarray:
     """How many are true in a row from each on."""
     ends = np.flatnonzero(~np.r_[ok, False])
@@ -275,10 +285,10 @@ def runs_from(ok: np.ndarray) -> np.ndarray:
 class Chains:
     """Stretches of words that may belong to frequent phrases, in batches of texts."""
 
-    def __init__(self, words: bytes, pair_buckets: bytes | None, pairs: bytes | None, triple_buckets: bytes | None, most: int, most_ids: int):
-        self.may = Sieve(words)
-        self.may_pair = None if pairs is None else Sieve(pairs)
-        self.buckets = {n: np.frombuffer(b, np.uint8) for n, b in ((2, pair_buckets), (3, triple_buckets)) if b is not None}
+    def __init__(self, words: Bits, pair_buckets: Bits | None, pairs: Bits | None, triple_buckets: Bits | None, most: int, most_ids: int):
+        self.may = Sieve(words.bytes())
+        self.may_pair = pairs and Sieve(pairs.bytes())
+        self.buckets = {n: np.frombuffer(b.bytes(), np.uint8) for n, b in ((2, pair_buckets), (3, triple_buckets)) if b}
         self.most, self.most_ids = most, most_ids
 
     def of(self, batch: pa.RecordBatch, counts: Counts) -> Iterator[tuple[str, np.ndarray, np.ndarray] | None]:
@@ -323,16 +333,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: bytes, pair_buckets: bytes | None = None, pairs: bytes | None = None,
-                  most_ids: int = _IDS, held: int = _HELD) -> bytes:
+def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: Bits, pair_buckets: Bits | None = None, pairs: Bits | None = None,
+                  most_ids: int = _IDS, held: int = _HELD) -> Bits:
     """Which buckets hold ``min_count`` phrases of ``n`` words or more, one bit each.
 
     Tasks sum the buckets they meet and give them out by piece, as steps from one to the next and
     counts; the pieces are summed where they meet, one after the other.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words, pair_buckets, pairs))
-
     def summed(codes: list[np.ndarray]) -> pa.RecordBatch:
         found, counts = np.unique(np.concatenate(codes), return_counts=True)
         pieces, starts = np.unique(found // BITS, return_index=True)
@@ -343,7 +351,7 @@ def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: bytes, pair_bu
         return pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(rows, pa.binary())], ["_piece", "held"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, counts = Chains(*shared.value, None, n, most_ids), Counts()
+        chains, counts = Chains(words, pair_buckets, pairs, None, n, most_ids), Counts()
         codes, size = [], 0
         for batch in slices(batches, "text"):
             for found in chains.of(batch, counts):
@@ -382,12 +390,12 @@ def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: bytes, pair_bu
     ship_package(spark)
     held_rows = _texts(docs).mapInArrow(scan, "_piece int, held binary")
     merged = held_rows.repartition("_piece").sortWithinPartitions("_piece").mapInArrow(often, "_piece int, _map binary")
-    return gathered(merged)
+    return Bits(spark, gathered(merged))
 
 
 def phrase_counts(
-    docs: DataFrame, least: int, most: int, words: bytes, pair_buckets: bytes | None = None, pairs: bytes | None = None,
-    triple_buckets: bytes | None = None, capacity: int = CAPACITY, burst: int = BURST, most_ids: int = _IDS,
+    docs: DataFrame, least: int, most: int, words: Bits, pair_buckets: Bits | None = None, pairs: Bits | None = None,
+    triple_buckets: Bits | None = None, capacity: int = CAPACITY, burst: int = BURST, most_ids: int = _IDS,
 ) -> DataFrame:
     """(lang, phrase, f) of the phrases of ``least`` (2 or more) to ``most`` words of rows (lang, text).
 
@@ -396,10 +404,9 @@ def phrase_counts(
     """
     if not 2 <= least <= most <= 1 + _KEY_WORDS or not most < most_ids <= _IDS:
         raise ValueError(f"phrases have 2 to {1 + _KEY_WORDS} words")
-    shared = docs.sparkSession.sparkContext.broadcast((words, pair_buckets, pairs, triple_buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, counts = Chains(*shared.value, most, most_ids), Counts(capacity, burst)
+        chains, counts = Chains(words, pair_buckets, pairs, triple_buckets, most, most_ids), Counts(capacity, burst)
         for batch in slices(batches, "text"):
             for found in chains.of(batch, counts):
                 if found is None:
@@ -421,12 +428,13 @@ def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MA
     """(lang, phrase, f) of all phrases that occur ``min_count`` times or more, and (lang, n) of all words."""
     every = keep_table(word_counts(docs))
     words = every.where(F.col("f") >= min_count)
-    bits = local_bitmap(words, ["lang", "phrase"])
+    spark = docs.sparkSession
+    bits = Bits(spark, local_bitmap(words, ["lang", "phrase"]))
     buckets = bucket_bitmap(docs, 2, min_count, bits)
     often = keep_table(phrase_counts(docs, 2, 2, bits, buckets).where(F.col("f") >= min_count))
     found = words.unionByName(often)
     if max_words > 2:
-        pairs = local_bitmap(often, ["lang", "phrase"])
+        pairs = Bits(spark, local_bitmap(often, ["lang", "phrase"]))
         triples = bucket_bitmap(docs, 3, min_count, bits, buckets, pairs)
         longer = phrase_counts(docs, 3, max_words, bits, buckets, pairs, triples).where(F.col("f") >= min_count)
         found = found.unionByName(keep_table(longer))

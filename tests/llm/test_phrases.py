@@ -80,7 +80,7 @@ def test_many_spills(spark, most_ids):
     """Tries that hold next to nothing, burst at once and run out of ids count the same."""
     rows = [(lang or "und", text or "") for lang, text in made_up()]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    frequent = local_bitmap(collocations.word_counts(docs), ["lang", "phrase"])
+    frequent = collocations.Bits(spark, local_bitmap(collocations.word_counts(docs), ["lang", "phrase"]))
     want = Counter()
     for lang, text in rows:
         for piece in re.split("[.,;:!?\n]", text.translate(LETTERS)):
