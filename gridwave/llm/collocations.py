@@ -40,7 +40,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Ids have 16 bits, so that the four that may follow the first fill a 64-bit key; zero is no word.
 _ID_BITS, _IDS = 16, (1 << 16) - 1
 _KEY_WORDS = 64 // _ID_BITS
-# Words or pairs that a task remembers a bitmap's answer to.
+# Words or pairs of a language that a task remembers a bitmap's answer to.
 _KNOWN = 500_000
 # Stands for the end of a piece; no word holds a line end.
 _END = "\n"
@@ -49,6 +49,8 @@ _BUCKET_BITS = (PIECES * BITS).bit_length() - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # Buckets that a task holds before it sums them.
 _HELD = 6_000_000
+# Rows and bytes of text that are cut into words at a time.
+_ROWS, _BYTES = 4096, 8 << 20
 _NAMES = ["lang", "prefix", "rest", "f"]
 
 
@@ -135,24 +137,24 @@ class HatTrie:
 
 
 class Sieve:
-    """Whether (lang, key) may be among those a bitmap was made of."""
+    """Which of a language's keys may be among those a bitmap was made of."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.known, self.seeds = bits, {}, {}
-
-    def __call__(self, lang: str, key: str) -> bool:
-        found = self.known.get((lang, key))
-        if found is None:
-            if lang not in self.seeds:
-                self.seeds[lang] = xxhash.xxh64_intdigest(lang.encode(), 42)
-            h = xxhash.xxh64_intdigest(key.encode(), self.seeds[lang])
-            # The remainder of the signed hash: the number of bits is a power of two.
-            p = h % (PIECES * BITS)
-            found = bool(self.bits[p >> 3] >> (p & 7) & 1)
-            if len(self.known) >= _KNOWN:
-                self.known.clear()
-            self.known[lang, key] = found
-        return found
+        self.bits = bits
+        self.known: dict[str, dict[str, int]] = {}
+
+    def __call__(self, lang: str, keys: list[str]) -> np.ndarray:
+        known = self.known.setdefault(lang, {})
+        if len(known) > _KNOWN:
+            known.clear()
+        new = [k for k in keys if k not in known]
+        if new:
+            seed, bits = xxhash.xxh64_intdigest(lang.encode(), 42), self.bits
+            for k in new:
+                # The remainder of the signed hash: the number of bits is a power of two.
+                p = xxhash.xxh64_intdigest(k.encode(), seed) % (PIECES * BITS)
+                known[k] = bits[p >> 3] >> (p & 7) & 1
+        return np.fromiter(map(known.__getitem__, keys), bool, len(keys))
 
 
 class Counts:
@@ -239,11 +241,10 @@ def word_arrays(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
     return found.indices.to_numpy(), found.dictionary.to_pylist()
 
 
-def frequent_words(numbers: np.ndarray, words: list[str], may) -> tuple[np.ndarray, list[str]]:
-    """Numbers of the words that may be frequent, from 1, zero for all others, and these words."""
-    often = np.array([w != _END and may(w) for w in words], bool)
+def frequent_words(numbers: np.ndarray, words: list[str], often: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Numbers of the words that are often, from 1, zero for all others, and these words."""
     codes = np.where(often, np.cumsum(often), 0)
-    return codes[numbers], [w for w, o in zip(words, often) if o]
+    return codes[numbers], [words[k] for k in np.flatnonzero(often).tolist()]
 
 
 def segments(numbers: np.ndarray, words: list[str], most: int, most_ids: int) -> Iterator[tuple[np.ndarray, list[str], int]]:
@@ -296,7 +297,11 @@ class Chains:
         langs = batch.column("lang")
         for lang in pc.unique(langs).to_pylist():
             of_lang = batch.column("text").filter(pc.equal(langs, lang))
-            codes = frequent_words(*word_arrays(of_lang), lambda w: self.may(lang, w))  # noqa: B023 - used at once
+            numbers, words = word_arrays(of_lang)
+            often = self.may(lang, words)
+            if _END in words:
+                often[words.index(_END)] = False
+            codes = frequent_words(numbers, words, often)
             for numbers, words, upto in segments(*codes, self.most, self.most_ids):
                 if counts.room(words) < _IDS - self.most_ids:
                     yield None
@@ -312,8 +317,8 @@ class Chains:
         if self.may_pair is not None and len(at):
             distinct, back = np.unique(ids[at] << _ID_BITS | ids[at + 1], return_inverse=True)
             words = counts.words
-            told = [self.may_pair(lang, f"{words[k >> _ID_BITS]} {words[k & _IDS]}") for k in distinct.tolist()]
-            near[at] = np.array(told, bool)[back]
+            told = self.may_pair(lang, [f"{words[k >> _ID_BITS]} {words[k & _IDS]}" for k in distinct.tolist()])
+            near[at] = told[back]
         reach = np.where(ids > 0, runs_from(near) + 1, 0)
         if 3 in self.buckets:
             three = reach >= 3
@@ -353,7 +358,7 @@ def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: Bits, pair_buc
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains, counts = Chains(words, pair_buckets, pairs, None, n, most_ids), Counts()
         codes, size = [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _ROWS, _BYTES):
             for found in chains.of(batch, counts):
                 if found is None:
                     counts.clear()
@@ -407,7 +412,7 @@ def phrase_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains, counts = Chains(words, pair_buckets, pairs, triple_buckets, most, most_ids), Counts(capacity, burst)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _ROWS, _BYTES):
             for found in chains.of(batch, counts):
                 if found is None:
                     yield from counts.spill(everything=True)

@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut to at most BATCH_ROWS rows and about BATCH_BYTES of the column."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to at most so many rows and about so many bytes of the column."""
     for batch in batches:
         start, size = 0, 0
         values = batch.column(column)
@@ -36,7 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             lengths = pa.compute.binary_length(values)
         lengths = lengths.fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
-            if i > start and (i - start >= BATCH_ROWS or size + n > BATCH_BYTES):
+            if i > start and (i - start >= rows or size + n > most):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
