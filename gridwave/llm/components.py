@@ -73,3 +73,82 @@ def bucket_components(buckets: DataFrame, similar: Callable[[DataFrame], DataFra
     if second.isEmpty():
         return found
     return components(first.unionByName(second))
+
+
+# Rounds of heads after the first, and pairs that one task makes of a bucket.
+ROUNDS, TASK_PAIRS = 3, 100_000
+
+
+def linked_components(members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(id, component) of the links among ids that share a bucket: distinct rows (key, id, sig) of buckets of two or more.
+
+    ``near`` is SQL that tells from the signatures ``x`` and ``y`` whether two ids may be linked;
+    ``measure`` takes distinct pairs (a, b) and returns (a, b, j), their Jaccard similarities; links
+    have at least ``similarity``. Not all pairs of a bucket are formed. Its members meet its head,
+    the smallest id, then in ROUNDS more the smallest id outside the components of earlier heads.
+    Then those outside the first head's component meet the others that they are not joined
+    with, unless a head tells the two apart: one less the similarity is a distance, so two that
+    differ by more than a link allows in their distance from a head are no link. No link among
+    near pairs that could join two components is passed over, and a bucket whose members are
+    near its heads costs a pair for each.
+    """
+    members = keep(members)
+    first = members.groupBy("key").agg(F.min_by(F.struct("id", "sig"), "id").alias("h"))
+    state = members.join(first.select("key", F.col("h.id").alias("head"), F.col("h.sig").alias("y")), "key")
+    state = state.withColumn("meets", (F.col("id") != F.col("head")) & F.expr(near.format(x="sig", y="y"))).drop("y")
+    told = keep(measure(_met(state)))
+    enough = F.col("j") >= similarity
+    links = told.where(enough).select("a", "b")
+    found = keep(components(links))
+    members = keep(_told(state, told).select("key", "id", "sig", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
+    for _ in range(ROUNDS):
+        placed = _placed(members, found)
+        lead = placed.where("is_head").select(F.col("key").alias("_k"), F.col("component").alias("_c")).distinct()
+        rest = placed.join(lead, (F.col("key") == F.col("_k")) & (F.col("component") == F.col("_c")), "left_anti")
+        heads = keep(rest.groupBy("key").agg(F.min_by(F.struct("id", "component", "sig"), "id").alias("h")))
+        if heads.isEmpty():
+            break
+        heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("_hc"), F.col("h.sig").alias("y"))
+        state = _placed(members, found).join(heads, "key", "left")
+        meets = F.expr(f"NOT is_head AND id <> head AND component <> _hc AND {near.format(x='sig', y='y')}")
+        state = keep(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("y", "_hc", "component"))
+        told = keep(measure(_met(state)))
+        is_head = F.col("is_head") | F.coalesce(F.col("id") == F.col("head"), F.lit(False))
+        members = keep(_told(state, told).select("key", "id", "sig", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
+        links = links.unionByName(told.where(enough).select("a", "b"))
+        found = keep(components(links))
+    placed = keep(_placed(members, found))
+    lead = placed.groupBy("key").agg(F.min_by("component", "id").alias("_c"))
+    placed = placed.join(lead, "key").where("NOT is_head").withColumn("_r", F.col("component") != F.col("_c"))
+    left = placed.where("_r").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), F.col("sig").alias("x"))
+    right = placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), "_r", F.col("sig").alias("y"))
+    sizes = placed.groupBy("key").agg(F.count("*").alias("_m"), F.count_if("_r").alias("_n")).where("_n > 0")
+    lanes = F.least(F.ceil(F.col("_n") * F.col("_m") / TASK_PAIRS), F.col("_n")).cast("int").alias("lanes")
+    sizes = keep(sizes.select("key", lanes))
+    left = left.join(sizes, "key").withColumn("lane", F.pmod(F.xxhash64("a"), F.col("lanes").cast("long")).cast("int"))
+    right = right.join(sizes, "key").withColumn("lane", F.explode(F.expr("sequence(0, lanes - 1)"))).drop("lanes")
+    apart = f"exists(zip_with(da, db, (p, q) -> coalesce(abs(p - q) > {1 - similarity + 1e-9!r}D, false)), v -> v)"
+    met = left.join(right, ["key", "lane"]).where("ca <> cb AND (NOT _r OR a < b)").where(near.format(x="x", y="y")).where(f"NOT {apart}")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    new = keep(measure(met.distinct()).where(enough).select("a", "b"))
+    return found if new.isEmpty() else components(links.unionByName(new))
+
+
+def _met(state: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of ids and the heads they meet."""
+    pairs = state.where("meets").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    return pairs.distinct()
+
+
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with component; what is linked with nothing is a component of its own."""
+    placed = members.join(found, "id", "left")
+    return placed.select(*members.columns, F.coalesce("component", "id").alias("component"))
+
+
+def _told(state: DataFrame, told: DataFrame) -> DataFrame:
+    """``state`` with ``d``, the distance from the head where it was measured; an earlier ``d`` is ``d_old``."""
+    state = state.withColumnRenamed("d", "d_old")
+    same = (F.least("id", "head") == F.col("a")) & (F.greatest("id", "head") == F.col("b"))
+    distance = F.when(F.col("id") == F.col("head"), F.lit(0.0)).otherwise(1 - F.col("j"))
+    return state.join(told, same, "left").withColumn("d", distance)

@@ -2,64 +2,67 @@
 
 Equal lines are one until the end (named by 128 bits of hashes). A line is the set of
 its shingles of ``SHINGLE`` characters; its signature holds the smallest shingle hash in
-each of ``HASHES`` orders. Bands of ``ROWS`` values find candidates: two
-lines of similarity 0.8 miss each other in all bands with a probability of 0.3 %, of
-0.9 in 2 of 100,000. Candidates are verified by the exact Jaccard similarity of their
-shingles and joined by distributed union-find.
+each of ``HASHES`` orders. Bands of ``ROWS`` values find candidates. Bands share values:
+they are the blocks of BANDS / 4 ways to cut the signature into four, which finds 93 % of
+the pairs of similarity 0.8, 98 % of 0.85 and 99.6 % of 0.9 from few hashes and few
+accidental buckets. Candidates that agree in more than half of their signatures are
+verified by the exact Jaccard similarity of their shingles and joined by distributed
+union-find.
 
 All of it is DataFrame functions. A generated row covers ``STEP`` shingles, so the
 minima over them are plain expressions and only one row in ``STEP`` is aggregated.
-Texts are shuffled once, for signatures; for verification only those of candidates
-move, found by a broadcast bitmap of fixed size. All else that moves is a few numbers
-for a line. While signatures are made, a line of any length is a streak of rows, never an
-array of its shingles.
+Texts are shuffled once, with equal lines folded before; they are signed where they land.
+For verification only those of candidates move, found by a broadcast bitmap of fixed size.
+All else that moves is a few numbers for a line. While signatures are made, a line of any
+length is a streak of rows, never an array of its shingles.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwave.llm.bitmaps import bitmap, likely, marked
 from gridwave.llm.common import keep, keep_table, mixers, turned
-from gridwave.llm.components import bucket_components
+from gridwave.llm.components import linked_components
 
-SHINGLE = 8
+# One changed character spoils 4 shingles, so lines from 39 characters bear it.
+SHINGLE = 4
 SIMILARITY = 0.8
-HASHES, ROWS = 24, 3
+HASHES, BANDS = 24, 16
+ROWS = HASHES // 4
+# Two lines of similarity 0.8 agree in fewer orders than these with a probability of 0.06 %.
+AGREE = 13
 STEP = 4
-# From how many characters ``decide`` and ``dedup`` judge a line if not told otherwise.
-MIN_CHARS = 40
-# What op9 and the pipeline ask for: every line takes part but blank ones, and one changed
-# character spoils 4 shingles, so lines from 39 characters bear it. Short shingles make unlike
-# lines meet more often, so a band has a value more; two lines of similarity 0.8 miss each
-# other in all 12 bands with a probability of 0.2 %.
-EVERY_LINE = {"min_chars": 1, "shingle": 4, "hashes": 48, "rows": 4}
 
 _TURNS, _SEED = 3, 9
-
-
 # Stands for a null id, so that rows without id keep a place of their own.
 _NO_ID = -(1 << 63)
-# The bitmap of candidate lines: 4096 pieces of 32768 bits, 16 MB whatever the data.
-_PIECES, _BITS = 4096, 32768
+# Whether two signatures agree enough for their lines to be compared.
+_NEAR = f"aggregate(zip_with({{x}}, {{y}}, (p, q) -> int(p = q)), 0, (n, v) -> n + v) >= {AGREE}"
+_PLACE = ["doc", "row", "line_no"]
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, line) of rows (doc_id, text), from 0; a null text has no lines."""
+    """(doc, row, line_no, line) of rows (doc_id, text), from 0; a null text has no lines.
+
+    ``row`` is a hash of the text: rows of one id with other texts are other documents.
+    """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.expr(f"CAST('{_NO_ID}' AS BIGINT)")).alias("doc")
-    return docs.select(doc, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    row = F.xxhash64(F.lit(2), "text").alias("row")
+    return docs.select(doc, row, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _judges(min_chars: int) -> Column:
-    """Whether a line takes part: long enough, and not blank or as long as MIN_CHARS."""
-    size = F.length("line")
-    return (size >= min_chars) & ((size >= MIN_CHARS) | F.col("line").rlike(r"[^\s\p{Z}]"))
+def _judges() -> Column:
+    """Whether a line takes part: all but blank ones do."""
+    return F.col("line").rlike(r"[^\s\p{Z}]")
 
 
-def _judged(docs: DataFrame, min_chars: int) -> DataFrame:
-    return lines(docs).where(_judges(min_chars))
+def _named() -> list[Column]:
+    return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
 
 
 def _points(line: str) -> Column:
@@ -67,32 +70,43 @@ def _points(line: str) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def signatures(rows: DataFrame, keys: Sequence[str], shingle: int = SHINGLE, hashes: int = HASHES) -> DataFrame:
-    """(keys, m0 ...) of rows (keys, line) whose lines have at least ``shingle`` characters.
+def signatures(rows: DataFrame, keys: Sequence[str], shingle: int = SHINGLE) -> DataFrame:
+    """(keys, sig) of rows (keys, line); a line shorter than a shingle is one shingle.
 
     Rows must be partitioned by some of the keys; then nothing moves.
     """
-    chars = rows.select(*keys, _points("line").alias("_c")).withColumn("_last", F.expr(f"length(_c) div 4 - {shingle}"))
-    steps = chars.select("*", F.explode(F.expr(f"sequence(0, _last, {STEP})")).alias("_i"))
+    chars = rows.select(*keys, _points("line").alias("_c"))
+    chars = chars.withColumn("_last", F.expr(f"greatest(length(_c) div 4 - {shingle}, 0L)"))
+    steps = chars.select("*", F.explode(F.expr(f"sequence(0L, _last, {STEP}L)")).alias("_i"))
     hashed = steps.select(*keys, *[
-        F.expr(f"xxhash64(substring(_c, 4 * least(_i + {j}, _last) + 1, {4 * shingle}))").alias(f"_h{j}")
+        F.expr(f"xxhash64(substring(_c, int(4 * least(_i + {j}, _last) + 1), {4 * shingle}))").alias(f"_h{j}")
         for j in range(STEP)
     ])
-    orders = mixers(hashes, _TURNS, _SEED)
+    orders = mixers(HASHES, _TURNS, _SEED)
     turns = hashed.select(*keys, *[
         F.expr(turned(f"_h{j}", t)).alias(f"_t{t}_{j}") for t in dict(orders) for j in range(STEP)
     ])
-    least = turns.select(*keys, *[
-        F.least(*[F.col(f"_t{t}_{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)]).alias(f"_l{k}")
+    # Minima within a row are part of the aggregates, which are compiled one by one: all of them
+    # in one projection would be too long a method to be compiled at all.
+    least = turns.groupBy(*keys).agg(*[
+        F.min(F.least(*[F.col(f"_t{t}_{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"m{k}")
         for k, (t, c) in enumerate(orders)
     ])
-    return least.groupBy(*keys).agg(*[F.min(f"_l{k}").alias(f"m{k}") for k in range(hashes)])
+    return least.select(*keys, F.array(*[F.expr(f"int(m{k} & 2147483647)") for k in range(HASHES)]).alias("sig"))
+
 
+def _cuts() -> list[list[int]]:
+    """Which values of a signature make each band."""
+    draw, out = random.Random(_SEED), []
+    while len(out) < BANDS:
+        order = draw.sample(range(HASHES), HASHES)
+        out += [sorted(order[i : i + ROWS]) for i in range(0, HASHES, ROWS)]
+    return out
 
-def bands(signed: DataFrame, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """(key, id) for every band of each signature."""
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + j}" for j in range(rows)]) for b in range(hashes // rows)]
-    return signed.select(F.explode(F.array(*keys)).alias("key"), "id")
+
+def band_keys(sig: str) -> Column:
+    """The keys of a signature's bands."""
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col(sig)[i] for i in cut]) for b, cut in enumerate(_cuts())])
 
 
 def shingles(line: str, shingle: int = SHINGLE) -> str:
@@ -105,111 +119,98 @@ def shingles(line: str, shingle: int = SHINGLE) -> str:
     return f"transform(array(encode({line}, 'UTF-32')), c -> array_distinct({hashes}))[0]"
 
 
-def alike(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of ids whose lines in ``texts`` (id, line) have at least that Jaccard similarity."""
+def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b, j): the Jaccard similarity of the lines in ``texts`` (id, line) of pairs (a, b) of ids."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("_a")), "a")
     joined = joined.join(texts.select(F.col("id").alias("b"), F.col("line").alias("_b")), "b")
     # Lines move as texts; their sets are made once, where they have met.
-    enough = f"n -> n >= {similarity}D * (size(s.a) + size(s.b) - n)"
-    verdict = f"transform(array(size(array_intersect(s.a, s.b))), {enough})[0]"
-    sets = f"array(struct({shingles('_a', shingle)} AS a, {shingles('_b', shingle)} AS b))"
-    return joined.where(F.expr(f"transform({sets}, s -> {verdict})[0]")).select("a", "b")
-
+    share = "n -> n / (size(s.a) + size(s.b) - n)"
+    both = f"array(struct({shingles('_a', shingle)} AS a, {shingles('_b', shingle)} AS b))"
+    return joined.select("a", "b", F.expr(f"transform({both}, s -> transform(array(size(array_intersect(s.a, s.b))), {share})[0])[0]").alias("j"))
 
-def _bitmap(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(_piece, _map): which hashes the rows have, in at most 16 MB."""
-    place = F.pmod(F.xxhash64(*keys), F.lit(_PIECES * _BITS).cast("long"))
-    return rows.select(place.alias("_p")).groupBy(F.expr(f"_p div {_BITS}").alias("_piece")).agg(
-        F.bitmap_construct_agg(F.col("_p") % _BITS).alias("_map")
-    )
 
+def signed_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, h, g, doc, row, line_no, copies, sig) for every distinct line: its first place, its copies, its signature.
 
-def _marked(rows: DataFrame, keys: Sequence[str], bitmap: DataFrame) -> DataFrame:
-    """``rows`` with ``_maybe``: true for all rows whose keys the bitmap was made of, and for some others."""
-    place = F.pmod(F.xxhash64(*keys), F.lit(_PIECES * _BITS).cast("long"))
-    placed = rows.withColumn("_p", place).withColumn("_piece", F.expr(f"_p div {_BITS}"))
-    octet = F.expr(f"int(conv(hex(substring(_map, int(_p % {_BITS} div 8) + 1, 1)), 16, 10))")
-    bit = F.coalesce(F.expr("shiftright(_octet, int(_p % 8)) & 1") == 1, F.lit(False))
-    marked = placed.join(F.broadcast(bitmap), "_piece", "left").withColumn("_octet", octet)
-    return marked.select(*rows.columns, bit.alias("_maybe"))
+    Ids of lines with more copies are smaller, by powers of two, so that the smallest id of a
+    bucket is the line most likely to be what the others were made from. A line shorter than a
+    shingle has no signature: only its copies are alike.
+    """
+    found = lines(docs).where(_judges()).select(*_PLACE, "line", *_named())
+    texts = found.groupBy("h", "g").agg(F.min(F.struct(*_PLACE, "line")).alias("at"), F.count("*").alias("copies"))
+    is_long = (F.length("at.line") >= shingle).alias("is_long")
+    texts = texts.select("h", "g", *[f"at.{c}" for c in _PLACE], "copies", is_long, "at.line")
+    signed = signatures(texts, ["h", "g", *_PLACE, "copies", "is_long"], shingle)
+    rank = F.expr("shiftleft(63L - CAST(floor(log2(copies)) AS BIGINT), 57)") + F.monotonically_increasing_id()
+    return signed.select(rank.alias("id"), "h", "g", *_PLACE, "copies", F.when(F.col("is_long"), F.col("sig")).alias("sig"))
 
 
-def _likely(rows: DataFrame, keys: Sequence[str], of: DataFrame) -> DataFrame:
-    """The rows that may be among those of ``of`` by these keys: none of them is missed."""
-    return _marked(rows, keys, _bitmap(of, keys)).where("_maybe").drop("_maybe")
+def candidates(first: DataFrame) -> DataFrame:
+    """(key, id, sig) of the buckets of two lines or more."""
+    entries = first.where("sig IS NOT NULL").select(F.explode(band_keys("sig")).alias("key"), "id", "sig")
+    buckets = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    crowded = keep_table(buckets.where("a <> b").select("key"))
+    return likely(entries, ["key"], crowded).join(crowded, "key")
 
 
-def decide(
-    docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, shingle: int = SHINGLE,
-    hashes: int = HASHES, rows: int = ROWS,
-) -> DataFrame:
+def decide(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, line_no, component_doc_id, component_line_no, kept) for each line of ``docs`` (doc_id, text).
 
-    A component is what links of lines of at least ``min_chars`` characters reach; it is named
-    by its first line (smallest id, then line number), which is the one that is kept. Shorter
-    lines, and blank ones below MIN_CHARS, are components of their own. A line shorter than a
-    shingle is alike to its copies only. A null text has no lines; a null id
-    comes before all others; rows with one id count as one document (equal lines at one place
-    of it are one line); an empty table gives no rows.
+    A component is what links of lines reach; it is named by its first line (smallest id, then
+    line number), which is the one that is kept. Blank lines are components of their own. A line
+    shorter than a shingle is alike to its copies only. A null text has no lines; a null id
+    comes before all others; rows with one id and one text count as one document, with other
+    texts as several; an empty table gives no rows.
     """
-    both = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    found = _judged(docs, min_chars).select("doc", "line_no", *both)
-    place = ["doc", "line_no"]
-    # Equal lines first: one row of numbers each, from partial minima.
-    first = found.groupBy("h", "g").agg(F.min(F.struct(*place)).alias("at"), F.count("*").alias("copies"))
-    first = first.select("h", "g", "at.doc", "at.line_no", "copies")
-    first = keep_table(first.withColumn("id", F.monotonically_increasing_id()))
-    # Signatures of their first places alone: the texts move by place, and stay there.
-    # A line shorter than a shingle is one shingle of its own: only its copies are alike, and they are one already.
-    shingled = F.length("line") >= shingle
-    texts = _likely(_judged(docs, min_chars).where(shingled), place, first)
-    placed = texts.join(first.select(*place, "id", "h", "g").hint("shuffle_hash"), place)
-    placed = placed.where(F.xxhash64("line") == F.col("h")).where(F.xxhash64(F.lit(1), F.col("line")) == F.col("g"))
-    signed = signatures(placed, [*place, "id"], shingle, hashes)
-    entries = bands(signed, hashes, rows)
-    per_key = Window.partitionBy("key")
-    crowded = F.min("id").over(per_key) < F.max("id").over(per_key)
-    buckets = keep(entries.withColumn("_crowded", crowded).where("_crowded").select("key", "id").distinct())
-    # Texts of candidates alone, found by a bitmap of fixed size before they move.
-    ids = buckets.select("id").distinct()
-    wanted = keep(_likely(first, ["id"], ids).join(ids, "id").select(*place, "id", "h", "g"))
-    texts = _likely(_judged(docs, min_chars).where(shingled), place, wanted).join(wanted, place)
-    texts = texts.where(F.xxhash64("line") == F.col("h")).where(F.xxhash64(F.lit(1), F.col("line")) == F.col("g"))
-    texts = keep(texts.groupBy(*place, "id").agg(F.min("line").alias("line")).select("id", "line"))
-    linked = keep(bucket_components(buckets, lambda pairs: alike(pairs, texts, similarity, shingle)))
-    # Lines that are neither copied nor linked stand for themselves and need not move.
-    shared = _marked(first, ["id"], _bitmap(linked, ["id"])).where("_maybe OR copies > 1").drop("_maybe")
-    named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = named.groupBy("component").agg(F.min(F.struct(*place)).alias("head"))
-    named = keep(named.join(heads, "component").select("h", "g", "head"))
-    all_lines = lines(docs).select(*place, *both, _judges(min_chars).alias("judged"))
-    all_lines = _marked(all_lines, ["h", "g"], _bitmap(named, ["h", "g"])).withColumn("_maybe", F.expr("judged AND _maybe"))
-    far = all_lines.where("_maybe").join(named, ["h", "g"], "left")
-    far = far.select(*place, F.coalesce("head.doc", "doc").alias("head_doc"), F.coalesce("head.line_no", "line_no").alias("head_line"))
-    near = all_lines.where("NOT _maybe").select(*place, F.col("doc").alias("head_doc"), F.col("line_no").alias("head_line"))
-    out = far.unionByName(near)
+    out = _decided(docs, similarity, shingle)
 
     def back(name: str) -> Column:
         return F.expr(f"nullif({name}, CAST('{_NO_ID}' AS BIGINT))")
 
     return out.select(
-        back("doc").alias("doc_id"), "line_no", back("head_doc").alias("component_doc_id"),
-        F.col("head_line").alias("component_line_no"),
-        ((F.col("doc") == F.col("head_doc")) & (F.col("line_no") == F.col("head_line"))).alias("kept"),
+        back("doc").alias("doc_id"), "line_no", back("head.doc").alias("component_doc_id"),
+        F.col("head.line_no").alias("component_line_no"), "kept",
     )
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS, **search: int) -> DataFrame:
+def _decided(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(doc, row, line_no, head, kept) for each line; the head is a place."""
+    first = keep_table(signed_lines(docs, shingle))
+    members = keep_table(candidates(first))
+    # Texts of candidates alone, found by a bitmap of fixed size before they move.
+    ids = members.select("id").distinct()
+    wanted = keep(likely(first, ["id"], ids).join(ids, "id").select("id", "h", "g", *_PLACE))
+    texts = likely(lines(docs).where(_judges()), _PLACE, wanted).select(*_PLACE, "line", *_named())
+    # Rows that are equal in id and text give a line twice.
+    texts = keep_table(texts.join(wanted, [*_PLACE, "h", "g"]).groupBy("id").agg(F.min("line").alias("line")))
+    linked = keep(linked_components(members, _NEAR, lambda pairs: jaccard(pairs, texts, shingle), similarity))
+    # Lines that are neither copied nor linked stand for themselves and need not move.
+    shared = marked(first.select("id", "h", "g", *_PLACE, "copies"), ["id"], bitmap(linked, ["id"])).where("_maybe OR copies > 1").drop("_maybe")
+    named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = named.groupBy("component").agg(F.min(F.struct(*_PLACE)).alias("head"))
+    named = keep(named.join(heads, "component").select("h", "g", "head"))
+    every = lines(docs).select(*_PLACE, *_named(), _judges().alias("judged"))
+    every = marked(every, ["h", "g"], bitmap(named, ["h", "g"])).withColumn("_maybe", F.expr("judged AND _maybe"))
+    own = F.struct(*_PLACE)
+    far = every.where("_maybe").join(named, ["h", "g"], "left").select(*_PLACE, F.coalesce("head", own).alias("head"))
+    near = every.where("NOT _maybe").select(*_PLACE, own.alias("head"))
+    return far.unionByName(near).withColumn("kept", F.col("head") == own)
+
+
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with texts of the lines that are kept, and n_removed (lines taken out).
 
     Other columns stay as they are; a document that loses all its lines keeps its row with an
-    empty text, and a null text stays null. ``search`` goes to ``decide``.
+    empty text, and a null text stays null. Rows are told apart by id and text, so one row's
+    lines go only if they are alike to kept ones, whatever ids repeat.
     """
-    removed = decide(docs.select("doc_id", "text"), similarity, min_chars, **search).where("NOT kept")
-    removed = removed.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.drop("n_removed").join(removed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    removed = _decided(docs.select("doc_id", "text"), similarity, shingle).where("NOT kept")
+    removed = removed.groupBy("doc", "row").agg(F.collect_set("line_no").alias("_gone"))
+    removed = removed.withColumnsRenamed({"doc": "_doc", "row": "_row"})
+    own = F.coalesce(F.col("doc_id").cast("long"), F.expr(f"CAST('{_NO_ID}' AS BIGINT)"))
+    joined = docs.drop("n_removed").join(removed, (own == F.col("_doc")) & (F.xxhash64(F.lit(2), "text") == F.col("_row")), "left")
     left = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(_gone, i)), '\\n')")
     return joined.withColumns({
         "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left),
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)),
-    }).drop("_gone")
+    }).drop("_gone", "_doc", "_row")

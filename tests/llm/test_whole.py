@@ -51,7 +51,7 @@ def test_op1_has_short_notices(spark, folder):
 def test_short_lines(spark, folder):
     texts = ["go\nan opening line of the first document\n\n我们在这里", "go\n\n我们在这里\nits own", "我们在这里\n go", "go", " \n\t", "go\n\n我们在这里"]
     docs = spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in line_dedup.decide(docs, **line_dedup.EVERY_LINE).collect()}
+    got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in line_dedup.decide(docs).collect()}
     first = {}
     for k, text in enumerate(texts):
         for n, line in enumerate(text.split("\n")):
@@ -74,7 +74,7 @@ def test_recall_of_one_change(spark):
         texts += [line, changed]
         alike.append(len(a & b) >= 0.8 * len(a | b))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    head = {r.doc_id: r.component_doc_id for r in line_dedup.decide(docs, **line_dedup.EVERY_LINE).collect()}
+    head = {r.doc_id: r.component_doc_id for r in line_dedup.decide(docs).collect()}
     found = [head[2 * k + 1] == 2 * k for k in range(200)]
     # A line from 39 characters bears one changed character; the search itself may miss one pair in 500.
     assert all(f <= a for f, a in zip(found, alike)) and sum(found) >= sum(alike) - 2
