@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwave.llm.common import keep
+from gridwave.llm.common import keep, keep_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ ROUNDS, TASK_PAIRS = 3, 100_000
 
 
 def linked_components(members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """(id, component) of the links among ids that share a bucket: distinct rows (key, id, sig) of buckets of two or more.
+    """(id, component) of the links among ids that share a bucket: distinct rows (key, id, sig) of buckets of two or more, of a table that was written.
 
     ``near`` is SQL that tells from the signatures ``x`` and ``y`` whether two ids may be linked;
     ``measure`` takes distinct pairs (a, b) and returns (a, b, j), their Jaccard similarities; links
@@ -92,7 +92,6 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
     near pairs that could join two components is passed over, and a bucket whose members are
     near its heads costs a pair for each.
     """
-    members = keep(members)
     first = members.groupBy("key").agg(F.min_by(F.struct("id", "sig"), "id").alias("h"))
     state = members.join(first.select("key", F.col("h.id").alias("head"), F.col("h.sig").alias("y")), "key")
     state = state.withColumn("meets", (F.col("id") != F.col("head")) & F.expr(near.format(x="sig", y="y"))).drop("y")
@@ -100,7 +99,8 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
     enough = F.col("j") >= similarity
     links = told.where(enough).select("a", "b")
     found = keep(components(links))
-    members = keep(_told(state, told).select("key", "id", "sig", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
+    state = _told(_open(state, found), told)
+    members = keep_table(state.select("key", "id", "sig", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
     for _ in range(ROUNDS):
         placed = _placed(members, found)
         lead = placed.where("is_head").select(F.col("key").alias("_k"), F.col("component").alias("_c")).distinct()
@@ -111,13 +111,14 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
         heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("_hc"), F.col("h.sig").alias("y"))
         state = _placed(members, found).join(heads, "key", "left")
         meets = F.expr(f"NOT is_head AND id <> head AND component <> _hc AND {near.format(x='sig', y='y')}")
-        state = keep(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("y", "_hc", "component"))
+        state = keep_table(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("y", "_hc", "component"))
         told = keep(measure(_met(state)))
         is_head = F.col("is_head") | F.coalesce(F.col("id") == F.col("head"), F.lit(False))
-        members = keep(_told(state, told).select("key", "id", "sig", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
         links = links.unionByName(told.where(enough).select("a", "b"))
         found = keep(components(links))
-    placed = keep(_placed(members, found))
+        state = _told(_open(state, found), told)
+        members = keep_table(state.select("key", "id", "sig", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
+    placed = keep_table(_placed(members, found))
     lead = placed.groupBy("key").agg(F.min_by("component", "id").alias("_c"))
     placed = placed.join(lead, "key").where("NOT is_head").withColumn("_r", F.col("component") != F.col("_c"))
     left = placed.where("_r").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), F.col("sig").alias("x"))
@@ -140,6 +141,13 @@ def _met(state: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def _open(state: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets of three or more that are not all in one component: in the others all is decided."""
+    placed = _placed(state.select("key", "id"), found)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n"))
+    return state.join(mixed.where("_lo <> _hi AND _n > 2").select("key"), "key", "left_semi")
+
+
 def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     """``members`` with component; what is linked with nothing is a component of its own."""
     placed = members.join(found, "id", "left")

@@ -146,8 +146,9 @@ def signed_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def candidates(first: DataFrame) -> DataFrame:
-    """(key, id, sig) of the buckets of two lines or more."""
-    entries = first.where("sig IS NOT NULL").select(F.explode(band_keys("sig")).alias("key"), "id", "sig")
+    """(key, id, sig) of the buckets of two lines or more; of each value of a signature seven bits are left."""
+    short = F.array(*[F.expr(f"tinyint(sig[{i}] & 127)") for i in range(HASHES)]).alias("sig")
+    entries = first.where("sig IS NOT NULL").select(F.explode(band_keys("sig")).alias("key"), "id", short)
     buckets = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     crowded = keep_table(buckets.where("a <> b").select("key"))
     return likely(entries, ["key"], crowded).join(crowded, "key")
