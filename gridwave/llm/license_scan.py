@@ -200,7 +200,7 @@ def notices(spark: SparkSession, short: bool = False) -> DataFrame:
 
 def oracle(containment: float = CONTAINMENT) -> str:
     """The same as DuckDB SQL over ``documents``, by joining all shingles."""
-    listed = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in NOTICES)
+    listed = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in NOTICES + SHORT_NOTICES)
     cut = "string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+')"
     return f"""
 WITH templates(template_id, text) AS (VALUES {listed}),
@@ -217,6 +217,12 @@ shares AS (
   FROM wins JOIN m ON m.doc_id = wins.doc_id AND m.template_id = wins.template_id
        AND m.pos BETWEEN win - wins.span + 1 AND win + 3 + wins.span - 1
   JOIN tn ON tn.template_id = wins.template_id
-  GROUP BY wins.doc_id, wins.template_id, win)
+  GROUP BY wins.doc_id, wins.template_id, win),
+brief AS (SELECT template_id, array_to_string(w, ' ') AS s, len(w) AS n FROM tw WHERE len(w) < 5),
+found AS (
+  SELECT doc_id, template_id, containment, first_word FROM shares
+  UNION ALL
+  SELECT doc_id, template_id, 1.0, i - 1
+  FROM dw, brief, unnest(range(1, len(dw.w) - brief.n + 2)) AS u(i) WHERE array_to_string(w[i:i + n - 1], ' ') = s)
 SELECT doc_id, template_id, max(containment)::DOUBLE AS containment, min(first_word)::BIGINT AS first_word
-FROM shares WHERE containment >= {containment} GROUP BY doc_id, template_id"""
+FROM found WHERE containment >= {containment} GROUP BY doc_id, template_id"""
