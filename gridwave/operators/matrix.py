@@ -16,6 +16,7 @@ from gridwave.functions.complexnum import abs_squared, product, scaled_terms, to
 from gridwave.functions.indexing import div
 from gridwave.functions.ranges import repeat_over_range
 from gridwave.operators.skew import PIECE_PAIRS, split_join
+from gridwave.operators.tiled import cells_of, tiles
 
 ROUND_DIGITS = 10
 # A Kronecker factor up to this many cells (32 bytes each) is broadcast.
@@ -277,12 +278,9 @@ def _combine_scalar(m: MatrixTable, value, sign: int) -> MatrixTable:
 
 
 def dense(m: MatrixTable) -> MatrixTable:
-    """Every cell of the matrix, zeros included."""
-    every = filled(m.df.sparkSession, m.shape, 0, m.dtype).df.select("row", "col")
-    cells = every.join(m.df, ["row", "col"], "left").select(
-        "row", "col", *[F.coalesce(F.col(c), F.lit(0)).cast(m.df.schema[c].dataType).alias(c) for c in m.values]
-    )
-    return MatrixTable(cells, m.shape, m.dtype, m.size)
+    """Every cell of the matrix, zeros included: stored cells move to their tiles, zeros are made there."""
+    tiled = tiles(clear(m).df, m.shape, m.values)
+    return MatrixTable(cells_of(tiled, m.shape, m.values), m.shape, m.dtype, m.size)
 
 
 def to_ndarray(m: MatrixTable, max_cells: int = MAX_LOCAL_CELLS):
@@ -347,27 +345,90 @@ def matvec(a: MatrixTable, v: MatrixTable) -> MatrixTable:
     return matmul(a, v, split_hot=False)
 
 
+def stored_by_column(m: MatrixTable) -> MatrixTable:
+    """The matrix without zeros, written once and partitioned by its columns, so that products with vectors do not move it."""
+    from gridwave.session import cut_lineage
+
+    conf = m.df.sparkSession.conf
+    partitions, adaptive = int(conf.get("spark.sql.shuffle.partitions")), "spark.sql.adaptive.enabled"
+    # A plan that may still change has no partitioning that the stored rows could keep.
+    before = conf.get(adaptive)
+    conf.set(adaptive, "false")
+    try:
+        stored = cut_lineage(clear(m).df.repartition(partitions, "col"))
+    finally:
+        conf.set(adaptive, before)
+    return MatrixTable(stored, m.shape, m.dtype)
+
+
+def _times_vector(a: MatrixTable, v: MatrixTable) -> MatrixTable:
+    """a * v, summed by row alone: its rows come out partitioned as a matrix stored by column needs its vector."""
+    if a.shape[1] != v.shape[0]:
+        raise ValueError(f"incompatible shapes {a.shape} and {v.shape}")
+    dtype = wider(a.dtype, v.dtype)
+    a, v = cast_to(a, dtype), cast_to(v, dtype)
+    left = a.df.select("row", "col", *[F.col(c).alias(f"a_{c}") for c in a.values])
+    right = v.df.where(_nonzero(v.values)).select(F.col("row").alias("col"), *[F.col(c).alias(f"b_{c}") for c in v.values])
+    if dtype == "complex":
+        re, im = product(_pair(a, "a_"), _pair(v, "b_"))
+        sums = [F.sum(re).alias("re"), F.sum(im).alias("im")]
+    else:
+        sums = [F.sum(F.col("a_v") * F.col("b_v")).alias("v")]
+    rows = left.join(right, "col").groupBy("row").agg(*sums).where(_nonzero(a.values))
+    return MatrixTable(rows.select("row", F.lit(0).cast("long").alias("col"), *a.values), (a.shape[0], 1), dtype)
+
+
 def propagate(operators: list[MatrixTable], v: MatrixTable, steps: int, cut_every: int = 10) -> MatrixTable:
-    """v after ``steps`` rounds of v <- operator * v, over the operators in order.
+    """v after ``steps`` rounds of v <- operator * v, over the operators in order, for a column vector.
 
     Operators that are used more than once are written to the checkpoint folder first, without
-    their zeros, so that no product reads the facts behind them again. The history of the vector
-    is cut every ``cut_every`` products, so plans stay short on long runs.
+    their zeros and partitioned by column. A product then moves nothing but partial sums of the
+    vector, once: they arrive as the next product needs them. The history of the vector is cut
+    every ``cut_every`` products, so plans stay short on long runs.
     """
     from gridwave.session import cut_lineage
 
+    if v.shape[1] != 1:
+        raise ValueError(f"a column vector has one column, not {v.shape[1]}")
     if steps > 1:
-        operators = [MatrixTable(cut_lineage(clear(a).df), a.shape, a.dtype) for a in operators]
+        operators = [stored_by_column(a) for a in operators]
     done = 0
     for _ in range(steps):
         for a in operators:
-            v = matvec(a, v)
+            v = _times_vector(a, v) if steps > 1 else matvec(a, v)
             done += 1
             if done % cut_every == 0:
                 v = MatrixTable(cut_lineage(v.df), v.shape, v.dtype)
     return v
 
 
+def as_matrix(v: MatrixTable, columns: int) -> MatrixTable:
+    """A column vector over pairs (i, j), index i * columns + j, as the matrix of those pairs."""
+    if v.shape[1] != 1 or v.shape[0] % columns:
+        raise ValueError(f"a vector of {v.shape[0]} elements has no rows of {columns}")
+    df = v.df.select(div(F.col("row"), columns).alias("row"), F.pmod("row", F.lit(columns)).alias("col"), *v.values)
+    return MatrixTable(df, (v.shape[0] // columns, columns), v.dtype, v.nelem)
+
+
+def as_vector(m: MatrixTable) -> MatrixTable:
+    """The inverse of ``as_matrix``: the cells of a matrix as one column, row by row."""
+    index = (F.col("row") * m.shape[1] + F.col("col")).alias("row")
+    return MatrixTable(m.df.select(index, F.lit(0).cast("long").alias("col"), *m.values), (m.size, 1), m.dtype, m.nelem)
+
+
+def kron_apply(a: MatrixTable, b: MatrixTable, v: MatrixTable) -> MatrixTable:
+    """(a (x) b) * v for a column vector, without the Kronecker product.
+
+    The vector is a matrix over pairs of columns, V; the result is that of a * V * b^T. Two
+    sparse products, each cut at its hot keys, take the place of as many cells as a and b have
+    pairs; factors may be of any size.
+    """
+    if v.shape != (a.shape[1] * b.shape[1], 1):
+        raise ValueError(f"incompatible shapes {a.shape}, {b.shape} and {v.shape}")
+    right = matmul(as_matrix(v, b.shape[1]), transpose(b))
+    return as_vector(matmul(a, right))
+
+
 def kron(a: MatrixTable, b: MatrixTable) -> MatrixTable:
     """The Kronecker product: every cell of a with every cell of b, by definition.
 

@@ -85,15 +85,57 @@ def weighted(facts: DataFrame, by: list[str], over: list[str], weight: Column) -
     not finite weights, or a sum of zero) fails while the plan runs.
     """
     cells = facts.groupBy(*by, *over).agg(F.sum(weight).cast("double").alias("_w")).where(F.col("_w") != 0)
-    whole = F.sum("_w").over(Window.partitionBy(*by))
-    return checked(cells.select(*by, *over, (F.col("_w") / whole).alias("p")), by)
+    totals = cells.groupBy(*by).agg(F.sum("_w").alias("_whole"), F.min("_w").alias("_least"), F.max("_w").alias("_most"))
+    # Shares of a finite whole that is not zero sum to one; none is negative where all weights have its sign.
+    finite = F.abs("_whole") < float("inf")
+    wrong = ~finite | F.col("_whole").isNull() | (F.col("_whole") == 0) | (F.col("_least") / F.col("_whole") < 0) | (F.col("_most") / F.col("_whole") < 0)
+    whole = F.when(F.coalesce(wrong, F.lit(True)), _not_one()).otherwise(F.col("_whole"))
+    return _with_totals(cells, totals.select(*by, whole.alias("_whole")), by).select(*by, *over, (F.col("_w") / F.col("_whole")).alias("p"))
 
 
 def checked(distribution: DataFrame, by: list[str]) -> DataFrame:
-    """``distribution`` as it is; reading it fails if the shares of a group are negative or do not sum to one."""
-    whole = F.sum("p").over(Window.partitionBy(*by))
-    wrong = F.isnan(whole) | whole.isNull() | (F.abs(whole - 1) > 10.0**-ROUND_DIGITS) | (F.col("p") < 0)
-    return distribution.withColumn("p", F.when(wrong, F.raise_error(F.lit("shares of a group do not make up one"))).otherwise(F.col("p")))
+    """``distribution`` as it is; reading it fails if the shares of a group are negative or do not sum to one.
+
+    Sums are taken before groups meet. What they may be off grows with the number of cells.
+    """
+    totals = distribution.groupBy(*by).agg(F.sum("p").alias("_whole"), F.min("p").alias("_least"), F.count("*").alias("_n"))
+    off = F.abs(F.col("_whole") - 1) > 10.0**-ROUND_DIGITS + 1e-16 * F.col("_n")
+    wrong = F.isnan("_whole") | F.col("_whole").isNull() | off | (F.col("_least") < 0)
+    told = totals.select(*by, F.when(wrong, _not_one()).otherwise(F.lit(1.0)).alias("_one"))
+    joined = _with_totals(distribution, told, by)
+    return joined.select(*[(F.col("p") * F.col("_one")).alias(c) if c == "p" else F.col(c) for c in distribution.columns])
+
+
+def _not_one() -> Column:
+    return F.raise_error(F.lit("shares of a group do not make up one")).cast("double")
+
+
+def _with_totals(cells: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Cells with the row of their group (null keys are a group too); cells of a large group stay spread, adaptive joins split it."""
+    kept = totals.columns
+    totals = totals.select(*[F.col(c).alias(f"_{c}_by") if c in by else F.col(c) for c in kept])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_by"))
+    return cells.join(totals, same)
+
+
+def marginals(facts: DataFrame, over: list[str], weight: Column, sets: list[list[str]]) -> DataFrame:
+    """(over, grouping, p): the shares of several marginals of a distribution of facts, in one pass over them.
+
+    ``sets`` lists which of the columns each marginal keeps; the others are null there, and
+    ``grouping`` has a bit for each of those, the last column's the lowest. All shares are of
+    the weight of all facts.
+    """
+    if any(c not in over for kept in sets for c in kept):
+        raise ValueError("a marginal keeps columns of the distribution")
+    every = [[F.col(c) for c in kept] for kept in sets]
+    whole = [] in sets
+    cells = facts.select(*over, weight.cast("double").alias("_w")).groupingSets(every if whole else [*every, []], *[F.col(c) for c in over])
+    sums = cells.agg(F.sum("_w").alias("_w"), F.grouping_id(*over).cast("long").alias("grouping"))
+    everything = sums.where(F.col("grouping") == 2 ** len(over) - 1).agg(F.sum("_w")).scalar()
+    out = sums.withColumn("p", F.col("_w") / everything).drop("_w")
+    return out if whole else out.where(F.col("grouping") != 2 ** len(over) - 1)
 
 
 def co_located(distribution: DataFrame, places: list[list[str]]) -> DataFrame:
