@@ -4,7 +4,7 @@ A task holds a trie over the ids it gives to words: a phrase is found by its fir
 what follows is a key, the packed ids, in a hash container. A container that grows past BURST
 keys bursts into one for each second word. When a task holds more than CAPACITY keys, the
 largest subtrees leave it whole, as sorted runs; Spark's shuffle brings the runs of one
-prefix (two words) together and merges them. Words are cut and numbered by Arrow, a batch at
+first word together, where they are merged one word after the other. Words are cut and numbered by Arrow, a batch at
 a time, and a container takes all that a batch has for it at once.
 
 A phrase occurs at least as often as every longer one that holds it. So words are counted
@@ -51,7 +51,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _HELD = 6_000_000
 # Rows and bytes of text that are cut into words at a time.
 _ROWS, _BYTES = 4096, 8 << 20
-_NAMES = ["lang", "prefix", "rest", "f"]
+# Phrases in a row of a run at most.
+_RUN = 20_000
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -202,7 +203,7 @@ class Counts:
             trie.add(ids[starts], pack(ids, starts, n))
 
     def spill(self, everything: bool = False) -> Iterator[pa.RecordBatch]:
-        """Sorted runs (lang, prefix, rest, f) of whole subtrees, when there is too much to hold."""
+        """Rows (lang, head, rests, counts), sorted runs of whole subtrees, when there is too much to hold."""
         if not everything and sum(t.size for t in self.tries.values()) <= self.capacity:
             return
         share = 0 if everything else self.capacity // (2 * len(self.tries))
@@ -210,26 +211,53 @@ class Counts:
         for lang, trie in self.tries.items():
             held, size = [], 0
             for first in trie.largest(share):
-                held.append((first, *trie.take(first)))
-                size += len(held[-1][1])
-                if size > 100_000:
-                    yield from self._run(lang, words, held)
+                keys, counts = trie.take(first)
+                held += [(first, keys[i : i + _RUN], counts[i : i + _RUN]) for i in range(0, len(keys), _RUN)]
+                size += len(keys)
+                if size > 5 * _RUN:
+                    yield self._runs(lang, words, held)
                     held, size = [], 0
             if held:
-                yield from self._run(lang, words, held)
+                yield self._runs(lang, words, held)
         if everything:
             self.clear()
 
-    def _run(self, lang: str, words: pa.Array, held: list) -> Iterator[pa.RecordBatch]:
-        keys, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2))
-        first = np.repeat(np.array([h[0] for h in held]), [len(h[1]) for h in held])
-        length = 1 + sum((unpack(keys, j) > 0).astype(np.int64) for j in range(_KEY_WORDS))
+    def _runs(self, lang: str, words: pa.Array, held: list) -> pa.RecordBatch:
+        keys = np.concatenate([h[1] for h in held])
+        length = sum((unpack(keys, j) > 0).astype(np.int64) for j in range(_KEY_WORDS))
+        rests, order = [], []
         for n in np.unique(length).tolist():
             at = np.flatnonzero(length == n)
-            parts = [words.take(pa.array(first[at])), *[words.take(pa.array(unpack(keys[at], j))) for j in range(n - 1)]]
-            prefix = pc.binary_join_element_wise(*parts[:2], " ")
-            rest = pc.binary_join_element_wise(*parts[2:], " ") if n > 2 else pa.array([""] * len(at))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), prefix, rest, pa.array(counts[at])], _NAMES)
+            rests.append(pc.binary_join_element_wise(*[words.take(pa.array(unpack(keys[at], j))) for j in range(n)], " "))
+            order.append(at)
+        rests = pa.concat_arrays(rests).take(pa.array(np.argsort(np.concatenate(order))))
+        offsets = pa.array(np.r_[0, np.cumsum([len(h[1]) for h in held])].astype(np.int32))
+        columns = [
+            pa.array([lang] * len(held)), words.take(pa.array([h[0] for h in held])), pa.ListArray.from_arrays(offsets, rests),
+            pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([h[2] for h in held]))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "head", "rests", "counts"])
+
+
+def merged(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of runs (lang, head, rests, counts) in order of their heads, where f is ``min_count`` at least."""
+
+    def told(at: tuple[str, str], found: dict[str, int]) -> pa.RecordBatch:
+        often = [(f"{at[1]} {rest}", n) for rest, n in found.items() if n >= min_count]
+        phrases, counts = (pa.array([o[0] for o in often], pa.string()), pa.array([o[1] for o in often], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(often), pa.string()), phrases, counts], ["lang", "phrase", "f"])
+
+    last, found = None, {}
+    for batch in batches:
+        for lang, head, rests, counts in zip(*[c.to_pylist() for c in batch.columns]):
+            if (lang, head) != last:
+                if found:
+                    yield told(last, found)
+                last, found = (lang, head), {}
+            for rest, n in zip(rests, counts):
+                found[rest] = found.get(rest, 0) + n
+    if found:
+        yield told(last, found)
 
 
 def word_arrays(texts: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -399,10 +427,10 @@ def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: Bits, pair_buc
 
 
 def phrase_counts(
-    docs: DataFrame, least: int, most: int, words: Bits, pair_buckets: Bits | None = None, pairs: Bits | None = None,
+    docs: DataFrame, least: int, most: int, min_count: int, words: Bits, pair_buckets: Bits | None = None, pairs: Bits | None = None,
     triple_buckets: Bits | None = None, capacity: int = CAPACITY, burst: int = BURST, most_ids: int = _IDS,
 ) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``least`` (2 or more) to ``most`` words of rows (lang, text).
+    """(lang, phrase, f) of the phrases of ``least`` (2 or more) to ``most`` words that rows (lang, text) hold ``min_count`` times or more.
 
     ``words`` is the bitmap of words (lang, phrase) that phrases may hold; the others, where they
     are given, are those of the buckets of pairs, of pairs, and of the buckets of triples.
@@ -422,11 +450,10 @@ def phrase_counts(
         yield from counts.spill(everything=True)
 
     ship_package(docs.sparkSession)
-    spilled = _texts(docs).mapInArrow(run, "lang string, prefix string, rest string, f long")
-    # Runs of one prefix meet and are merged.
-    merged = spilled.repartition("lang", "prefix").groupBy("lang", "prefix", "rest").agg(F.sum("f").alias("f"))
-    phrase = F.when(F.col("rest") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "rest"))
-    return merged.select("lang", phrase.alias("phrase"), "f")
+    # Runs of one head meet and are merged, one head after the other.
+    runs = _texts(docs).mapInArrow(run, "lang string, head string, rests array<string>, counts array<long>")
+    runs = runs.repartition("lang", "head").sortWithinPartitions("lang", "head")
+    return runs.mapInArrow(lambda batches: merged(batches, min_count), "lang string, phrase string, f long")
 
 
 def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -436,12 +463,12 @@ def frequencies(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MA
     spark = docs.sparkSession
     bits = Bits(spark, local_bitmap(words, ["lang", "phrase"]))
     buckets = bucket_bitmap(docs, 2, min_count, bits)
-    often = keep_table(phrase_counts(docs, 2, 2, bits, buckets).where(F.col("f") >= min_count))
+    often = keep_table(phrase_counts(docs, 2, 2, min_count, bits, buckets))
     found = words.unionByName(often)
     if max_words > 2:
         pairs = Bits(spark, local_bitmap(often, ["lang", "phrase"]))
         triples = bucket_bitmap(docs, 3, min_count, bits, buckets, pairs)
-        longer = phrase_counts(docs, 3, max_words, bits, buckets, pairs, triples).where(F.col("f") >= min_count)
+        longer = phrase_counts(docs, 3, max_words, min_count, bits, buckets, pairs, triples)
         found = found.unionByName(keep_table(longer))
     return found, every.groupBy("lang").agg(F.sum("f").alias("n"))
 

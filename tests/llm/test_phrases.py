@@ -86,12 +86,14 @@ def test_many_spills(spark, most_ids):
         for piece in re.split("[.,;:!?\n]", text.translate(LETTERS)):
             words = [w for w in re.split("[ \t]+", piece) if w]
             want.update((lang, " ".join(words[i : i + k])) for k in (2, 3, 4) for i in range(len(words) - k + 1))
-    got = collocations.phrase_counts(docs, 2, 4, frequent, capacity=40, burst=2, most_ids=most_ids).collect()
+    got = collocations.phrase_counts(docs, 2, 4, 1, frequent, capacity=40, burst=2, most_ids=most_ids).collect()
     assert {(r.lang, r.phrase): r.f for r in got} == want and len(got) == len(want)
+    often = collocations.phrase_counts(docs, 2, 4, 6, frequent, most_ids=most_ids).collect()
+    assert {(r.lang, r.phrase): r.f for r in often} == {k: v for k, v in want.items() if v >= 6}
     # What buckets keep back is rare, and hardly anything rare passes.
     for n in (2, 3):
         buckets = collocations.bucket_bitmap(docs, n, 5, frequent, most_ids=most_ids, held=50)
-        kept = collocations.phrase_counts(docs, n, n, frequent, *([buckets] if n == 2 else [None, None, buckets]), most_ids=most_ids).collect()
+        kept = collocations.phrase_counts(docs, n, n, 1, frequent, *([buckets] if n == 2 else [None, None, buckets]), most_ids=most_ids).collect()
         often = {k: v for k, v in want.items() if k[1].count(" ") == n - 1 and v >= 5}
         assert {(r.lang, r.phrase): r.f for r in kept} == often
 
