@@ -158,6 +158,15 @@ class Sieve:
         return np.fromiter(map(known.__getitem__, keys), bool, len(keys))
 
 
+def buckets_of(lang: str, hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hash buckets of the ``n`` words from each start, by the hashes of words: the same in all tasks."""
+    code = np.full(len(starts), xxhash.xxh64_intdigest(lang.encode(), n), np.uint64)
+    for j in range(n):
+        code = (code ^ hashes[starts + j]) * _MIX
+        code ^= code >> np.uint64(29)
+    return (code * _MIX >> np.uint64(64 - _BUCKET_BITS)).astype(np.uint32)
+
+
 class Counts:
     """The tries of a task, one for each language, and the words behind their ids (from 1)."""
 
@@ -168,7 +177,7 @@ class Counts:
     def clear(self) -> None:
         self.tries: dict[str, HatTrie] = {}
         self.ids: dict[str, int] = {}
-        self.words, self.hashes = [""], [0]
+        self.words = [""]
 
     def room(self, words: list[str]) -> int:
         """How many ids are left once these words have theirs."""
@@ -182,19 +191,9 @@ class Counts:
             if k is None:
                 k = self.ids[w] = len(self.words)
                 self.words.append(w)
-                self.hashes.append(xxhash.xxh64_intdigest(w.encode(), 42))
             out[i] = k
         return out
 
-    def buckets(self, lang: str, ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """Hash buckets of the ``n`` words from each start, the same in all tasks."""
-        hashes = np.array(self.hashes, np.uint64)[ids]
-        code = np.full(len(starts), xxhash.xxh64_intdigest(lang.encode(), n), np.uint64)
-        for j in range(n):
-            code = (code ^ hashes[starts + j]) * _MIX
-            code ^= code >> np.uint64(29)
-        return (code * _MIX >> np.uint64(64 - _BUCKET_BITS)).astype(np.uint32)
-
     def add(self, lang: str, ids: np.ndarray, reach: np.ndarray, least: int, most: int) -> None:
         """Count the phrases of ``ids``; ``reach`` tells how many words from each on may be one phrase."""
         trie = self.tries.setdefault(lang, HatTrie(self.burst))
@@ -320,8 +319,8 @@ class Chains:
         self.buckets = {n: np.frombuffer(b.bytes(), np.uint8) for n, b in ((2, pair_buckets), (3, triple_buckets)) if b}
         self.most, self.most_ids = most, most_ids
 
-    def of(self, batch: pa.RecordBatch, counts: Counts) -> Iterator[tuple[str, np.ndarray, np.ndarray] | None]:
-        """(lang, ids, reach) of rows (lang, text); None where ``counts`` has no ids left and is to be cleared."""
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """(lang, words, codes, hashes, reach) of rows (lang, text): the words in a row, by number, from 1, and by hash."""
         langs = batch.column("lang")
         for lang in pc.unique(langs).to_pylist():
             of_lang = batch.column("text").filter(pc.equal(langs, lang))
@@ -331,37 +330,45 @@ class Chains:
                 often[words.index(_END)] = False
             codes = frequent_words(numbers, words, often)
             for numbers, words, upto in segments(*codes, self.most, self.most_ids):
-                if counts.room(words) < _IDS - self.most_ids:
-                    yield None
-                ids = counts.number(words)[numbers]
-                reach = self.reach(lang, ids, counts)
+                words = ["", *words]
+                hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)[numbers]
+                reach = self.reach(lang, words, numbers, hashes)
                 reach[upto:] = 0
-                yield lang, ids, reach
+                yield lang, words, numbers, hashes, reach
 
-    def reach(self, lang: str, ids: np.ndarray, counts: Counts) -> np.ndarray:
-        near = np.r_[(ids[:-1] > 0) & (ids[1:] > 0), False]
-        self._sift(near, lang, ids, counts, 2)
+    def reach(self, lang: str, words: list[str], codes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many words from each on may be one phrase."""
+        near = np.r_[(codes[:-1] > 0) & (codes[1:] > 0), False]
+        self._sift(near, lang, hashes, 2)
         at = np.flatnonzero(near)
         if self.may_pair is not None and len(at):
-            distinct, back = np.unique(ids[at] << _ID_BITS | ids[at + 1], return_inverse=True)
-            words = counts.words
-            told = self.may_pair(lang, [f"{words[k >> _ID_BITS]} {words[k & _IDS]}" for k in distinct.tolist()])
+            distinct, back = np.unique(codes[at] << 32 | codes[at + 1], return_inverse=True)
+            told = self.may_pair(lang, [f"{words[k >> 32]} {words[k & 0xFFFFFFFF]}" for k in distinct.tolist()])
             near[at] = told[back]
-        reach = np.where(ids > 0, runs_from(near) + 1, 0)
+        reach = np.where(codes > 0, runs_from(near) + 1, 0)
         if 3 in self.buckets:
             three = reach >= 3
-            self._sift(three, lang, ids, counts, 3)
+            self._sift(three, lang, hashes, 3)
             reach = np.where(three, runs_from(three) + 2, np.minimum(reach, 2))
         return reach
 
-    def _sift(self, ok: np.ndarray, lang: str, ids: np.ndarray, counts: Counts, n: int) -> None:
+    def _sift(self, ok: np.ndarray, lang: str, hashes: np.ndarray, n: int) -> None:
         """Only those stay true whose bucket is frequent."""
         if n in self.buckets:
             at = np.flatnonzero(ok)
-            code = counts.buckets(lang, ids, at, n)
+            code = buckets_of(lang, hashes, at, n)
             ok[at] = self.buckets[n][code >> 3] >> (code & 7).astype(np.uint8) & 1
 
 
+def in_phrases(reach: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Which words lie in a phrase of ``least`` words or more."""
+    starts = np.flatnonzero(reach >= least)
+    edges = np.zeros(len(reach) + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + np.minimum(reach[starts], most), -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -384,15 +391,11 @@ def bucket_bitmap(docs: DataFrame, n: int, min_count: int, words: Bits, pair_buc
         return pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(rows, pa.binary())], ["_piece", "held"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains, counts = Chains(words, pair_buckets, pairs, None, n, most_ids), Counts()
+        chains = Chains(words, pair_buckets, pairs, None, n, most_ids)
         codes, size = [], 0
         for batch in slices(batches, "text", _ROWS, _BYTES):
-            for found in chains.of(batch, counts):
-                if found is None:
-                    counts.clear()
-                    continue
-                lang, ids, reach = found
-                codes.append(counts.buckets(lang, ids, np.flatnonzero(reach >= n), n))
+            for lang, _, _, hashes, reach in chains.of(batch):
+                codes.append(buckets_of(lang, hashes, np.flatnonzero(reach >= n), n))
                 size += len(codes[-1])
                 if size > held:
                     yield summed(codes)
@@ -441,12 +444,15 @@ def phrase_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chains, counts = Chains(words, pair_buckets, pairs, triple_buckets, most, most_ids), Counts(capacity, burst)
         for batch in slices(batches, "text", _ROWS, _BYTES):
-            for found in chains.of(batch, counts):
-                if found is None:
+            for lang, known, codes, _, reach in chains.of(batch):
+                # Only words of phrases that are counted need an id.
+                used, back = np.unique(np.where(in_phrases(reach, least, most), codes, 0), return_inverse=True)
+                named = [known[k] for k in used.tolist() if k]
+                if counts.room(named) < _IDS - most_ids:
                     yield from counts.spill(everything=True)
-                else:
-                    counts.add(*found, least, most)
-                    yield from counts.spill()
+                ids = counts.number(named)
+                counts.add(lang, (ids if 0 in used else ids[1:])[back], reach, least, most)
+                yield from counts.spill()
         yield from counts.spill(everything=True)
 
     ship_package(docs.sparkSession)
