@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # 4096 pieces of 32768 bits: 16 MB whatever the data.
 PIECES, BITS = 4096, 32768
+# Bytes that a row is joined with.
+_PART = 64
 
 
 def place(keys: Sequence[str]) -> Column:
@@ -28,10 +30,15 @@ def bitmap(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def marked(rows: DataFrame, keys: Sequence[str], bits: DataFrame) -> DataFrame:
     """``rows`` with ``_maybe``: true for all rows whose keys the bitmap was made of, and for some others."""
-    placed = rows.withColumn("_p", place(keys)).withColumn("_piece", F.expr(f"_p div {BITS}"))
-    octet = F.expr(f"int(conv(hex(substring(_map, int(_p % {BITS} div 8) + 1, 1)), 16, 10))")
+    # A row is joined with the few bytes around its bit, not with a whole piece; bytes without any bit need not be there.
+    parts = bits.select("_piece", "_map", F.explode(F.expr(f"sequence(0, {BITS // 8 // _PART - 1})")).alias("_n"))
+    parts = parts.select(
+        F.expr(f"_piece * {BITS // 8 // _PART} + _n").alias("_part"), F.expr(f"substring(_map, _n * {_PART} + 1, {_PART})").alias("_map")
+    ).where(F.col("_map") != F.lit(bytes(_PART)))
+    placed = rows.withColumn("_p", place(keys)).withColumn("_part", F.expr(f"_p div {8 * _PART}"))
+    octet = F.expr(f"int(conv(hex(substring(_map, int(_p % {8 * _PART} div 8) + 1, 1)), 16, 10))")
     bit = F.coalesce(F.expr("shiftright(_octet, int(_p % 8)) & 1") == 1, F.lit(False))
-    found = placed.join(F.broadcast(bits), "_piece", "left").withColumn("_octet", octet)
+    found = placed.join(F.broadcast(parts), "_part", "left").withColumn("_octet", octet)
     return found.select(*rows.columns, bit.alias("_maybe"))
 
 
