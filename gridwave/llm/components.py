@@ -75,8 +75,10 @@ def bucket_components(buckets: DataFrame, similar: Callable[[DataFrame], DataFra
     return components(first.unionByName(second))
 
 
-# Rounds of heads after the first, and pairs that one task makes of a bucket.
+# Rounds of heads after the first, at most, and pairs that one task makes of a bucket.
 ROUNDS, TASK_PAIRS = 3, 100_000
+# There is another round only if the one before compared at least one in so many members.
+WORTH = 50
 
 
 def linked_components(members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -85,7 +87,8 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
     ``near`` is SQL that tells from the signatures ``x`` and ``y`` whether two ids may be linked;
     ``measure`` takes distinct pairs (a, b) and returns (a, b, j), their Jaccard similarities; links
     have at least ``similarity``. Not all pairs of a bucket are formed. Its members meet its head,
-    the smallest id, then in ROUNDS more the smallest id outside the components of earlier heads.
+    the smallest id, then in ROUNDS more the smallest id outside the components of earlier heads,
+    until a round has next to nothing left to compare.
     Then those outside the first head's component meet the others that they are not joined
     with, unless a head tells the two apart: one less the similarity is a distance, so two that
     differ by more than a link allows in their distance from a head are no link. No link among
@@ -118,6 +121,8 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
         found = keep(components(links))
         state = _told(_open(state, found), told)
         members = keep_table(state.select("key", "id", "sig", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
+        if told.count() * WORTH < members.count():
+            break
     placed = keep_table(_placed(members, found))
     lead = placed.groupBy("key").agg(F.min_by("component", "id").alias("_c"))
     placed = placed.join(lead, "key").where("NOT is_head").withColumn("_r", F.col("component") != F.col("_c"))

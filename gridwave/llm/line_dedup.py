@@ -5,7 +5,9 @@ its shingles of ``SHINGLE`` characters; its signature holds the smallest shingle
 each of ``HASHES`` orders. Bands of ``ROWS`` values find candidates. Bands share values:
 they are the blocks of BANDS / 4 ways to cut the signature into four, which finds 93 % of
 the pairs of similarity 0.8, 98 % of 0.85 and 99.6 % of 0.9 from few hashes and few
-accidental buckets. Candidates that agree in more than half of their signatures are
+accidental buckets. Candidates are sifted by odd sketches (which of 1024 bits an odd number
+of shingles fall on): two sketches differ in no more bits than the sets have shingles apart,
+so a pair that differs in more than a link allows is none, and no link is lost. The others are
 verified by the exact Jaccard similarity of their shingles and joined by distributed
 union-find.
 
@@ -34,15 +36,13 @@ SHINGLE = 4
 SIMILARITY = 0.8
 HASHES, BANDS = 24, 16
 ROWS = HASHES // 4
-# Two lines of similarity 0.8 agree in fewer orders than these with a probability of 0.06 %.
-AGREE = 13
+# Numbers of 64 bits in an odd sketch.
+ODD = 16
 STEP = 4
 
 _TURNS, _SEED = 3, 9
 # Stands for a null id, so that rows without id keep a place of their own.
 _NO_ID = -(1 << 63)
-# Whether two signatures agree enough for their lines to be compared.
-_NEAR = f"aggregate(zip_with({{x}}, {{y}}, (p, q) -> int(p = q)), 0, (n, v) -> n + v) >= {AGREE}"
 _PLACE = ["doc", "row", "line_no"]
 
 
@@ -119,6 +119,25 @@ def shingles(line: str, shingle: int = SHINGLE) -> str:
     return f"transform(array(encode({line}, 'UTF-32')), c -> array_distinct({hashes}))[0]"
 
 
+def sketches(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, sig) of rows (id, line): the number of distinct shingles ``n`` and their odd sketch ``odd``."""
+    sets = texts.select("id", F.explode(F.expr(shingles("line", shingle))).alias("_h"))
+    rows = sets.select("id", F.expr("shiftleft(1L, int(_h & 63))").alias("_bit"), F.expr(f"shiftright(_h, 6) & {ODD - 1}").alias("_at"))
+    odd = [F.bit_xor(F.when(F.col("_at") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"o{k}") for k in range(ODD)]
+    made = rows.groupBy("id").agg(F.count("*").alias("n"), *odd)
+    return made.select("id", F.struct("n", F.array(*[f"o{k}" for k in range(ODD)]).alias("odd")).alias("sig"))
+
+
+def may_link(similarity: float) -> str:
+    """SQL whether lines of the sketches ``{x}`` and ``{y}`` may have the similarity: false only for pairs that have not.
+
+    Of sets with n and m elements that differ in d, the similarity is (n + m - d) / (n + m + d),
+    and the sketches differ in d bits at most.
+    """
+    bits = " + ".join(f"bit_count({{x}}.odd[{k}] ^ {{y}}.odd[{k}])" for k in range(ODD))
+    return f"{bits} <= ({{x}}.n + {{y}}.n) * {(1 - similarity) / (1 + similarity)!r}D + 1e-6D"
+
+
 def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(a, b, j): the Jaccard similarity of the lines in ``texts`` (id, line) of pairs (a, b) of ids."""
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("_a")), "a")
@@ -146,9 +165,8 @@ def signed_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def candidates(first: DataFrame) -> DataFrame:
-    """(key, id, sig) of the buckets of two lines or more; of each value of a signature seven bits are left."""
-    short = F.array(*[F.expr(f"tinyint(sig[{i}] & 127)") for i in range(HASHES)]).alias("sig")
-    entries = first.where("sig IS NOT NULL").select(F.explode(band_keys("sig")).alias("key"), "id", short)
+    """(key, id) of the buckets of two lines or more."""
+    entries = first.where("sig IS NOT NULL").select(F.explode(band_keys("sig")).alias("key"), "id")
     buckets = entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     crowded = keep_table(buckets.where("a <> b").select("key"))
     return likely(entries, ["key"], crowded).join(crowded, "key")
@@ -184,7 +202,8 @@ def _decided(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     texts = likely(lines(docs).where(_judges()), _PLACE, wanted).select(*_PLACE, "line", *_named())
     # Rows that are equal in id and text give a line twice.
     texts = keep_table(texts.join(wanted, [*_PLACE, "h", "g"]).groupBy("id").agg(F.min("line").alias("line")))
-    linked = keep(linked_components(members, _NEAR, lambda pairs: jaccard(pairs, texts, shingle), similarity))
+    sketched = keep_table(members.join(sketches(texts, shingle), "id").select("key", "id", "sig"))
+    linked = keep(linked_components(sketched, may_link(similarity), lambda pairs: jaccard(pairs, texts, shingle), similarity))
     # Lines that are neither copied nor linked stand for themselves and need not move.
     shared = marked(first.select("id", "h", "g", *_PLACE, "copies"), ["id"], bitmap(linked, ["id"])).where("_maybe OR copies > 1").drop("_maybe")
     named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
