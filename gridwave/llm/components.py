@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from gridwave.llm.common import keep, keep_table
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, write: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b); the component is its smallest id.
 
     Distributed union-find by stars: each round every id points its larger neighbours,
     then its smaller ones, to the smallest id it knows, until all links lead to the
     smallest id of their component; the number of rounds grows with the logarithm of the
     longest chain. Minima are taken by partial aggregates, so an id with very many links
-    is no hot group, and joins on it can be split. Rounds are written to the shared folder.
+    is no hot group, and joins on it can be split. Rounds are written to the shared folder by ``write``.
     """
     a, b = F.col("a"), F.col("b")
-    stars = keep(
+    stars = write(
         links.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     )
     mark = _mark(stars)
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        stars = keep(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        stars = write(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         if mark == (mark := _mark(stars)):
             break
     return stars.select(a.alias("id"), b.alias("component")).unionByName(
@@ -98,27 +98,27 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
     first = members.groupBy("key").agg(F.min_by(F.struct("id", "sig"), "id").alias("h"))
     state = members.join(first.select("key", F.col("h.id").alias("head"), F.col("h.sig").alias("y")), "key")
     state = state.withColumn("meets", (F.col("id") != F.col("head")) & F.expr(near.format(x="sig", y="y"))).drop("y")
-    told = keep(measure(_met(state)))
+    told = keep_table(measure(_met(state)))
     enough = F.col("j") >= similarity
     links = told.where(enough).select("a", "b")
-    found = keep(components(links))
+    found = keep_table(components(links, keep_table))
     state = _told(_open(state, found), told)
     members = keep_table(state.select("key", "id", "sig", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
     for _ in range(ROUNDS):
         placed = _placed(members, found)
         lead = placed.where("is_head").select(F.col("key").alias("_k"), F.col("component").alias("_c")).distinct()
         rest = placed.join(lead, (F.col("key") == F.col("_k")) & (F.col("component") == F.col("_c")), "left_anti")
-        heads = keep(rest.groupBy("key").agg(F.min_by(F.struct("id", "component", "sig"), "id").alias("h")))
+        heads = keep_table(rest.groupBy("key").agg(F.min_by(F.struct("id", "component", "sig"), "id").alias("h")))
         if heads.isEmpty():
             break
         heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("_hc"), F.col("h.sig").alias("y"))
         state = _placed(members, found).join(heads, "key", "left")
         meets = F.expr(f"NOT is_head AND id <> head AND component <> _hc AND {near.format(x='sig', y='y')}")
         state = keep_table(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("y", "_hc", "component"))
-        told = keep(measure(_met(state)))
+        told = keep_table(measure(_met(state)))
         is_head = F.col("is_head") | F.coalesce(F.col("id") == F.col("head"), F.lit(False))
         links = links.unionByName(told.where(enough).select("a", "b"))
-        found = keep(components(links))
+        found = keep_table(components(links, keep_table))
         state = _told(_open(state, found), told)
         members = keep_table(state.select("key", "id", "sig", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
         if told.count() * WORTH < members.count():
@@ -130,14 +130,14 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
     right = placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), "_r", F.col("sig").alias("y"))
     sizes = placed.groupBy("key").agg(F.count("*").alias("_m"), F.count_if("_r").alias("_n")).where("_n > 0")
     lanes = F.least(F.ceil(F.col("_n") * F.col("_m") / TASK_PAIRS), F.col("_n")).cast("int").alias("lanes")
-    sizes = keep(sizes.select("key", lanes))
+    sizes = keep_table(sizes.select("key", lanes))
     left = left.join(sizes, "key").withColumn("lane", F.pmod(F.xxhash64("a"), F.col("lanes").cast("long")).cast("int"))
     right = right.join(sizes, "key").withColumn("lane", F.explode(F.expr("sequence(0, lanes - 1)"))).drop("lanes")
     apart = f"exists(zip_with(da, db, (p, q) -> coalesce(abs(p - q) > {1 - similarity + 1e-9!r}D, false)), v -> v)"
     met = left.join(right, ["key", "lane"]).where("ca <> cb AND (NOT _r OR a < b)").where(near.format(x="x", y="y")).where(f"NOT {apart}")
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = keep(measure(met.distinct()).where(enough).select("a", "b"))
-    return found if new.isEmpty() else components(links.unionByName(new))
+    new = keep_table(measure(met.distinct()).where(enough).select("a", "b"))
+    return found if new.isEmpty() else components(links.unionByName(new), keep_table)
 
 
 def _met(state: DataFrame) -> DataFrame:

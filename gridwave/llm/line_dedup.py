@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwave.llm.bitmaps import bitmap, likely, marked
-from gridwave.llm.common import keep, keep_table, mixers, turned
+from gridwave.llm.common import keep_table, mixers, turned
 from gridwave.llm.components import linked_components
 
 # One changed character spoils 4 shingles, so lines from 39 characters bear it.
@@ -198,17 +198,17 @@ def _decided(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     members = keep_table(candidates(first))
     # Texts of candidates alone, found by a bitmap of fixed size before they move.
     ids = members.select("id").distinct()
-    wanted = keep(likely(first, ["id"], ids).join(ids, "id").select("id", "h", "g", *_PLACE))
+    wanted = keep_table(likely(first, ["id"], ids).join(ids, "id").select("id", "h", "g", *_PLACE))
     texts = likely(lines(docs).where(_judges()), _PLACE, wanted).select(*_PLACE, "line", *_named())
     # Rows that are equal in id and text give a line twice.
     texts = keep_table(texts.join(wanted, [*_PLACE, "h", "g"]).groupBy("id").agg(F.min("line").alias("line")))
     sketched = keep_table(members.join(sketches(texts, shingle), "id").select("key", "id", "sig"))
-    linked = keep(linked_components(sketched, may_link(similarity), lambda pairs: jaccard(pairs, texts, shingle), similarity))
+    linked = keep_table(linked_components(sketched, may_link(similarity), lambda pairs: jaccard(pairs, texts, shingle), similarity))
     # Lines that are neither copied nor linked stand for themselves and need not move.
     shared = marked(first.select("id", "h", "g", *_PLACE, "copies"), ["id"], bitmap(linked, ["id"])).where("_maybe OR copies > 1").drop("_maybe")
     named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = named.groupBy("component").agg(F.min(F.struct(*_PLACE)).alias("head"))
-    named = keep(named.join(heads, "component").select("h", "g", "head"))
+    named = keep_table(named.join(heads, "component").select("h", "g", "head"))
     every = lines(docs).select(*_PLACE, *_named(), _judges().alias("judged"))
     every = marked(every, ["h", "g"], bitmap(named, ["h", "g"])).withColumn("_maybe", F.expr("judged AND _maybe"))
     own = F.struct(*_PLACE)
