@@ -256,3 +256,23 @@ def test_links_across_heads(spark):
         links = [(i, j) for i in ids for j in ids if j < i and 1 - abs(points[i] - points[j]) >= 1 - near]
         want = groups(len(ids), links)
         assert [got.get(k, k) for k in ids] == want
+
+
+def test_sketches_lose_no_link(spark):
+    """Sketches count distinct shingles, pass every pair of similarity 0.8 and tell most pairs far below it apart."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdef", k=draw.randrange(2, 7)))
+    rows = [(0, "abcd"), (1, "aaaaaaaaaa"), (2, "aaaaaaaaaaaa")]
+    for k in range(12):
+        base = [word() for _ in range(8 * (k + 1))]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(word() if draw.random() < 0.07 else w for w in base)))
+    made = line_dedup.sketches(spark.createDataFrame(rows, "id long, line string"))
+    x, y = made.select(F.col("id").alias("a"), F.col("sig").alias("x")), made.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    told = x.join(y, F.expr("a < b")).select("a", "b", F.col("x.n").alias("n"), F.expr(line_dedup.may_link(0.8).format(x="x", y="y")).alias("may"))
+    sets = {i: {t[k : k + 4] for k in range(len(t) - 3)} for i, t in rows}
+    seen = [(len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]), r.n == len(sets[r.a]), r.may) for r in told.collect()]
+    assert len(seen) == len(rows) * (len(rows) - 1) // 2 and all(same for _, same, _ in seen)
+    assert all(may for j, _, may in seen if j >= 0.8) and sum(j >= 0.8 for j, _, _ in seen) > 10
+    far = [may for j, _, may in seen if j < 0.7]
+    assert sum(far) < 0.02 * len(far)
