@@ -10,10 +10,15 @@ Why this is exact: where a pre-token ends depends on what it has read, at most o
 character beyond the one after it, so leaves that end two characters before the edit
 stand; and cutting goes from left to right without looking back, so from a common
 boundary on equal texts are cut alike. Pre-tokens are encoded one by one.
+
+``plant`` writes the leaves of each document's tree into a column, and ``revise`` takes
+them from there and returns them edited, so a later round of edits neither cuts nor
+encodes what earlier rounds have left alone. ``count`` does both in one pass.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -55,6 +60,7 @@ class TokenTree:
     def __init__(self, words: list[str], sizes: list[int], counter: Counter):
         self.counter = counter
         self.leaves: list[list[str]] = [[w] for w in words] or [[]]
+        self.parts: list[list[int]] = [[n] for n in sizes] or [[]]
         n = 1 << max(0, (len(self.leaves) - 1).bit_length())
         self.first = n
         sums = np.zeros((2 * n, 2), np.int64)
@@ -79,6 +85,15 @@ class TokenTree:
     def text(self) -> str:
         return "".join(w for leaf in self.leaves for w in leaf)
 
+    def stored(self) -> dict:
+        """What ``kept_tree`` makes the tree of again: lengths and tokens of all pre-tokens, and a checksum of their text."""
+        text = self.text()
+        return {
+            "chars": [len(w) for leaf in self.leaves for w in leaf],
+            "tokens": [n for part in self.parts for n in part],
+            "crc": zlib.crc32(text.encode()),
+        }
+
     def find(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at ``place``, and where that leaf starts; the last leaf at the end."""
         node, start = 1, 0
@@ -140,12 +155,13 @@ class TokenTree:
     def _put(self, first: int, last: int, words: list[str]) -> None:
         fresh = self.counter.learn([words])
         known = self.counter.known
-        tokens = sum(fresh[w] if w in fresh else known[w] for w in words)
+        sizes = [fresh[w] if w in fresh else known[w] for w in words]
+        tokens = sum(sizes)
         self.recoded += len(words)
-        self.leaves[first] = words
+        self.leaves[first], self.parts[first] = words, sizes
         self.sums[self.first + first] = sum(map(len, words)), tokens
         for k in range(first + 1, last):
-            self.leaves[k] = []
+            self.leaves[k], self.parts[k] = [], []
         self.sums[self.first + first + 1 : self.first + max(last, first + 1)] = 0
         low, high = self.first + first, self.first + max(last, first + 1) - 1
         while low > 1:
@@ -153,6 +169,17 @@ class TokenTree:
             self.sums[low : high + 1] = self.sums[2 * low : 2 * high + 2].reshape(-1, 2, 2).sum(axis=1)
 
 
+def kept_tree(text: str, kept: dict | None, held: Counter) -> TokenTree | None:
+    """The tree of ``text`` from what ``stored`` gave; None if that is missing or of another text."""
+    if not kept or kept["chars"] is None or kept["tokens"] is None or kept["crc"] != zlib.crc32(text.encode()):
+        return None
+    ends = np.cumsum([0, *kept["chars"]])
+    if ends[-1] != len(text) or len(kept["chars"]) != len(kept["tokens"]):
+        return None
+    ends = ends.tolist()
+    return TokenTree([text[a:b] for a, b in zip(ends, ends[1:])], kept["tokens"], held)
+
+
 @lru_cache(maxsize=2)
 def counter(ranks: Ranks) -> Counter:
     """One for all tasks of a Python worker."""
@@ -189,3 +216,68 @@ def count(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str = "edits
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], [*names, *added])
 
     return map_arrow(docs, text, kinds, run)
+
+
+_TREE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("crc", pa.int64())])
+_TREE_SQL = "struct<chars: array<int>, tokens: array<int>, crc: bigint>"
+
+
+def plant(docs: DataFrame, ranks: Ranks, text: str = "text", tree: str = "tree") -> DataFrame:
+    """``docs`` with n_tokens and the leaves of each document's tree, two numbers for a pre-token.
+
+    A null text counts as empty and stays null. Columns named n_tokens or like ``tree`` are replaced;
+    rows stay where they are, repeated rows too.
+    """
+    docs = docs.drop("n_tokens", tree)
+    fields = [f.name for f in docs.schema.fields]
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "n_tokens bigint", f"`{tree}` {_TREE_SQL}"])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grown = _grown([t or "" for t in batch.column(text).to_pylist()], counter(ranks))
+        added = [pa.array([t.tokens for t in grown], pa.int64()), pa.array([t.stored() for t in grown], _TREE)]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in fields), *added], [*fields, "n_tokens", tree])
+
+    return map_arrow(docs, text, kinds, run)
+
+
+def _grown(texts: list[str], held: Counter) -> list[TokenTree]:
+    cut = [held.pattern.findall(t) for t in texts]
+    fresh, known = held.learn(cut), held.known
+    return [TokenTree(words, [known[w] if w in known else fresh[w] for w in words], held) for words in cut]
+
+
+def revise(docs: DataFrame, ranks: Ranks, text: str = "text", edits: str = "edits", tree: str = "tree") -> DataFrame:
+    """The edited documents: their new text and tree, n_tokens, n_tokens_edited and n_recoded.
+
+    ``edits`` is as in ``count`` and goes; ``tree`` is what ``plant`` or an earlier call returned
+    for this text. Only pre-tokens that the edits touch are cut and encoded, and n_recoded counts
+    them. A tree that is null or of another text (told by checksum and length) is grown anew, and
+    then all its pre-tokens count. A null text counts as empty, and stays null without edits.
+    """
+    added = ("n_tokens", "n_tokens_edited", "n_recoded")
+    docs = docs.drop(*added)
+    fields = [f for f in docs.schema.fields if f.name not in (text, edits, tree)]
+    names = [f.name for f in fields]
+    kinds = ", ".join([
+        *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{text}` string", f"`{tree}` {_TREE_SQL}", *(f"{n} bigint" for n in added),
+    ])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = counter(ranks)
+        texts = batch.column(text).to_pylist()
+        trees = [kept_tree(t or "", k, held) for t, k in zip(texts, batch.column(tree).to_pylist())]
+        lost = [i for i, t in enumerate(trees) if t is None]
+        for i, grown in zip(lost, _grown([texts[i] or "" for i in lost], held)):
+            grown.recoded = sum(map(len, grown.leaves))
+            trees[i] = grown
+        out = []
+        for old, t, changes in zip(texts, trees, batch.column(edits).to_pylist()):
+            before = t.tokens
+            for e in changes or ():
+                if e is not None:
+                    t.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
+            out.append((None if old is None and not t.chars else t.text(), t.stored(), before, t.tokens, t.recoded))
+        kept = zip(zip(*out), (pa.string(), _TREE, pa.int64(), pa.int64(), pa.int64()))
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, k) for c, k in kept)], [*names, text, tree, *added])
+
+    return map_arrow(docs, text, kinds, run)

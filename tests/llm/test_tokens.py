@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridwave.llm import bpe, token_counts
 from gridwave.llm.queries import VOCABULARY, op4_byte_bpe, op8_token_counts
@@ -123,6 +124,52 @@ def test_count_table(spark):
     assert token_counts.count(docs.limit(0), VOCABULARY).count() == 0
 
 
+@given(text=TEXTS, rounds=st.lists(st.lists(st.tuples(st.integers(0, 70), st.integers(0, 30), st.text(LETTERS, max_size=12)), max_size=3), max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_kept_trees_are_as_if_never_put_away(peer, text, rounds):
+    held = token_counts.counter(VOCABULARY)
+    kept = token_counts._grown([text], held)[0].stored()
+    for edits in rounds:
+        tree = token_counts.kept_tree(text, kept, held)
+        for start, length, new in edits:
+            tree.edit(start, length, new)
+            start = min(start, len(text))
+            text = text[:start] + new + text[start + length :]
+        assert (tree.text(), tree.tokens) == (text, len(peer.encode_ordinary(text)))
+        kept = tree.stored()
+        assert kept == token_counts._grown([text], held)[0].stored()
+
+
+def test_revise_recodes_what_edits_touch(spark, peer):
+    size = lambda t: len(peer.encode_ordinary(t))
+    long = "some words of a long text, 12 of them. " * 500
+    docs = spark.createDataFrame([(1, long, "x"), (2, None, "y"), (3, "", "z"), (4, "same", "v"), (4, "same", "v")], "doc_id long, text string, tree string")
+    planted = token_counts.plant(docs, VOCABULARY)
+    assert sorted((r.doc_id, r.n_tokens) for r in planted.collect()) == [(1, size(long)), (2, 0), (3, 0), (4, size("same")), (4, size("same"))]
+    kind = "array<struct<start: long, length: long, replacement: string>>"
+
+    def edit(doc, changes):
+        rows = spark.createDataFrame([(1, changes), (4, [(None, 1, None), None])], f"e_id long, edits {kind}")
+        return doc.join(rows, doc.doc_id == rows.e_id, "left").drop("e_id")
+
+    once = token_counts.revise(edit(planted, [(9000, 5, " new"), (10, 0, "!")]), VOCABULARY)
+    text = long[:9000] + " new" + long[9005:]
+    text = text[:10] + "!" + text[10:]
+    got = {r.doc_id: r for r in once.collect()}
+    assert (got[1].text, got[1].n_tokens, got[1].n_tokens_edited) == (text, size(long), size(text)) and 0 < got[1].n_recoded < 20
+    assert (got[2].text, got[2].n_tokens_edited, got[2].n_recoded) == (None, 0, 0) and got[3].text == "" and got[4].text == "ame"
+    twice = token_counts.revise(edit(once, [(len(text), 0, " end")]), VOCABULARY)
+    got = {r.doc_id: r for r in twice.collect()}
+    assert (got[1].text, got[1].n_tokens, got[1].n_tokens_edited) == (text + " end", size(text), size(text + " end")) and 0 < got[1].n_recoded < 10
+    # A tree of another text, or none, is grown anew.
+    for wrong in (F.lit("other"), F.concat("text", F.lit("s"))):
+        stale = token_counts.revise(planted.where("doc_id = 4").withColumns({"text": wrong, "edits": F.lit(None).cast(kind)}), VOCABULARY).first()
+        assert (stale.n_tokens, stale.n_recoded) == (size(stale.text), 1)
+    none = planted.withColumns({"tree": F.lit(None).cast(token_counts._TREE_SQL), "edits": F.lit(None).cast(kind)})
+    assert sorted(r.n_tokens for r in token_counts.revise(none, VOCABULARY).collect()) == sorted([size(long), 0, 0, size("same"), size("same")])
+    assert token_counts.revise(none.limit(0), VOCABULARY).count() == 0
+
+
 def test_op8(spark, folder, peer):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = op8_token_counts(spark, folder).collect()
