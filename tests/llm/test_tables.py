@@ -97,13 +97,55 @@ def test_op2(spark, folder):
 
 def test_fingerprints_of_odd_rows(spark, edges):
     got = fingerprints.fingerprint(edges).collect()
-    assert len(got) == 6  # equal rows are one
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _, _ in EDGES)
     check_fingerprints(got, {i: t or "" for i, t, _ in EDGES})
     assert fingerprints.fingerprint(edges.limit(0)).count() == 0
     alone = fingerprints.fingerprint(spark.createDataFrame([(9, "a b c d")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
 
 
+def digests(spark, texts):
+    """The digest of every paragraph of the texts."""
+    found = sorted(set().union(*map(plain_paragraphs, texts)))
+    rows = spark.createDataFrame([(x,) for x in found], "p string").select("p", F.xxhash64("p").alias("d")).collect()
+    return {r.p: r.d for r in rows}
+
+
+def test_differing_digests_come_back(spark):
+    base = "\n".join(f"line {k} of a text with a few words" for k in range(60))
+    lines = base.split("\n")
+    versions = {
+        1: (base, base), 2: (base, base.replace("line 7 of", "row 7 of")), 3: (base, "\n".join(lines[:20] + ["all else is new"] + lines[40:])),
+        4: ("", base), 5: ("", ""), 6: ("a b", "c d"), 7: (base, "\n".join(lines[2:])), 8: (None, "a b"), 9: (base + "\n" + lines[0], base),
+    }
+    rows = [(k, a, b) for k, (a, b) in versions.items()]
+    pairs = spark.createDataFrame(rows + rows[:1], "k long, one string, other string")
+    prints = [fingerprints.sketch_text(fingerprints.paragraphs(f"coalesce({c}, '')")).alias(f"{c}_print") for c in ("one", "other")]
+    got = {r.k: r for r in fingerprints.differing(pairs.select("*", *prints), ["k"]).collect()}
+    names = digests(spark, [t or "" for p in versions.values() for t in p])
+    assert len(got) == len(versions)
+    for k, (a, b) in versions.items():
+        a, b = ({names[p] for p in plain_paragraphs(t or "")} for t in (a, b))
+        assert (got[k].gone, got[k].come) == (sorted(a - b), sorted(b - a)), k
+    assert all(got[k].stored for k in (1, 2, 5, 6, 7, 8, 9)) and not got[4].stored
+    bare = pairs.withColumns({"one_print": F.lit(None).cast("string"), "other_print": F.lit(None).cast("string")})
+    other = {r.k: r for r in fingerprints.differing(bare, ["k"]).collect()}
+    assert all((other[k].gone, other[k].come, other[k].stored) == (r.gone, r.come, False) for k, r in got.items())
+    assert fingerprints.differing(bare.limit(0), ["k"]).count() == 0
+
+
+def test_small_sketches_give_no_wrong_digests(spark):
+    rows = [(k, list(range(k * 1000, k * 1000 + 60)), list(range(k * 1000 + 5, k * 1000 + 90))) for k in range(20)]
+    pairs = spark.createDataFrame(rows, "k long, one array<long>, other array<long>").repartition("k")
+    want = {k: (sorted(set(a) - set(b)), sorted(set(b) - set(a))) for k, a, b in rows}
+    small = fingerprints.recover(pairs, ["k"], 0.05).collect()
+    assert any(r.gone is None for r in small)
+    large = fingerprints.recover(pairs, ["k"], 2.0).collect()
+    assert all(r.gone is None or (r.gone, r.come) == want[r.k] for r in small + large)
+    # Two digests may share all their cells at one size, which a larger one tells apart.
+    assert sum(r.gone is not None for r in large) >= 18
+
+
 def test_small_sketches_are_tried_again(spark):
     rows = [(k, list(range(k * 1000, k * 1000 + 60)), list(range(k * 1000 + 5, k * 1000 + 90))) for k in range(20)]
     pairs = spark.createDataFrame(rows, "k long, one array<long>, other array<long>")
