@@ -17,6 +17,7 @@ from gridwave.sources import grids
 from gridwave.sources.coins import fourier, grover, hadamard
 from gridwave.sources.grids import Grid
 from gridwave.sources.states import State, decode, encode, initial_state, join_particles
+from gridwave.workload import all_queries
 
 HALF = 1 / math.sqrt(2)
 ZERO, BALANCED = [(0, 1.0, 0.0)], [(0, HALF, 0.0), (1, 0.0, HALF)]
@@ -303,3 +304,46 @@ def test_partitions_grow_with_the_walks(spark, monkeypatch):
     monkeypatch.setattr(wk, "spread", lambda s, t, n, p: tiled.append(p) or spread(s, t, n, p))
     wk.walk(state, Rules((hadamard(1),)), 3)
     assert tiled == [28]
+
+
+@pytest.mark.parametrize("order", ORDERS)
+@pytest.mark.parametrize("kind, shape", [("line", (5,)), ("segment", (6,)), ("natural_torus", (4, 3)), ("diagonal_box", (3, 4))])
+def test_applied_operators_equal_their_tables(spark, order, kind, shape):
+    """Also on cells that are zero or null, and on rows that no column meets."""
+    grid = Grid(kind, shape)
+    coin = fourier(grid.ndim)
+    n = grid.coins * grid.sites
+
+    def vector(size):
+        df = spark.range(size + 2).selectExpr(
+            "nullif(id - 1, 1L) AS row", "0L AS col", "nullif(double(id % 4), 3D) AS re", "if(id % 4 = 0, 0D, double(id % 5)) AS im"
+        )
+        return mx.MatrixTable(df, (size, 1), "complex")
+
+    def cells(m):
+        return {(r["row"], r["col"]): (round(r["re"], 9), round(r["im"], 9)) for r in m.df.collect() if r["re"] is not None}
+
+    v = vector(n)
+    assert cells(ot.apply_coin(v, coin, grid, order)) == cells(mx.matvec(ot.coin_operator(spark, coin, grid, order), v))
+    assert cells(ot.apply_evolution(v, coin, grid, order)) == cells(mx.matvec(ot.evolution_operator(spark, coin, grid, order=order), v))
+    v = vector(n * n)
+    assert cells(ot.apply_interaction(v, grid, 2, SIGN, order)) == cells(mx.matvec(ot.interaction_operator(spark, grid, 2, SIGN, order), v))
+
+
+def test_operators_applied_on_a_huge_grid(spark):
+    """No table of the grid's size is made: these have 4 * 10**12 states, or 10**18 pairs of them."""
+    plane, ring = Grid("diagonal_torus", (10**6, 10**6)), Grid("cycle", (5 * 10**8,))
+
+    def vector(size):
+        return mx.MatrixTable(spark.sql("SELECT 7L AS row, 0L AS col, 2D AS re, 0D AS im"), (size, 1), "complex")
+
+    for applied in (ot.apply_coin, ot.apply_evolution):
+        assert applied(vector(4 * 10**12), hadamard(2), plane).df.selectExpr("count(*)", "round(sum(re * re), 9)").first() == (4, 4.0)
+    assert ot.apply_interaction(vector(10**18), ring, 2, SIGN).df.first()[:3] == (7, 0, 2.0)
+
+
+def test_queries_make_no_table_of_the_grid(spark, folder):
+    """The operators' columns come from the facts, not from a range over all states."""
+    for name in ("w_evolution_operator",):
+        plan = all_queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range (" not in plan, name
