@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridwave.functions.complexnum import abs_squared, product, scaled_terms, total
 from gridwave.functions.indexing import div
 from gridwave.functions.ranges import repeat_over_range
-from gridwave.operators.skew import PIECE_PAIRS, split_join
+from gridwave.operators.skew import PIECE_PAIRS, count_pairs, split_join
 from gridwave.operators.tiled import cells_of, tiles
 
 ROUND_DIGITS = 10
@@ -25,6 +25,9 @@ BROADCAST_CELLS = 100_000
 PAIRS_PER_TASK = 100_000_000
 # Dense results up to this many cells may be brought to the driver on request.
 MAX_LOCAL_CELLS = 1_000_000
+# Products that one task sums, and that one task forms, where a result is large and sparse.
+SUMMED_PER_TASK = 2_000_000
+FORMED_PER_TASK = 8_000_000
 
 _ORDER = {"int": 0, "float": 1, "complex": 2}
 _SQL_TYPE = {"int": "long", "float": "double"}
@@ -303,7 +306,9 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split
 
     Inner keys that make many pairs are cut into pieces (see ``skew``); pass ``split_hot=False``
     where each inner key is known to be rare on one side. Products are partially summed before
-    the shuffle by (row, col).
+    the shuffle by (row, col), unless they are fewer than the cells of the shape and too many for
+    the usual partitions: then hardly any two in a task share a cell, and a table of partial sums
+    would only fill its memory. They are counted first, and cut into tasks by their number.
     """
     if a.shape[1] != b.shape[0]:
         raise ValueError(f"incompatible shapes {a.shape} and {b.shape}")
@@ -313,24 +318,20 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split
     left = a.df.where(_nonzero(a.values)).select("row", F.col("col").alias("_k"), *[F.col(c).alias(f"a_{c}") for c in a.values])
     right = b.df.where(_nonzero(b.values)).select(F.col("row").alias("_k"), "col", *[F.col(c).alias(f"b_{c}") for c in b.values])
     if split_hot:
-        pairs = split_join(
-            left,
-            right,
-            "_k",
-            _nonzero([f"a_{c}" for c in a.values]),
-            _nonzero([f"b_{c}" for c in b.values]),
-            ["row"],
-            ["col"],
-            piece_pairs,
-        )
+        counted = _nonzero([f"a_{c}" for c in a.values]), _nonzero([f"b_{c}" for c in b.values])
+        usual = SUMMED_PER_TASK * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = a.shape[0] * b.shape[1]
+        made = count_pairs(left, right, "_k", *counted) if cells > usual else 0
+        spread = usual < made < cells
+        forming = -(-made // FORMED_PER_TASK) if spread else None
+        pairs = split_join(left, right, "_k", *counted, ["row"], ["col"], piece_pairs, forming)
     else:
-        pairs = left.join(right, "_k")
-    if dtype == "complex":
-        re, im = product(_pair(a, "a_"), _pair(b, "b_"))
-        sums = [F.sum(re).alias("re"), F.sum(im).alias("im")]
-    else:
-        sums = [F.sum(F.col("a_v") * F.col("b_v")).alias("v")]
-    cells = pairs.groupBy("row", "col").agg(*sums).where(_nonzero(a.values))
+        spread, pairs = False, left.join(right, "_k")
+    made_of = product(_pair(a, "a_"), _pair(b, "b_")) if dtype == "complex" else [F.col("a_v") * F.col("b_v")]
+    products = pairs.select("row", "col", *[p.alias(c) for p, c in zip(made_of, a.values)])
+    if spread:
+        products = products.repartition(-(-made // SUMMED_PER_TASK), "row", "col")
+    cells = products.groupBy("row", "col").agg(*[F.sum(c).alias(c) for c in a.values]).where(_nonzero(a.values))
     return MatrixTable(cells, (a.shape[0], b.shape[1]), dtype)
 
 

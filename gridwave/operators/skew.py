@@ -21,6 +21,22 @@ MAX_HOT_KEYS = 100_000
 PIECE_PAIRS = 1_000_000
 
 
+def _pairs(left: DataFrame, right: DataFrame, key: str, left_counted: Column, right_counted: Column) -> DataFrame:
+    """(key, _l, _r, _pairs): the rows of either side that matter for each key, and the pairs they make."""
+
+    def counts(df: DataFrame, counted: Column, name: str) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(counted).cast("double").alias(name))
+
+    pairs = counts(left, left_counted, "_l").join(counts(right, right_counted, "_r"), key)
+    return pairs.withColumn("_pairs", F.col("_l") * F.col("_r"))
+
+
+def count_pairs(left: DataFrame, right: DataFrame, key: str, left_counted: Column, right_counted: Column) -> int:
+    """The number of pairs that a join on ``key`` makes, by a job of its own."""
+    pairs = _pairs(left, right, key, left_counted, right_counted)
+    return int(pairs.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0))).first()[0])
+
+
 def hot_keys(
     left: DataFrame,
     right: DataFrame,
@@ -35,11 +51,7 @@ def hot_keys(
     needs the same columns as the join does, and a shuffle behind a side is read by both.
     """
 
-    def counts(df: DataFrame, counted: Column, name: str) -> DataFrame:
-        return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(counted).cast("double").alias(name))
-
-    pairs = counts(left, left_counted, "_l").join(counts(right, right_counted, "_r"), key)
-    pairs = pairs.withColumn("_pairs", F.col("_l") * F.col("_r"))
+    pairs = _pairs(left, right, key, left_counted, right_counted)
     everything = pairs.agg(F.coalesce(F.sum("_pairs"), F.lit(0.0))).scalar()
     sized = pairs.withColumn("_w", F.greatest(F.lit(float(piece_pairs)), everything / F.lit(MAX_HOT_KEYS)))
     # Pieces are square where both sides are long; a side shorter than that stays whole.
@@ -61,8 +73,9 @@ def split_join(
     left_spread: list[str],
     right_spread: list[str],
     piece_pairs: int = PIECE_PAIRS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Inner equi-join on ``key`` with frequent keys cut into pieces.
+    """Inner equi-join on ``key`` with frequent keys cut into pieces, in so many partitions if they are given.
 
     ``*_spread`` name the columns whose hash picks a row's piece; they should tell the rows of
     one key apart. The hash depends on the row alone, so a retried task cuts the same way.
@@ -81,4 +94,7 @@ def split_join(
 
     cut_left = cut(left, left_spread, "left", "right")
     cut_right = cut(right, right_spread, "right", "left")
-    return cut_left.join(cut_right, [key, "_left", "_right"]).drop("_left", "_right")
+    on = [key, "_left", "_right"]
+    if partitions:
+        cut_left, cut_right = cut_left.repartition(partitions, *on), cut_right.repartition(partitions, *on)
+    return cut_left.join(cut_right, on).drop("_left", "_right")

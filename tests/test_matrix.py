@@ -250,3 +250,26 @@ def test_types():
 def test_unit_norm(spark):
     assert mx.has_unit_norm(table(spark, np.array([[0.6], [0.8]]))).first()["is_unit"]
     assert not mx.has_unit_norm(table(spark, np.array([[0.6], [0.7]]))).first()["is_unit"]
+
+
+def test_many_products_of_a_sparse_result_are_spread_by_number(spark, monkeypatch):
+    """No partial sums where they cannot shrink anything; the same sums, zeros, nulls and hot keys included."""
+    cells = spark.range(400).selectExpr("id div 8 AS row", "pmod(id * 7, 40) AS col", "nullif(double(id % 5), 3D) AS v")
+    hot = spark.range(60).selectExpr("id AS row", "39L AS col", "1D AS v")
+    a = mx.MatrixTable(cells.unionByName(hot).groupBy("row", "col").agg(F.sum("v").alias("v")), (1000, 40))
+    b = mx.transpose(a)
+
+    def summed(m):
+        return sorted((r["row"], r["col"], r["v"]) for r in m.df.collect())
+
+    usual = mx.matmul(a, b, piece_pairs=50)
+    monkeypatch.setattr(mx, "SUMMED_PER_TASK", 100)
+    monkeypatch.setattr(mx, "FORMED_PER_TASK", 300)
+    spread = mx.matmul(a, b, piece_pairs=50)
+    plan = spread.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3
+    assert "RepartitionByExpression" not in usual.df._jdf.queryExecution().optimizedPlan().toString()
+    assert summed(spread) == summed(usual)
+    # A shape with fewer cells than products keeps its partial sums.
+    small = mx.matmul(mx.MatrixTable(a.df.where("row < 10"), (10, 40)), mx.MatrixTable(b.df.where("col < 10"), (40, 10)))
+    assert "RepartitionByExpression" not in small.df._jdf.queryExecution().optimizedPlan().toString()
