@@ -95,10 +95,13 @@ def linked_components(members: DataFrame, near: str, measure: Callable[[DataFram
     near pairs that could join two components is passed over, and a bucket whose members are
     near its heads costs a pair for each.
     """
-    first = members.groupBy("key").agg(F.min_by(F.struct("id", "sig"), "id").alias("h"))
-    state = members.join(first.select("key", F.col("h.id").alias("head"), F.col("h.sig").alias("y")), "key")
+    # Signatures are wide: they move by key once, and the head's is found where they have moved to.
+    state = members.join(members.groupBy("key").agg(F.min("id").alias("head")), "key")
+    heads = state.where(F.col("id") <= F.col("head")).select("key", F.col("sig").alias("y"))
+    state = state.join(heads, "key")
     state = state.withColumn("meets", (F.col("id") != F.col("head")) & F.expr(near.format(x="sig", y="y"))).drop("y")
-    told = keep_table(measure(_met(state)))
+    # What moved for the pairs is freed before their texts move.
+    told = keep_table(measure(keep_table(_met(state))))
     enough = F.col("j") >= similarity
     links = told.where(enough).select("a", "b")
     found = keep_table(components(links, keep_table))
