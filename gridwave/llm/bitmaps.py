@@ -35,11 +35,14 @@ def marked(rows: DataFrame, keys: Sequence[str], bits: DataFrame) -> DataFrame:
     parts = parts.select(
         F.expr(f"_piece * {BITS // 8 // _PART} + _n").alias("_part"), F.expr(f"substring(_map, _n * {_PART} + 1, {_PART})").alias("_map")
     ).where(F.col("_map") != F.lit(bytes(_PART)))
+    # As numbers, so that a bit is found without making strings for each row.
+    half = "CAST(conv(hex(substring(_map, 8 * j + {} + 1, 4)), 16, 10) AS BIGINT)"
+    words = f"transform(sequence(0, {_PART // 8 - 1}), j -> shiftleft({half.format(0)}, 32) | {half.format(4)})"
+    parts = parts.select("_part", F.expr(words).alias("_words"))
     placed = rows.withColumn("_p", place(keys)).withColumn("_part", F.expr(f"_p div {8 * _PART}"))
-    octet = F.expr(f"int(conv(hex(substring(_map, int(_p % {8 * _PART} div 8) + 1, 1)), 16, 10))")
-    bit = F.coalesce(F.expr("shiftright(_octet, int(_p % 8)) & 1") == 1, F.lit(False))
-    found = placed.join(F.broadcast(parts), "_part", "left").withColumn("_octet", octet)
-    return found.select(*rows.columns, bit.alias("_maybe"))
+    found = placed.join(F.broadcast(parts), "_part", "left")
+    bit = F.expr(f"shiftright(_words[int(_p % {8 * _PART} div 64)], int(56 - _p % 64 div 8 * 8 + _p % 8)) & 1") == 1
+    return found.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("_maybe"))
 
 
 def likely(rows: DataFrame, keys: Sequence[str], of: DataFrame) -> DataFrame:

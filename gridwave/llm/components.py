@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,72 +78,104 @@ def bucket_components(buckets: DataFrame, similar: Callable[[DataFrame], DataFra
 
 # Rounds of heads after the first, at most, and pairs that one task makes of a bucket.
 ROUNDS, TASK_PAIRS = 3, 100_000
-# There is another round only if the one before compared at least one in so many members.
-WORTH = 50
+# A bucket has another round if more members than this are outside its heads' components, and the
+# round before compared at least one in so many of its members.
+CROWD, WORTH = 200, 50
 
 
-def linked_components(members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def linked_components(
+    members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float, sigs: DataFrame | None = None
+) -> DataFrame:
     """(id, component) of the links among ids that share a bucket: distinct rows (key, id, sig) of buckets of two or more, of a table that was written.
 
     ``near`` is SQL that tells from the signatures ``x`` and ``y`` whether two ids may be linked;
     ``measure`` takes distinct pairs (a, b) and returns (a, b, j), their Jaccard similarities; links
-    have at least ``similarity``. Not all pairs of a bucket are formed. Its members meet its head,
-    the smallest id, then in ROUNDS more the smallest id outside the components of earlier heads,
-    until a round has next to nothing left to compare.
+    have at least ``similarity``. With ``sigs`` (id, sig), a written table too, ``members`` need
+    no signatures. Not all pairs of a bucket are formed. Its members meet its head,
+    the smallest id; those of crowded buckets then meet, in ROUNDS more at most, the smallest id outside
+    the components of earlier heads, until a round has next to nothing left to compare there.
     Then those outside the first head's component meet the others that they are not joined
     with, unless a head tells the two apart: one less the similarity is a distance, so two that
     differ by more than a link allows in their distance from a head are no link. No link among
     near pairs that could join two components is passed over, and a bucket whose members are
     near its heads costs a pair for each.
+
+    Signatures are wide, and an id has a place in many buckets: buckets are kept as numbers, and
+    signatures move for pairs, in turns that move about as many as there are ids. What was
+    shuffled for a turn is freed before the next.
     """
-    # Signatures are wide: they move by key once, and the head's is found where they have moved to.
+    if sigs is None:
+        sigs = keep_table(members.dropDuplicates(["id"]).select("id", "sig"))
+    members, most = members.select("key", "id"), max(1, sigs.count())
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
+        met = met.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+        return met.where(near.format(x="x", y="y")).select("a", "b")
+
+    def compared(state: DataFrame) -> DataFrame:
+        """(a, b, j) of the pairs of ``state`` that may be links."""
+        pairs = _in_turns(keep_table(_met(state)), most, sifted)
+        return _in_turns(pairs, most, measure)
+
     state = members.join(members.groupBy("key").agg(F.min("id").alias("head")), "key")
-    heads = state.where(F.col("id") <= F.col("head")).select("key", F.col("sig").alias("y"))
-    state = state.join(heads, "key")
-    state = state.withColumn("meets", (F.col("id") != F.col("head")) & F.expr(near.format(x="sig", y="y"))).drop("y")
-    # What moved for the pairs is freed before their texts move.
-    told = keep_table(measure(keep_table(_met(state))))
+    told = compared(state.withColumn("meets", F.col("id") != F.col("head")))
     enough = F.col("j") >= similarity
     links = told.where(enough).select("a", "b")
     found = keep_table(components(links, keep_table))
     state = _told(_open(state, found), told)
-    members = keep_table(state.select("key", "id", "sig", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
+    members = keep_table(state.select("key", "id", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
     for _ in range(ROUNDS):
         placed = _placed(members, found)
         lead = placed.where("is_head").select(F.col("key").alias("_k"), F.col("component").alias("_c")).distinct()
         rest = placed.join(lead, (F.col("key") == F.col("_k")) & (F.col("component") == F.col("_c")), "left_anti")
-        heads = keep_table(rest.groupBy("key").agg(F.min_by(F.struct("id", "component", "sig"), "id").alias("h")))
+        heads = rest.groupBy("key").agg(F.min_by(F.struct("id", "component"), "id").alias("h"), F.count("*").alias("n")).where(F.col("n") > CROWD)
+        worth = members.groupBy("key").agg(F.count("*").alias("n"), F.count(F.element_at("d", -1)).alias("told")).where(F.col("told") * WORTH > F.col("n"))
+        heads = keep_table(heads.select("key", "h").join(worth.select("key"), "key", "left_semi"))
         if heads.isEmpty():
             break
-        heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("_hc"), F.col("h.sig").alias("y"))
+        heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("_hc"))
         state = _placed(members, found).join(heads, "key", "left")
-        meets = F.expr(f"NOT is_head AND id <> head AND component <> _hc AND {near.format(x='sig', y='y')}")
-        state = keep_table(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("y", "_hc", "component"))
-        told = keep_table(measure(_met(state)))
+        meets = F.expr("NOT is_head AND id <> head AND component <> _hc")
+        state = keep_table(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("_hc", "component"))
+        told = compared(state)
         is_head = F.col("is_head") | F.coalesce(F.col("id") == F.col("head"), F.lit(False))
         links = links.unionByName(told.where(enough).select("a", "b"))
         found = keep_table(components(links, keep_table))
         state = _told(_open(state, found), told)
-        members = keep_table(state.select("key", "id", "sig", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
-        if told.count() * WORTH < members.count():
-            break
+        members = keep_table(state.select("key", "id", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
     placed = keep_table(_placed(members, found))
     lead = placed.groupBy("key").agg(F.min_by("component", "id").alias("_c"))
-    placed = placed.join(lead, "key").where("NOT is_head").withColumn("_r", F.col("component") != F.col("_c"))
-    left = placed.where("_r").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), F.col("sig").alias("x"))
-    right = placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), "_r", F.col("sig").alias("y"))
+    placed = placed.join(lead, "key").where("NOT is_head").withColumn("_r", F.col("component") != F.col("_c")).drop("_c", "is_head")
     sizes = placed.groupBy("key").agg(F.count("*").alias("_m"), F.count_if("_r").alias("_n")).where("_n > 0")
     lanes = F.least(F.ceil(F.col("_n") * F.col("_m") / TASK_PAIRS), F.col("_n")).cast("int").alias("lanes")
-    sizes = keep_table(sizes.select("key", lanes))
-    left = left.join(sizes, "key").withColumn("lane", F.pmod(F.xxhash64("a"), F.col("lanes").cast("long")).cast("int"))
-    right = right.join(sizes, "key").withColumn("lane", F.explode(F.expr("sequence(0, lanes - 1)"))).drop("lanes")
+    placed = keep_table(placed.join(sizes.select("key", lanes), "key"))
+    moved = placed.agg(F.sum("lanes") + F.count_if("_r")).first()[0]
+    if not moved:
+        return found
     apart = f"exists(zip_with(da, db, (p, q) -> coalesce(abs(p - q) > {1 - similarity + 1e-9!r}D, false)), v -> v)"
-    met = left.join(right, ["key", "lane"]).where("ca <> cb AND (NOT _r OR a < b)").where(near.format(x="x", y="y")).where(f"NOT {apart}")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = keep_table(measure(met.distinct()).where(enough).select("a", "b"))
+    turns = -(-moved // most)
+    turn = F.pmod(F.xxhash64("key", "lane"), F.lit(turns))
+    pairs = []
+    for k in range(turns):
+        left = placed.where("_r").withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes").cast("long")).cast("int")).where(turn == k)
+        right = placed.withColumn("lane", F.explode(F.expr("sequence(0, lanes - 1)"))).where(turn == k)
+        left = left.join(sigs, "id").select("key", "lane", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), F.col("sig").alias("x"))
+        right = right.join(sigs, "id").select("key", "lane", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), "_r", F.col("sig").alias("y"))
+        met = left.join(right, ["key", "lane"]).where("ca <> cb AND (NOT _r OR a < b)").where(near.format(x="x", y="y")).where(f"NOT {apart}")
+        pairs.append(keep_table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    pairs = keep_table(reduce(DataFrame.unionByName, pairs).distinct()) if turns > 1 else pairs[0]
+    new = _in_turns(pairs, most, measure).where(enough).select("a", "b")
     return found if new.isEmpty() else components(links.unionByName(new), keep_table)
 
 
+def _in_turns(pairs: DataFrame, most: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` makes of pairs (a, b) of a written table, about ``most`` at a time, as written tables."""
+    turns = max(1, -(-pairs.count() // most))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(turns))
+    return reduce(DataFrame.unionByName, [keep_table(work(pairs.where(turn == k) if turns > 1 else pairs)) for k in range(turns)])
+
+
 def _met(state: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of ids and the heads they meet."""
     pairs = state.where("meets").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))

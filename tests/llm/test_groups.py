@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridwave.llm import components, embedding_dedup, line_dedup, simhash_dedup
 from gridwave.llm.bitmaps import likely
+from gridwave.llm.common import shared_folder
 from gridwave.llm.queries import op3_embedding_dedup, op6_simhash_dedup, op9_line_dedup
 
 
@@ -276,3 +278,39 @@ def test_sketches_lose_no_link(spark):
     assert all(may for j, _, may in seen if j >= 0.8) and sum(j >= 0.8 for j, _, _ in seen) > 10
     far = [may for j, _, may in seen if j < 0.7]
     assert sum(far) < 0.02 * len(far)
+
+
+def test_signatures_are_not_kept_for_each_bucket(spark):
+    """Ids in eight buckets of strangers each: what is written is less than half a signature for each place in a bucket."""
+    n = 10_000
+    sig = F.array(*[F.xxhash64("id", F.lit(j)) for j in range(16)])
+    keys = F.array(*[F.expr(f"pmod(xxhash64(id, {b}), {n // 4}) * 8 + {b}") for b in range(8)])
+    members = spark.range(0, n, 1, 4).select(F.explode(keys).alias("key"), "id", sig.alias("sig"))
+    measure = lambda pairs: pairs.withColumn("j", F.lit(0.0))
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(root.rglob("*.parquet"))
+    got = components.linked_components(members, "{x}[0] = {y}[0]", measure, 0.8).where("id <> component")
+    assert got.count() == 0
+    assert sum(p.stat().st_size for p in set(root.rglob("*.parquet")) - before if p.is_file()) < 16 * 8 * 8 * n / 2
+
+
+def test_marks_lose_no_link(spark):
+    """Marks, sketches of long lines and both together pass every pair of similarity 0.8 and tell most pairs far below it apart."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefghijkl", k=draw.randrange(2, 7)))
+    rows = [(0, "abcd"), (1, "aaaaaaaaaa"), (2, "aaaaaaaaaaaa"), (3, "日本語日本語"), (4, "ab 😀 cd 😀 ab")]
+    for k in (8, 20, 60, 150, 240, 250, 260):
+        base = [word() for _ in range(k)]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(word() if draw.random() < 0.06 else w for w in base)))
+    lengths = [len(t) > line_dedup.MARKED for _, t in rows]
+    assert 10 < sum(lengths) < len(rows) - 20
+    made = line_dedup.sifters(spark.createDataFrame(rows, "id long, line string"))
+    x, y = made.select(F.col("id").alias("a"), F.col("sig").alias("x")), made.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    told = x.join(y, F.expr("a < b")).select("a", "b", F.expr(line_dedup.may_link_any(0.8).format(x="x", y="y")).alias("may"))
+    sets = {i: {t[k : k + 4] for k in range(len(t) - 3)} for i, t in rows}
+    seen = [(len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]), r.may, lengths[r.a] != lengths[r.b]) for r in told.collect()]
+    assert len(seen) == len(rows) * (len(rows) - 1) // 2
+    assert all(may for j, may, _ in seen if j >= 0.8) and sum(j >= 0.8 for j, _, _ in seen) > 10
+    far = [may for j, may, mixed in seen if j < 0.4 and not mixed]
+    assert sum(far) < 0.02 * len(far)
