@@ -81,17 +81,21 @@ ROUNDS, TASK_PAIRS = 3, 100_000
 # A bucket has another round if more members than this are outside its heads' components, and the
 # round before compared at least one in so many of its members.
 CROWD, WORTH = 200, 50
+# Pairs whose signatures or texts move in one turn: as many as there are ids, but no fewer than this.
+TURN = 50_000
 
 
 def linked_components(
-    members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float, sigs: DataFrame | None = None
+    members: DataFrame, near: str, measure: Callable[[DataFrame], DataFrame], similarity: float, sigs: DataFrame | None = None,
+    agree: str = "true",
 ) -> DataFrame:
     """(id, component) of the links among ids that share a bucket: distinct rows (key, id, sig) of buckets of two or more, of a table that was written.
 
     ``near`` is SQL that tells from the signatures ``x`` and ``y`` whether two ids may be linked;
     ``measure`` takes distinct pairs (a, b) and returns (a, b, j), their Jaccard similarities; links
     have at least ``similarity``. With ``sigs`` (id, sig), a written table too, ``members`` need
-    no signatures. Not all pairs of a bucket are formed. Its members meet its head,
+    no signatures. ``agree`` is such SQL of a column ``brief`` of ``members``, a few bytes by which most pairs
+    are told apart before signatures move. Not all pairs of a bucket are formed. Its members meet its head,
     the smallest id; those of crowded buckets then meet, in ROUNDS more at most, the smallest id outside
     the components of earlier heads, until a round has next to nothing left to compare there.
     Then those outside the first head's component meet the others that they are not joined
@@ -101,12 +105,14 @@ def linked_components(
     near its heads costs a pair for each.
 
     Signatures are wide, and an id has a place in many buckets: buckets are kept as numbers, and
-    signatures move for pairs, in turns that move about as many as there are ids. What was
+    signatures move for pairs, in turns that move about as many as there are ids, or TURN. What was
     shuffled for a turn is freed before the next.
     """
     if sigs is None:
         sigs = keep_table(members.dropDuplicates(["id"]).select("id", "sig"))
-    members, most = members.select("key", "id"), max(1, sigs.count())
+    brief = F.col("brief") if "brief" in members.columns else F.lit(0).alias("brief")
+    members, most = members.select("key", "id", brief), max(TURN, sigs.count())
+    agrees = agree.format(x="brief", y="_h.brief")
 
     def sifted(pairs: DataFrame) -> DataFrame:
         met = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
@@ -118,32 +124,33 @@ def linked_components(
         pairs = _in_turns(keep_table(_met(state)), most, sifted)
         return _in_turns(pairs, most, measure)
 
-    state = members.join(members.groupBy("key").agg(F.min("id").alias("head")), "key")
-    told = compared(state.withColumn("meets", F.col("id") != F.col("head")))
+    state = members.join(members.groupBy("key").agg(F.min_by(F.struct("id", "brief"), "id").alias("_h")), "key")
+    state = state.select("key", "id", "brief", F.col("_h.id").alias("head"), F.expr(f"id <> _h.id AND {agrees}").alias("meets"))
+    told = compared(state)
     enough = F.col("j") >= similarity
     links = told.where(enough).select("a", "b")
     found = keep_table(components(links, keep_table))
     state = _told(_open(state, found), told)
-    members = keep_table(state.select("key", "id", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
+    members = keep_table(state.select("key", "id", "brief", F.array("d").alias("d"), (F.col("id") == F.col("head")).alias("is_head")))
     for _ in range(ROUNDS):
         placed = _placed(members, found)
         lead = placed.where("is_head").select(F.col("key").alias("_k"), F.col("component").alias("_c")).distinct()
         rest = placed.join(lead, (F.col("key") == F.col("_k")) & (F.col("component") == F.col("_c")), "left_anti")
-        heads = rest.groupBy("key").agg(F.min_by(F.struct("id", "component"), "id").alias("h"), F.count("*").alias("n")).where(F.col("n") > CROWD)
+        heads = rest.groupBy("key").agg(F.min_by(F.struct("id", "component", "brief"), "id").alias("_h"), F.count("*").alias("n")).where(F.col("n") > CROWD)
         worth = members.groupBy("key").agg(F.count("*").alias("n"), F.count(F.element_at("d", -1)).alias("told")).where(F.col("told") * WORTH > F.col("n"))
-        heads = keep_table(heads.select("key", "h").join(worth.select("key"), "key", "left_semi"))
+        heads = keep_table(heads.select("key", "_h").join(worth.select("key"), "key", "left_semi"))
         if heads.isEmpty():
             break
-        heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.component").alias("_hc"))
         state = _placed(members, found).join(heads, "key", "left")
-        meets = F.expr("NOT is_head AND id <> head AND component <> _hc")
-        state = keep_table(state.withColumn("meets", F.coalesce(meets, F.lit(False))).drop("_hc", "component"))
+        meets = F.expr(f"NOT is_head AND id <> _h.id AND component <> _h.component AND {agrees}")
+        state = state.withColumns({"meets": F.coalesce(meets, F.lit(False)), "head": F.col("_h.id")})
+        state = keep_table(state.drop("_h", "component"))
         told = compared(state)
         is_head = F.col("is_head") | F.coalesce(F.col("id") == F.col("head"), F.lit(False))
         links = links.unionByName(told.where(enough).select("a", "b"))
         found = keep_table(components(links, keep_table))
         state = _told(_open(state, found), told)
-        members = keep_table(state.select("key", "id", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
+        members = keep_table(state.select("key", "id", "brief", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
     placed = keep_table(_placed(members, found))
     lead = placed.groupBy("key").agg(F.min_by("component", "id").alias("_c"))
     placed = placed.join(lead, "key").where("NOT is_head").withColumn("_r", F.col("component") != F.col("_c")).drop("_c", "is_head")
@@ -160,9 +167,9 @@ def linked_components(
     for k in range(turns):
         left = placed.where("_r").withColumn("lane", F.pmod(F.xxhash64("id"), F.col("lanes").cast("long")).cast("int")).where(turn == k)
         right = placed.withColumn("lane", F.explode(F.expr("sequence(0, lanes - 1)"))).where(turn == k)
-        left = left.join(sigs, "id").select("key", "lane", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), F.col("sig").alias("x"))
-        right = right.join(sigs, "id").select("key", "lane", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), "_r", F.col("sig").alias("y"))
-        met = left.join(right, ["key", "lane"]).where("ca <> cb AND (NOT _r OR a < b)").where(near.format(x="x", y="y")).where(f"NOT {apart}")
+        left = left.join(sigs, "id").select("key", "lane", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("d").alias("da"), F.col("brief").alias("bx"), F.col("sig").alias("x"))
+        right = right.join(sigs, "id").select("key", "lane", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("d").alias("db"), "_r", F.col("brief").alias("by"), F.col("sig").alias("y"))
+        met = left.join(right, ["key", "lane"]).where(f"ca <> cb AND (NOT _r OR a < b) AND {agree.format(x='bx', y='by')}").where(near.format(x="x", y="y")).where(f"NOT {apart}")
         pairs.append(keep_table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     pairs = keep_table(reduce(DataFrame.unionByName, pairs).distinct()) if turns > 1 else pairs[0]
     new = _in_turns(pairs, most, measure).where(enough).select("a", "b")

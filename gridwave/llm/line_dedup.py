@@ -3,9 +3,11 @@
 Equal lines are one until the end (named by 128 bits of hashes). A line is the set of
 its shingles of ``SHINGLE`` characters; its signature holds the smallest shingle hash in
 each of ``HASHES`` orders. Bands of ``ROWS`` values find candidates. Bands share values:
-they are the blocks of BANDS / 4 ways to cut the signature into four, which finds 93 % of
-the pairs of similarity 0.8, 98 % of 0.85 and 99.6 % of 0.9 from few hashes and few
-accidental buckets. Candidates are sifted by odd sketches (which of 1024 bits an odd number
+they are the blocks of three ways to cut the signature into seven, which finds 93 % of
+the pairs of similarity 0.8, 98 % of 0.85 and 99.9 % of 0.9. A line keeps the numbers of its
+bands and two bits of each value: lines that share a bucket but differ in more values than
+alike ones do (see ``most_apart``) met by accident and go before anything wide moves.
+Candidates are sifted by odd sketches (which of 1024 bits an odd number
 of shingles fall on): two sketches differ in no more bits than the sets have shingles apart,
 so a pair that differs in more than a link allows is none, and no link is lost. The others are
 verified by the exact Jaccard similarity of their shingles and joined by distributed
@@ -21,6 +23,7 @@ length is a streak of rows, never an array of its shingles.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
@@ -34,8 +37,11 @@ from gridwave.llm.components import linked_components
 # One changed character spoils 4 shingles, so lines from 39 characters bear it.
 SHINGLE = 4
 SIMILARITY = 0.8
-HASHES, BANDS = 24, 16
-ROWS = HASHES // 4
+HASHES, BANDS, ROWS = 56, 21, 8
+# Values of a signature in one half of its brief form, two bits of each.
+HALF = HASHES // 2
+# Buckets of more lines are not searched for lines that met by accident.
+FEW = 64
 # Numbers of 64 bits in an odd sketch.
 ODD = 16
 # Lines of more characters have odd sketches, shorter ones marks.
@@ -73,7 +79,9 @@ def _points(line: str) -> Column:
 
 
 def signatures(rows: DataFrame, keys: Sequence[str], shingle: int = SHINGLE) -> DataFrame:
-    """(keys, sig) of rows (keys, line); a line shorter than a shingle is one shingle.
+    """(keys, bands, brief) of rows (keys, line); a line shorter than a shingle is one shingle.
+
+    ``bands`` has the hash of each band of the signature, ``brief`` two bits of each of its values.
 
     Rows must be partitioned by some of the keys; then nothing moves.
     """
@@ -94,7 +102,12 @@ def signatures(rows: DataFrame, keys: Sequence[str], shingle: int = SHINGLE) ->
         F.min(F.least(*[F.col(f"_t{t}_{j}").bitwiseXOR(F.lit(c)) for j in range(STEP)])).alias(f"m{k}")
         for k, (t, c) in enumerate(orders)
     ])
-    return least.select(*keys, F.array(*[F.expr(f"int(m{k} & 2147483647)") for k in range(HASHES)]).alias("sig"))
+    # Bands are numbers of 31 bits: strangers that share one are told apart by their briefs.
+    bands = [F.xxhash64(F.lit(b), *[f"m{k}" for k in cut]).bitwiseAND(F.lit(2147483647)).cast("int") for b, cut in enumerate(_cuts())]
+    # With a lambda in it this projection is compiled apart from the aggregate, in methods short enough to be compiled at all.
+    halves = [f"aggregate(array({', '.join(f'm{k}' for k in range(start, start + HALF))}), 0L, (x, m) -> shiftleft(x, 2) | (m & 3L))" for start in (0, HALF)]
+    brief = F.struct(F.expr(halves[0]).alias("p"), F.expr(halves[1]).alias("q"))
+    return least.select(*keys, F.array(*bands).alias("bands"), brief.alias("brief"))
 
 
 def _cuts() -> list[list[int]]:
@@ -106,16 +119,30 @@ def _cuts() -> list[list[int]]:
     return out
 
 
-def band_keys(rows: DataFrame, sig: str = "sig") -> DataFrame:
-    """``rows`` once for each band, with its ``key`` for the signature.
+def band_keys(rows: DataFrame) -> DataFrame:
+    """(key, id, brief) of rows (id, bands, brief), once for each band."""
+    bands = rows.select("id", "brief", F.posexplode("bands").alias("_b", "_v"))
+    return bands.select(F.expr("shiftleft(bigint(_b), 31) | _v").alias("key"), "id", "brief")
+
+
+def most_apart(similarity: float) -> int:
+    """In how many values the briefs of two lines of a bucket may differ.
 
-    A row computes one key: all of a line's in one expression would be too long a method to be compiled.
+    Lines of this similarity agree in a band, and in each other value with at least that chance; of values that
+    differ, two bits are the same in one of four. 3 in 100,000 of such pairs differ in more, of more alike ones fewer.
     """
-    values = [i for cut in _cuts() for i in cut]
-    at = f"array({', '.join(map(str, values))})"
-    bands = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
-    key = F.xxhash64("_b", *[F.expr(f"{sig}[{at}[_b * {ROWS} + {j}]]") for j in range(ROWS)])
-    return bands.withColumn("key", key).drop("_b")
+    n, p = HASHES - ROWS, 0.75 * (1 - similarity)
+    more, d = 1.0, -1
+    while more > 3e-5:
+        d += 1
+        more -= math.comb(n, d) * p**d * (1 - p) ** (n - d)
+    return d
+
+
+def may_agree(similarity: float) -> str:
+    """SQL whether lines of the briefs ``{x}`` and ``{y}`` that share a bucket may have the similarity."""
+    apart = [f"bit_count((({{x}}.{h} ^ {{y}}.{h}) | shiftrightunsigned({{x}}.{h} ^ {{y}}.{h}, 1)) & 6148914691236517205L)" for h in "pq"]
+    return f"{' + '.join(apart)} <= {most_apart(similarity)}"
 
 
 def shingles(line: str, shingle: int = SHINGLE) -> str:
@@ -194,11 +221,11 @@ def jaccard(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
 
 
 def signed_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, h, g, doc, row, line_no, copies, sig) for every distinct line: its first place, its copies, its signature.
+    """(id, h, g, doc, row, line_no, copies, bands, brief) for every distinct line: its first place, its copies, its signature.
 
     Ids of lines with more copies are smaller, by powers of two, so that the smallest id of a
     bucket is the line most likely to be what the others were made from. A line shorter than a
-    shingle has no signature: only its copies are alike.
+    shingle has no bands: only its copies are alike.
     """
     found = lines(docs).where(_judges()).select(*_PLACE, "line", *_named())
     texts = found.groupBy("h", "g").agg(F.min(F.struct(*_PLACE, "line")).alias("at"), F.count("*").alias("copies"))
@@ -206,15 +233,19 @@ def signed_lines(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     texts = texts.select("h", "g", *[f"at.{c}" for c in _PLACE], "copies", is_long, "at.line")
     signed = signatures(texts, ["h", "g", *_PLACE, "copies", "is_long"], shingle)
     rank = F.expr("shiftleft(63L - CAST(floor(log2(copies)) AS BIGINT), 57)") + F.monotonically_increasing_id()
-    return signed.select(rank.alias("id"), "h", "g", *_PLACE, "copies", F.when(F.col("is_long"), F.col("sig")).alias("sig"))
+    return signed.select(rank.alias("id"), "h", "g", *_PLACE, "copies", F.when(F.col("is_long"), F.col("bands")).alias("bands"), "brief")
 
 
-def candidates(first: DataFrame) -> DataFrame:
-    """(key, id) of the buckets of two lines or more."""
-    entries = band_keys(first.where("sig IS NOT NULL").select("id", "sig")).select("key", "id")
+def candidates(first: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, id, brief) of the buckets of two lines or more; of buckets of FEW at most, lines that may be alike to another there."""
+    entries = band_keys(first.where("bands IS NOT NULL"))
     # An id has a key once, since keys have the number of their band in them.
-    crowded = keep_table(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    return likely(entries, ["key"], crowded).join(crowded, "key")
+    crowded = keep_table(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = keep_table(likely(entries, ["key"], crowded).join(crowded, "key"))
+    few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+    others = few.select(F.col("key").alias("_k"), F.col("id").alias("_id"), F.col("brief").alias("_brief"))
+    met = F.expr(f"key = _k AND id <> _id AND {may_agree(similarity).format(x='brief', y='_brief')}")
+    return few.join(others, met, "left_semi").unionByName(many).drop("n")
 
 
 def decide(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -240,20 +271,21 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHING
 def _decided(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(doc, row, line_no, head, kept) for each line; the head is a place."""
     first = keep_table(signed_lines(docs, shingle))
-    members = keep_table(candidates(first))
+    members = keep_table(candidates(first, similarity))
     # Texts of candidates alone, found by a bitmap of fixed size before they move.
     ids = members.select("id").distinct()
     wanted = keep_table(likely(first, ["id"], ids).join(ids, "id").select("id", "h", "g", *_PLACE))
     texts = likely(lines(docs).where(_judges()), _PLACE, wanted).select(*_PLACE, "line", *_named())
     # Rows that are equal in id and text give a line twice.
     texts = keep_table(texts.join(wanted, [*_PLACE, "h", "g"]).groupBy("id").agg(F.min("line").alias("line")))
-    sigs = keep_table(sifters(texts, shingle))
+    # Odd sketches of short lines too: in marks, what lines have in common hides what they have not.
+    sigs = keep_table(sketches(texts, shingle))
 
     def measure(pairs: DataFrame) -> DataFrame:
         # Of the texts those move that are in a pair.
         return jaccard(pairs, likely(texts, ["id"], pairs.select(F.explode(F.array("a", "b")).alias("id"))), shingle)
 
-    linked = keep_table(linked_components(members, may_link_any(similarity), measure, similarity, sigs))
+    linked = keep_table(linked_components(members, may_link(similarity), measure, similarity, sigs, may_agree(similarity)))
     # Lines that are neither copied nor linked stand for themselves and need not move.
     shared = marked(first.select("id", "h", "g", *_PLACE, "copies"), ["id"], bitmap(linked, ["id"])).where("_maybe OR copies > 1").drop("_maybe")
     named = shared.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))

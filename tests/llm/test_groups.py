@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridwave.llm import components, embedding_dedup, line_dedup, simhash_dedup
 from gridwave.llm.bitmaps import likely
-from gridwave.llm.common import shared_folder
+from gridwave.llm.common import keep_table, shared_folder
 from gridwave.llm.queries import op3_embedding_dedup, op6_simhash_dedup, op9_line_dedup
 
 
@@ -314,3 +314,41 @@ def test_marks_lose_no_link(spark):
     assert all(may for j, may, _ in seen if j >= 0.8) and sum(j >= 0.8 for j, _, _ in seen) > 10
     far = [may for j, may, mixed in seen if j < 0.4 and not mixed]
     assert sum(far) < 0.02 * len(far)
+
+
+def test_lines_that_met_by_accident_go_first(spark):
+    """Lines of the same syllables share bands by accident: they are no candidates, alike lines that share a band all are."""
+    draw = random.Random(10)
+    syllables = ["".join(draw.choices("abcdefghijklmnop", k=2)) for _ in range(12)]
+    word = lambda: "".join(draw.choices(syllables, k=3))
+    rows = [" ".join(word() for _ in range(70)) for _ in range(1200)]
+    for k in range(60):
+        rows.append(" ".join(word() if draw.random() < 0.05 else w for w in rows[k].split()))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "doc_id long, text string")
+    first = keep_table(line_dedup.signed_lines(docs))
+    met = {r.id for r in line_dedup.candidates(first).select("id").distinct().collect()}
+    signed = {r.doc: r for r in first.collect()}
+    sets = [{x[i : i + 4] for i in range(len(x) - 3)} for x in rows]
+    share = lambda a, b: any(x == y for x, y in zip(signed[a].bands, signed[b].bands))
+    alike = [(k, 1200 + k) for k in range(60) if rows[k] != rows[1200 + k] and len(sets[k] & sets[1200 + k]) >= 0.8 * len(sets[k] | sets[1200 + k])]
+    want = {signed[i].id for p in alike if share(*p) for i in p}
+    assert len(want) > 20 and want <= met
+    near = [a for a in range(300) if a in signed]
+    # Of the first 300 lines alone.
+    assert len(met) < 200 and sum(any(share(a, b) for b in near if b != a) for a in near) > 20
+
+
+def test_large_buckets_keep_all_members(spark):
+    rows = [(k, [7] if k < line_dedup.FEW + 1 else [8], (k * 6148914691236517205 % (1 << 56), 0)) for k in range(line_dedup.FEW + 5)]
+    first = spark.createDataFrame(rows, "id long, bands array<int>, brief struct<p: long, q: long>")
+    got = line_dedup.candidates(first).collect()
+    assert {r.id for r in got if r.key == 7} == set(range(line_dedup.FEW + 1))
+
+
+def test_brief_bound():
+    """Of pairs of 0.8 that share a band, briefs lose next to none; of strangers that share one they pass few."""
+    draw, n = random.Random(11), line_dedup.HASHES - line_dedup.ROWS
+    apart = lambda j: sum(draw.random() >= j and draw.random() < 0.75 for _ in range(n))
+    most = line_dedup.most_apart(0.8)
+    assert sum(apart(0.8) > most for _ in range(20_000)) <= 4
+    assert sum(apart(0.15) <= most for _ in range(5_000)) < 50
