@@ -147,8 +147,7 @@ def linked_components(
         state = keep_table(state.drop("_h", "component"))
         told = compared(state)
         is_head = F.col("is_head") | F.coalesce(F.col("id") == F.col("head"), F.lit(False))
-        links = links.unionByName(told.where(enough).select("a", "b"))
-        found = keep_table(components(links, keep_table))
+        found = _joined(found, told.where(enough).select("a", "b"))
         state = _told(_open(state, found), told)
         members = keep_table(state.select("key", "id", "brief", F.concat("d_old", F.array("d")).alias("d"), is_head.alias("is_head")))
     placed = keep_table(_placed(members, found))
@@ -173,7 +172,15 @@ def linked_components(
         pairs.append(keep_table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     pairs = keep_table(reduce(DataFrame.unionByName, pairs).distinct()) if turns > 1 else pairs[0]
     new = _in_turns(pairs, most, measure).where(enough).select("a", "b")
-    return found if new.isEmpty() else components(links.unionByName(new), keep_table)
+    return _joined(found, new)
+
+
+def _joined(found: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, component) of what ``found`` holds together and ``new`` links (a, b) join; stars that are there take few rounds."""
+    if new.isEmpty():
+        return found
+    stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return keep_table(components(stars.unionByName(new), keep_table))
 
 
 def _in_turns(pairs: DataFrame, most: int, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
