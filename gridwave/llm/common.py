@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 import random
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwave.session import cut_lineage, ensure_checkpoint_dir
+from gridwave.session import cut_lineage, keep_table, shared_folder, ship_package  # noqa: F401
 
 # Rows handed to Python at a time; a batch is also cut where its texts pass BATCH_BYTES.
 BATCH_ROWS = 512
 BATCH_BYTES = 2 << 20
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,24 +54,6 @@ def turned(column: str, bits: int) -> str:
     return f"shiftleft({column}, {bits}) | shiftrightunsigned({column}, {64 - bits})" if bits else column
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python may not have it on its path; once for each application."""
-    context = spark.sparkContext
-    if _shipped.get("application") == context.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="gridwave-code-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, source.relative_to(root.parent))
-    # The driver serves the file; executors do not read the driver's folder.
-    context.addPyFile(str(target))
-    _shipped["application"] = context.applicationId
-
-
-_shipped: dict[str, str] = {}
-
-
 def map_arrow(
     df: DataFrame, column: str, schema: str, function: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
@@ -95,25 +72,3 @@ def map_arrow(
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost nothing before it."""
     return cut_lineage(df)
-
-
-def keep_table(df: DataFrame) -> DataFrame:
-    """Like ``keep``, as compressed columns: for tables of which later steps read a few columns each.
-
-    The table stays in the shared folder until that is emptied.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    # What was shuffled for it is not read again once it is written.
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names: all executors reach it."""
-    return ensure_checkpoint_dir(spark)

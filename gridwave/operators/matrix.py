@@ -2,7 +2,8 @@
 
 A real matrix has columns ``row, col, v`` (BIGINT or DOUBLE), a complex one ``row, col, re,
 im``. Absent cells are zero. A cell appears at most once. Nothing here collects a matrix or
-runs Python per row; each operator is a projection, a join on a key, or an aggregate.
+runs Python per row; each operator is a projection, a join on a key, or an aggregate. Only
+large sparse products are formed by pairs of blocks (see ``blocks``).
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from gridwave.functions.complexnum import abs_squared, product, scaled_terms, total
 from gridwave.functions.indexing import div
 from gridwave.functions.ranges import repeat_over_range
+from gridwave.operators import blocks
 from gridwave.operators.skew import PIECE_PAIRS, count_pairs, split_join
 from gridwave.operators.tiled import cells_of, tiles
+from gridwave.session import freed_shuffles, keep_table, new_table_path, remove_table
 
 ROUND_DIGITS = 10
 # A Kronecker factor up to this many cells (32 bytes each) is broadcast.
@@ -28,6 +31,8 @@ MAX_LOCAL_CELLS = 1_000_000
 # Products that one task sums, and that one task forms, where a result is large and sparse.
 SUMMED_PER_TASK = 2_000_000
 FORMED_PER_TASK = 8_000_000
+# Products for each cell of the factors up to which products move; above, the factors move instead.
+MOVED_PER_CELL = 2
 
 _ORDER = {"int": 0, "float": 1, "complex": 2}
 _SQL_TYPE = {"int": "long", "float": "double"}
@@ -308,7 +313,9 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split
     where each inner key is known to be rare on one side. Products are partially summed before
     the shuffle by (row, col), unless they are fewer than the cells of the shape and too many for
     the usual partitions: then hardly any two in a task share a cell, and a table of partial sums
-    would only fill its memory. They are counted first, and cut into tasks by their number.
+    would only fill its memory. They are counted first, for which the factors are written to the
+    shared folder, and cut into tasks by their number. If they are also many for each cell of the
+    factors, they do not move at all (see ``blocks``).
     """
     if a.shape[1] != b.shape[0]:
         raise ValueError(f"incompatible shapes {a.shape} and {b.shape}")
@@ -319,10 +326,22 @@ def matmul(a: MatrixTable, b: MatrixTable, piece_pairs: int = PIECE_PAIRS, split
     right = b.df.where(_nonzero(b.values)).select(F.col("row").alias("_k"), "col", *[F.col(c).alias(f"b_{c}") for c in b.values])
     if split_hot:
         counted = _nonzero([f"a_{c}" for c in a.values]), _nonzero([f"b_{c}" for c in b.values])
-        usual = SUMMED_PER_TASK * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cells = a.shape[0] * b.shape[1]
-        made = count_pairs(left, right, "_k", *counted) if cells > usual else 0
+        spark = left.sparkSession
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        usual, cells, made = SUMMED_PER_TASK * partitions, a.shape[0] * b.shape[1], 0
+        if cells > usual:
+            kept = new_table_path(spark)
+            left, right = keep_table(left, f"{kept}/left"), keep_table(right, f"{kept}/right")
+            with freed_shuffles(spark):
+                made = count_pairs(left, right, "_k", *counted)
         spread = usual < made < cells
+        if spread and made > blocks.PRODUCTS_PER_PAIR:
+            sizes = [df.agg(F.count("*"), F.min(c)).first() for df, c in ((left, "row"), (right, "col"))]
+            indexed = all(least is None or least > blocks.NO_INDEX for _, least in sizes)
+            if indexed and made > MOVED_PER_CELL * sum(n for n, _ in sizes):
+                cells = blocks.block_product(left, right, a.values, dtype, made, sizes[0][0], sizes[1][0], partitions)
+                remove_table(spark, kept)
+                return MatrixTable(cells, (a.shape[0], b.shape[1]), dtype)
         forming = -(-made // FORMED_PER_TASK) if spread else None
         pairs = split_join(left, right, "_k", *counted, ["row"], ["col"], piece_pairs, forming)
     else:
